@@ -34,9 +34,12 @@ def value_bucket(x: str) -> Column:
     return F.when(c > 0, size).when(c < 0, -size - 1).otherwise(F.lit(0)).cast("long")
 
 
-def rank_table(df: DataFrame, x: str, by: Sequence[str] = (), out: str = "rank") -> DataFrame:
+def rank_table(df: DataFrame, x: str, by: Sequence[str] = (), out: str = "rank",
+               counts: bool = False) -> DataFrame:
     """Average-tie rank of every distinct value of ``x`` (per ``by``), without one task per group.
 
+    With ``counts``, also ``_lo`` (rows below the value) and ``_n`` (rows at it).
+
     Ties are folded by a map-side aggregate; each (group, value bucket) then counts on its own and
     adds the total of the buckets before it, so a group holding most of the rows is cut up by value.
     """
@@ -56,11 +59,37 @@ def rank_table(df: DataFrame, x: str, by: Sequence[str] = (), out: str = "rank")
     inside = (
         Window.partitionBy(*by, "_b").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
     )
-    return (
-        freq.join(offsets, [*by, "_b"])
-        .withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
-        .select(*by, x, (F.col("_off") + F.col("_in") + (F.col("_n") + 1) / 2.0).alias(out))
+    below = F.col("_off") + F.coalesce(F.sum("_n").over(inside), F.lit(0))
+    placed = freq.join(offsets, [*by, "_b"]).withColumn("_lo", below)
+    extra = ["_lo", "_n"] if counts else []
+    return placed.select(*by, x, (F.col("_lo") + (F.col("_n") + 1) / 2.0).alias(out), *extra)
+
+
+def quantiles(df: DataFrame, x: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """Exact quantiles with linear interpolation: one row per ``by``, an array ``q`` in ``probs`` order.
+
+    Reads the order statistics off the distributed rank table; nothing gathers a whole column.
+    """
+    by = list(by)
+    table = rank_table(df, x, by, counts=True)
+    total = (
+        df.where(F.col(x).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("_total"))
     )
+    wanted = total.select(*by, "_total", F.posexplode(F.array(*[F.lit(p) for p in probs])).alias(
+        "_k", "_p")).withColumn("_h", (F.col("_total") - 1) * F.col("_p"))
+    at = [F.floor("_h"), F.ceil("_h")]
+    spot = lambda i: (F.col("_lo") <= i) & (i < F.col("_lo") + F.col("_n"))
+    if by:
+        hits = table.join(wanted, by).where(spot(at[0]) | spot(at[1]))
+    else:
+        # One row per probability.
+        hits = table.join(F.broadcast(wanted), spot(at[0]) | spot(at[1]))
+    low = F.max(F.when(spot(at[0]), F.col(x)))
+    high = F.max(F.when(spot(at[1]), F.col(x)))
+    value = low + (high - low) * F.max(F.col("_h") - F.floor("_h"))
+    per = hits.groupBy(*by, "_k").agg(value.alias("_v"))
+    packed = F.sort_array(F.collect_list(F.struct("_k", "_v")))
+    return per.groupBy(*by).agg(F.transform(packed, lambda s: s["_v"]).alias("q"))
 
 
 def with_rank(df: DataFrame, x: str, by: Sequence[str] = (), out: str = "rank") -> DataFrame:

@@ -9,6 +9,7 @@ of the package runs on ``Layout.keys`` and ``Layout.trim`` keeps the rows a chun
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -150,3 +151,22 @@ def chunk_offsets(layout: Layout, amount: str, key: str = "symbol") -> DataFrame
 def block_length(alpha: float) -> int:
     """Longest block whose weights (1 - alpha)^-n stay inside double range."""
     return max(16, min(1024, int(600 / -math.log1p(-alpha))))
+
+
+def positions(
+    rows: DataFrame, order: Sequence[str], bucket: str | Column, by: Sequence[str] = (),
+    out: str = "_i",
+) -> DataFrame:
+    """0-based position of every row in ``order`` (per ``by``), cut over (by, bucket).
+
+    ``bucket`` must grow with the order. Its counts are prefix-summed on a small table, so a sort
+    never spans more than one bucket; join and window share one shuffle on (by, bucket).
+    """
+    by = list(by)
+    placed = rows.withColumn("_bk", F.col(bucket) if isinstance(bucket, str) else bucket)
+    counts = placed.groupBy(*by, "_bk").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*by, "_bk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy(*by, "_bk").orderBy(*order)
+    return placed.join(offsets, [*by, "_bk"]).withColumn(
+        out, F.col("_off") + F.row_number().over(inside) - 1).drop("_off", "_bk")
