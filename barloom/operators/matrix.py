@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranks import plain_corr, quantiles, with_rank
 from ..functions.scalars import clip
+from ..session import stage
 from .layout import positions
 from .resample import week_of
 from .universe import complete_rows, enough_history, in_range, training_window
@@ -104,7 +105,8 @@ def rolling_matrix(
     """
     window = training_window(feats.select("symbol", "ts", *features, target), end, weeks,
                              embargo_minutes)
-    rows = thin(complete_rows(enough_history(window, min_rows), [*features, target]), step)
+    # Sampling, demeaning, clipping and ranking all read the thinned rows: write them once.
+    rows = stage(thin(complete_rows(enough_history(window, min_rows), [*features, target]), step))
     if max_rows:
         rows = exact_sample(rows, max_rows, seed)
     rows = rows.withColumn("y_raw", F.col(target).cast("double"))
@@ -122,7 +124,7 @@ def expanding_matrix(
 ) -> DataFrame:
     """(symbol, ts, features, y) of everything in [start, end), pre-sampled down to ``max_rows``."""
     window = in_range(feats.select("symbol", "ts", *features, target), start, end)
-    rows = thin(complete_rows(enough_history(window, min_rows), [*features, target]), step)
+    rows = stage(thin(complete_rows(enough_history(window, min_rows), [*features, target]), step))
     total = rows.count()
     if total > max_rows:
         rows = bernoulli_sample(rows, max_rows / total, seed)

@@ -77,15 +77,17 @@ def regime_from_features(feats: DataFrame, spec: BarSpec = BarSpec(),
 
 @dataclass(frozen=True)
 class PumpConfig:
+    """Detector settings; the defaults are fixed values for 5-minute bars."""
+
     vol_window: int = 288
     ret_window: int = 288
     hour_bars: int = 12
     warmup: int = 288
-    ret_z: float = 4.0
-    vol_z: float = 4.0
-    range_z: float = 3.0
+    ret_z: float = 3.0
+    vol_z: float = 2.5
+    range_z: float = 2.5
     reversal_window: int = 12
-    reversal_share: float = 0.5
+    reversal_share: float = 0.6
     w_price: float = 0.3
     w_volume: float = 0.25
     w_range: float = 0.2

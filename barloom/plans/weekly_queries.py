@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import r6
 from ..operators import ic, resample, universe, weekly
 from ..operators.features import build_features
+from ..session import stage
 from ..sources.fixtures import DAILY_SPEC, daily_bars, hourly_bars, table
 from .sql import BARS_D, BARS_H, W, lag, r, roll, spearman_cte
 
@@ -242,7 +243,7 @@ def _hourly_matrix(spark, sf):
     names = ["ret_1h", "rev_1d", "rvol_1d", "vol_ratio", "vwap_dev"]
     from ..sources.fixtures import HOURLY_SPEC
     feats = build_features(hourly_bars(spark, sf), HOURLY_SPEC, names)
-    return names, forward_returns(feats, {"future_ret_1h": 4})
+    return names, stage(forward_returns(feats, {"future_ret_1h": 4}))
 
 
 def pooled_ic(spark, sf):

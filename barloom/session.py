@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,13 +26,27 @@ def build_session(master: str | None = None, name: str = "barloom", partitions:
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder the cluster names; a temporary one only where none is set."""
+def shared_folder(spark: SparkSession) -> str:
+    """Folder named in spark.checkpoint.dir; a temporary one only in local mode without the setting."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
+    if spark not in _local_folders:
+        _local_folders[spark] = tempfile.mkdtemp(prefix="spark-")
+    return _local_folders[spark]
+
+
+_local_folders: dict[SparkSession, str] = {}
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write an intermediate table that several passes read, and return the table.
+
+    Unlike a cache it survives lost executors, and later passes still prune columns and push filters.
+    """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None and not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
