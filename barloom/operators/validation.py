@@ -324,21 +324,39 @@ def return_matrix(returns: DataFrame, symbols: Sequence[str], kind: str = "cov",
                   min_obs: int = 2) -> DataFrame:
     """(a, b, n, value): covariance or correlation of weekly returns of the given holdings.
 
-    Weeks are laid out with one column per holding, and every pair is an aggregate over those rows
-    (weeks where both have a return), so no pair table is ever emitted.
+    Weeks are laid out with one column per holding; the pair sums (over weeks where both have a
+    return) are aggregates over those rows, so no table of pairs per week is emitted.
     """
     cols = {s: f"c{i}" for i, s in enumerate(symbols)}
     wide = returns.where(F.col("symbol").isin(list(symbols))).groupBy("week").agg(*[
         F.max(F.when(F.col("symbol") == s, F.col("ret"))).alias(c) for s, c in cols.items()])
-    pairs = [(a, b) for i, a in enumerate(symbols) for b in symbols[i:]]
-    cells = {}
-    for i, (a, b) in enumerate(pairs):
-        both = F.col(cols[a]).isNotNull() & F.col(cols[b]).isNotNull()
-        x, y = F.when(both, F.col(cols[a])), F.when(both, F.col(cols[b]))
-        cells[f"n{i}"] = F.count(F.when(both, F.lit(1)))
-        cells[f"v{i}"] = F.covar_samp(x, y) if kind == "cov" else plain_corr(x, y)
-    one = wide.agg(*[v.alias(k) for k, v in cells.items()])
-    return one.select(F.inline(F.array(*[
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"n{i}").alias("n"),
-                 F.col(f"v{i}").alias("value")) for i, (a, b) in enumerate(pairs)
-    ]))).where(F.col("n") >= min_obs)
+    both = lambda j, c: F.when(F.col(f"_x.c{j}").isNotNull(), c)
+    x = F.col("_a.x")
+    # One row per (week, holding), and per row sums against every holding at once.
+    rows = wide.select(F.struct(*cols.values()).alias("_x"), F.explode(F.array(*[
+        F.struct(F.lit(i).alias("i"), F.col(c).alias("x")) for i, c in enumerate(cols.values())
+    ])).alias("_a")).where(x.isNotNull())
+    sums = []
+    for j in range(len(symbols)):
+        y = F.col(f"_x.c{j}")
+        sums += [F.count(y).alias(f"n{j}"), F.sum(both(j, x)).alias(f"sx{j}"), F.sum(y).alias(f"sy{j}"),
+                 F.sum(x * y).alias(f"xy{j}")]
+        if kind != "cov":
+            sums += [F.sum(both(j, x * x)).alias(f"xx{j}"), F.sum(y * y).alias(f"yy{j}")]
+    made = rows.groupBy(F.col("_a.i").alias("i")).agg(*sums)
+
+    def value(j: int) -> Column:
+        n = F.col(f"n{j}").cast("double")
+        sx, sy = F.col(f"sx{j}"), F.col(f"sy{j}")
+        cross = F.col(f"xy{j}") - ratio(sx * sy, n)
+        if kind == "cov":
+            return ratio(cross, n - 1)
+        spread = lambda s2, s1: F.greatest(s2 - ratio(s1 * s1, n), F.lit(0.0))
+        return ratio(cross, F.sqrt(spread(F.col(f"xx{j}"), sx) * spread(F.col(f"yy{j}"), sy)))
+
+    names = F.array(*[F.lit(s) for s in symbols])
+    return made.select("i", F.inline(F.array(*[
+        F.struct(F.lit(j).alias("j"), F.lit(s).alias("b"), F.col(f"n{j}").alias("n"), value(j).alias("value"))
+        for j, s in enumerate(symbols)
+    ]))).where((F.col("j") >= F.col("i")) & (F.col("n") >= min_obs)).select(
+        F.get(names, F.col("i")).alias("a"), "b", "n", "value")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("feature_queries", "weekly_queries", "research_queries", "portfolio_queries")
+_MODULES = ("feature_queries", "weekly_queries", "research_queries", "portfolio_queries", "system_queries")
 
 
 def _merged(attribute: str) -> dict:
