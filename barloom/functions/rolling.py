@@ -165,7 +165,8 @@ def with_ema(layout: Layout, specs: dict[str, tuple[str, float]]) -> Layout:
     blocks back has a weight below 1e-25 and is left out.
     """
     df, w = layout.df, layout.window()
-    block = w.partitionBy(*layout.keys, "_blk").orderBy(*layout.order)
+    # Ordered by time alone, so that blocks and chunks ask for the same sort.
+    block = Window.partitionBy(*layout.keys, "_blk").orderBy(layout.order[-1])
     upto_prev = layout.running(-1)
     in_block = block.rowsBetween(Window.unboundedPreceding, 0)
     keep = df.columns
