@@ -35,12 +35,14 @@ class Roll:
 class _Sums:
     terms: dict[str, Column] = field(default_factory=dict)
     lags: dict[str, tuple[str, int]] = field(default_factory=dict)
+    spans: dict[str, Column] = field(default_factory=dict)
 
     def over(self, key: str, term: Column, n: int) -> Column:
         self.terms.setdefault(key, term)
         lagged = f"{key}__{n}"
         self.lags[lagged] = (key, n)
-        return F.col(key) - F.coalesce(F.col(lagged), F.lit(0.0))
+        self.spans[f"{lagged}_d"] = F.col(key) - F.coalesce(F.col(lagged), F.lit(0.0))
+        return F.col(f"{lagged}_d")
 
 
 def _power(x: str, k: int) -> Column:
@@ -152,7 +154,7 @@ def with_rolls(
     df = df.withColumns({**slides, **running})
     if finals:
         df = df.withColumns({k: F.lag(src, n).over(w) for k, (src, n) in sums.lags.items()})
-        df = df.withColumns(finals)
+        df = df.withColumns(sums.spans).withColumns(finals)
     return layout.with_df(df.select(*keep, *rolls))
 
 

@@ -18,8 +18,7 @@ def col(x: str | Column) -> Column:
 
 def ratio(a: str | Column, b: str | Column) -> Column:
     """a / b, NULL where the denominator is zero (ANSI division would raise)."""
-    a, b = col(a), col(b)
-    return F.when(b != 0, a / b)
+    return F.try_divide(col(a), col(b))
 
 
 def log_ratio(a: str | Column, b: str | Column) -> Column:

@@ -22,6 +22,7 @@ from ..functions import series
 from ..functions.ranks import with_rank
 from ..functions.rolling import PREFIX_FROM, Roll, ema_block, with_ema, with_rolls
 from ..functions.scalars import clip, finite, log_ratio, ratio
+from ..session import favour_compiled_code
 from ..spec import BarSpec
 from .layout import CHUNK_ROWS, Layout, chunk_offsets, in_blocks, lay_out
 
@@ -260,23 +261,26 @@ def _needed(stages: list[tuple[str, dict]], wanted: set[str]) -> list[tuple[str,
 
 
 def _kernel_stage(
-    layout: Layout, df: DataFrame, wanted: Sequence[str], spec: BarSpec, ffd_d: float,
-    ffd_threshold: float,
-) -> DataFrame:
-    """Array kernels per chunk. Runs on the partitioning the windows already have."""
+    layout: Layout, wanted: Sequence[str], spec: BarSpec, ffd_d: float, ffd_threshold: float,
+) -> Layout:
+    """Array kernels per chunk, on the partitioning the windows already have.
+
+    Runs before the wide windows, so only bars and the ranked inputs pass through Python. The new
+    columns come out moved down one bar, like every other feature.
+    """
     d = spec.bars_per_day
     weights = series.fractional_weights(ffd_d, ffd_threshold)
-    ts = "ts"
+    df = layout.df
     passed = [c for c in df.columns if not c.startswith("_in_")]
     schema = T.StructType(
         [df.schema[c] for c in passed] + [T.StructField(n, T.DoubleType()) for n in wanted]
     )
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if not pdf[ts].is_monotonic_increasing:
-            pdf = pdf.sort_values(ts, kind="stable")
-        close = pdf["_in_close"].to_numpy(dtype=float)
-        made = {}
+        if not pdf["ts"].is_monotonic_increasing:
+            pdf = pdf.sort_values("ts", kind="stable")
+        close = pdf["close"].to_numpy(dtype=float)
+        out = pdf[passed].copy()
         for name in wanted:
             if name in RANKED:
                 x = pdf[f"_in_{RANKED[name]}"].to_numpy(dtype=float)
@@ -290,13 +294,12 @@ def _kernel_stage(
                 value = series.fractional_difference(logs, weights)
             shifted = np.full(len(close), np.nan)
             shifted[1:] = value[:-1]
-            made[name] = np.where(np.isfinite(shifted), shifted, np.nan)
-        out = pdf[passed].copy()
-        for name, value in made.items():
-            out[name] = value
+            out[name] = shifted
         return out
 
-    return df.groupBy(*layout.keys).applyInPandas(run, schema)
+    made = df.groupBy(*layout.keys).applyInPandas(run, schema)
+    made = made.withColumns({n: finite(n) for n in wanted})
+    return Layout(made, layout.keys, ("ts",), layout.chunked)
 
 
 def feature_lookback(spec: BarSpec, wanted: Sequence[str], ffd_d: float, ffd_threshold: float) -> int:
@@ -329,6 +332,7 @@ def build_features(
     unknown = [f for f in wanted if f not in FEATURES]
     if unknown:
         raise ValueError(f"unknown features: {unknown}")
+    favour_compiled_code(bars.sparkSession)
     bars = bars.select(
         "symbol", "ts", *[c for c in keep if c not in _PRICES],
         *[finite(F.col(p).cast("double")).alias(p) for p in _PRICES],
@@ -337,12 +341,29 @@ def build_features(
         bars = with_rank(bars, "close", ["symbol"], "_rank")
     layout = lay_out(
         bars, feature_lookback(spec, wanted, ffd_d, ffd_threshold), chunk_rows=chunk_rows)
-    if EMA_FEATURES & set(wanted):
-        # Blocks first: every later window then shares the (block, ts) order.
-        layout = in_blocks(layout, block_rows or _EMA_BLOCK)
     kernels = [f for f in wanted if f in KERNEL_FEATURES]
     plain = [f for f in wanted if f not in KERNEL_FEATURES]
-    inputs = {RANKED.get(k, "close") for k in kernels}
+
+    if kernels:
+        base = layout.df.columns
+        inputs = sorted({RANKED[k] for k in kernels if k in RANKED})
+        fed = _run_stages(layout, spec, set(inputs), prefix_from)
+        fed = fed.with_df(fed.df.select(*base, *[F.col(c).alias(f"_in_{c}") for c in inputs]))
+        layout = _kernel_stage(fed, kernels, spec, ffd_d, ffd_threshold)
+    if EMA_FEATURES & set(plain):
+        # Blocks first: every later window then shares the (block, ts) order.
+        layout = in_blocks(layout, block_rows or _EMA_BLOCK)
+    layout = _run_stages(layout, spec, set(plain), prefix_from)
+    w = layout.window()
+    helpers = [c for c in ("_chunk", "_own") if layout.chunked]
+    df = layout.df.select(
+        "symbol", "ts", *keep, *helpers, *kernels,
+        *[F.lag(f, 1).over(w).alias(f) for f in plain])
+    return layout.trim(df).select("symbol", "ts", *keep, *wanted)
+
+
+def _run_stages(layout: Layout, spec: BarSpec, wanted: set[str], prefix_from: int) -> Layout:
+    """Add the wanted columns (not yet moved down) and whatever they are built from."""
     stages = [
         ("columns", _lags(layout, spec)), ("columns", _bar_terms()), ("columns", _return_terms()),
         ("columns", _second_lags(layout, spec)), ("level", {"_abs_obv": F.col("_sv")}),
@@ -351,7 +372,7 @@ def build_features(
         ("ema", _EMA_BASE), ("columns", _ema_terms()),
         ("ema", _EMA_CHAINED), ("columns", _chained_ema_terms()),
     ]
-    for kind, made in _needed(stages, inputs | set(plain)):
+    for kind, made in _needed(stages, wanted):
         if kind == "columns":
             layout = layout.with_df(layout.df.withColumns(made))
         elif kind == "rolls":
@@ -360,20 +381,4 @@ def build_features(
             layout = with_ema(layout, made)
         else:
             layout = _signed_volume_level(layout)
-    df = layout.df
-
-    w = layout.window()
-    helpers = [c for c in ("_chunk", "_own") if layout.chunked]
-    inputs |= {"close"} if kernels else set()
-    df = df.select(
-        "symbol", "ts", *keep, *helpers,
-        *[finite(F.lag(f, 1).over(w)).alias(f) for f in plain],
-        *[F.col(c).alias(f"_in_{c}") for c in sorted(inputs)],
-    )
-    if kernels:
-        df = _kernel_stage(layout, df, kernels, spec, ffd_d, ffd_threshold)
-    return layout.trim(df).select("symbol", "ts", *keep, *[_no_nan(f) for f in wanted])
-
-
-def _no_nan(name: str) -> Column:
-    return finite(name).alias(name) if name in KERNEL_FEATURES else F.col(name)
+    return layout

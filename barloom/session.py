@@ -26,6 +26,19 @@ def build_session(master: str | None = None, name: str = "barloom", partitions:
     return builder.getOrCreate()
 
 
+_HUGE_METHOD = "spark.sql.codegen.hugeMethodLimit"
+
+
+def favour_compiled_code(spark: SparkSession) -> None:
+    """Lower the fused-method limit to what the JVM still compiles (8000 bytes), unless it was set.
+
+    A wide projection fused into one larger method would run interpreted; beyond the limit Spark
+    evaluates it through split, compiled projections instead.
+    """
+    if spark.conf.get(_HUGE_METHOD) == "65535":
+        spark.conf.set(_HUGE_METHOD, "8000")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder named in spark.checkpoint.dir; a temporary one only in local mode without the setting."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
