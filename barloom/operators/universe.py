@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite
@@ -96,8 +96,5 @@ def market_proxy(bars: DataFrame, preferred: Sequence[str] = ("BTCUSDT", "ETHUSD
     ranked = counts.withColumn("prio", prio)
     if not fallback:
         ranked = ranked.where(F.col("prio") < len(preferred))
-    best = Window.orderBy("prio", F.desc("n"), "symbol")
-    chosen = (
-        ranked.withColumn("rn", F.row_number().over(best)).where(F.col("rn") == 1).select("symbol")
-    )
+    chosen = ranked.orderBy("prio", F.desc("n"), "symbol").limit(1).select("symbol")
     return bars.join(F.broadcast(chosen), "symbol", "left_semi")  # one row

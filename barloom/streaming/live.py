@@ -15,9 +15,13 @@ from ..functions.scalars import ratio
 
 
 def kline_stream(spark: SparkSession, path: str, late: str = "1 hour", fmt: str = "json",
-                 schema: T.StructType = KLINE_SCHEMA) -> DataFrame:
-    """Bar feed from files landing in a folder; each (symbol, open time) passes once."""
-    raw = spark.readStream.schema(schema).format(fmt).load(path)
+                 schema: T.StructType = KLINE_SCHEMA, files_per_batch: int = 1000) -> DataFrame:
+    """Bar feed from files landing in a folder; each (symbol, open time) passes once.
+
+    ``files_per_batch`` bounds a micro-batch, and with it what a stateful operator gets per symbol.
+    """
+    raw = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+           .format(fmt).load(path))
     numbers = [F.col(c).try_cast("double").alias(c) for c in PRICE_COLUMNS]
     bars = raw.select("symbol", F.timestamp_millis("open_time").alias("ts"), *numbers).na.drop(how="any")
     return deduplicated(bars, late)
