@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranks import spearman, spearman_small
 from ..functions.scalars import log_ratio
+from ..session import stage
 from .layout import CHUNK_ROWS, lay_out, positions
 from .weekly import snapshots, week_of, weekly_returns
 
@@ -135,8 +136,9 @@ def signal_decay(feats: DataFrame, features: Sequence[str], horizons: Sequence[i
     layout = lay_out(feats, 0, max(horizons), chunk_rows=chunk_rows)
     w = layout.window()
     ahead = layout.df.withColumns({f"_c{h}": F.lead("close", h).over(w) for h in horizons})
-    ahead = layout.trim(ahead).select(
-        "symbol", *features, *[log_ratio(f"_c{h}", "close").alias(f"_r{h}") for h in horizons])
+    # Values, ranks of one side and of the other: three passes, so the returns are written once.
+    ahead = stage(layout.trim(ahead).select(
+        "symbol", *features, *[log_ratio(f"_c{h}", "close").alias(f"_r{h}") for h in horizons]))
     long = ahead.select("symbol", *features, F.explode(F.array(*[
         F.struct(F.lit(h).alias("horizon"), F.col(f"_r{h}").alias("fwd")) for h in horizons
     ])).alias("_h")).select("symbol", *features, "_h.horizon", "_h.fwd")

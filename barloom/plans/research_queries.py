@@ -207,8 +207,12 @@ def governance(spark, sf):
     cut = F.to_timestamp_ntz(F.lit("1999-01-04"))
     lo, hi = (F.to_timestamp_ntz(F.lit(t)) for t in ("1990-01-01", "2010-01-01"))
     cur, prev = _pred_halves(spark, sf)
-    return validation.governance(0.09, 0.02, _importance(feats, cut, hi), _importance(feats, lo, cut),
-                                 cur, prev)
+    out = validation.governance(0.09, 0.02, _importance(feats, cut, hi), _importance(feats, lo, cut),
+                                cur, prev)
+    numbers = ["ic_gap", "drift_rmse", "rank_corr", "pred_mean", "pred_std", "pred_skew", "pred_kurt",
+               "ks_stat", "ks_p_value"]
+    return out.select(*[r6(c).alias(c) for c in numbers], *[
+        F.array_join(c, ",").alias(c) for c in ("top_movers", "warnings")])
 
 
 def leak_test(spark, sf):
@@ -486,6 +490,28 @@ ORACLES = {
         from l, (select unnest(range(1, 101)) as k))
       select {r('d', 'ks_stat')}, {r('case when lam < 0.2 then 1.0 else least(greatest(p, 0), 1) end', 'p_value')},
         na as n_current, nb as n_previous from s""",
+    "governance_report": f"""{_HALVES},
+      {_imp('cu', "ts >= timestamp '1999-01-04'")}, {_imp('pv', "ts < timestamp '1999-01-04'")},
+      b as (select feature, cu.v as c, pv.v as p, rank() over (order by cu.v) as rc, rank() over (order by pv.v) as rp,
+        row_number() over (order by abs(cu.v - pv.v) desc, feature) as place from cu join pv using (feature)),
+      im as (select sqrt(avg(pow(c - p, 2))) as rm, corr(rc, rp) as rr,
+        string_agg(case when place <= 5 then feature end, ',' order by place) as tm from b),
+      f as (select x, count(*) filter (where cur) as a, count(*) filter (where not cur) as b from h group by 1),
+      c as (select sum(a) over (order by x) / sum(a) over ()::double as fa, sum(b) over (order by x) / sum(b) over ()::double as fb,
+        sum(a) over () as na, sum(b) over () as nb from f),
+      d as (select max(abs(fa - fb)) as d, any_value(na)::double as na, any_value(nb)::double as nb from c),
+      l as (select *, sqrt(na * nb / (na + nb)) * d as lam from d),
+      s as (select any_value(d) as d, any_value(lam) as lam,
+        sum(case when k % 2 = 1 then 2.0 else -2.0 end * exp(-2.0 * k * k * lam * lam)) as p
+        from l, (select unnest(range(1, 101)) as k)),
+      kp as (select d, case when lam < 0.2 then 1.0 else least(greatest(p, 0), 1) end as p from s),
+      mo as (select avg(x) as mu, stddev_pop(x) as sd from h where cur),
+      ms as (select any_value(mu) as mu, any_value(sd) as sd, avg(pow((x - mu) / sd, 3)) as sk,
+        avg(pow((x - mu) / sd, 4)) - 3 as ku from h, mo where cur)
+      select {r('0.07', 'ic_gap')}, {r('rm', 'drift_rmse')}, {r('rr', 'rank_corr')}, {r('mu', 'pred_mean')}, {r('sd', 'pred_std')},
+        {r('sk', 'pred_skew')}, {r('ku', 'pred_kurt')}, {r('kp.d', 'ks_stat')}, {r('kp.p', 'ks_p_value')}, tm as top_movers,
+        concat_ws(',', 'OVERFIT', case when rr < 0.5 then 'DRIFT' end, case when kp.p < 0.01 then 'SHIFT' end) as warnings
+      from im, kp, ms""",
     "prediction_moments": f"""{_HALVES}, m as (select avg(x) as mu, stddev_pop(x) as sd from h where cur)
       select {r('any_value(mu)', 'mean')}, {r('any_value(sd)', 'std')}, {r('avg(pow((x - mu) / sd, 3))', 'skew')},
         {r('avg(pow((x - mu) / sd, 4)) - 3', 'kurt')} from h, m where cur""",

@@ -16,6 +16,8 @@ DAILY_SPEC = BarSpec(5, 20, 12)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")  # all times in the package are UTC
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
