@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, quality
+from . import decontaminate, license_scan, near_dup, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,11 +57,36 @@ select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, c
  sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join s using (r) left join t using (r)"""
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP10_SQL = r"""
+with recursive w as materialized (
+ select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as materialized (
+ select distinct doc_id, array_to_string(w[pos0:pos0 + 3], ' ') as g
+ from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) as pos0 from w where len(w) > 0)),
+n as materialized (select doc_id, count(*) as n from s group by doc_id),
+pairs as (select a.doc_id as a, b.doc_id as b, count(*) as both_ from s a join s b on a.g = b.g and a.doc_id < b.doc_id
+ group by 1, 2),
+links as materialized (
+ select a, b from pairs join n x on x.doc_id = a join n y on y.doc_id = b where 100 * both_ >= 80 * (x.n + y.n - both_)),
+edges as materialized (select a, b from links union select b, a from links),
+reach(doc_id, root) as (select a, a from edges union select r.doc_id, e.b from reach r join edges e on r.root = e.a),
+c as (select doc_id, min(root) as root from reach group by doc_id)
+select doc_id, coalesce(n, 0) as n_shingles, coalesce(root, doc_id) as component_id,
+ doc_id = coalesce(root, doc_id) as kept
+from documents left join n using (doc_id) left join c using (doc_id)"""
+
 QUERIES = {
     "op3_license_scan": op3_license_scan,
     "op8_quality": op8_quality,
     "op9_decontamination": op9_decontamination,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 ORACLES = {
     "op9_decontamination": OP9_SQL,
+    "op10_near_duplicates": OP10_SQL,
 }
