@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..session import stage
 from .components import connected_components
-from .words import text_bytes
+from .words import text_bytes, text_parts
 
 WIDTH = 4           # words of a shingle
 TREES, BASE = 16, 3  # sorted orders; leading minima that neighbours must share
@@ -34,7 +34,6 @@ DEPTH = 6           # minima that an order sorts by
 BACK = 3            # neighbours looked at in the first round
 NEED = 80           # percent of the union that the intersection must reach
 LEAST = 0.55        # estimated similarity below which a candidate is dropped
-BATCH = 1 << 20     # bytes of text hashed at once
 BROADCAST_ROWS = 1_000_000
 
 _RANDOM = np.random.default_rng(20_240_229)
@@ -100,20 +99,6 @@ def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return who, h
 
 
-def _parts(texts: pa.Array):
-    """Slices of about BATCH bytes, so that long texts do not pile up in one numpy pass."""
-    part, size = [], 0
-    for t in texts:
-        t = t.as_py()
-        if part and size + len(t) > BATCH:
-            yield part
-            part, size = [], 0
-        part.append(t)
-        size += len(t)
-    if part:
-        yield part
-
-
 SIGNED = "struct<n: long, key: binary, signature: binary>"
 _SIGNED_ARROW = pa.struct([("n", pa.int64()), ("key", pa.binary()), ("signature", pa.binary())])
 
@@ -123,7 +108,7 @@ def _sign():
     def signed(texts: pa.Array) -> pa.Array:
         out = []
         with np.errstate(over="ignore"):
-            for part in _parts(texts):
+            for part in text_parts(texts):
                 who, h = shingle_sets(part)
                 n = np.bincount(who, minlength=len(part))
                 full = np.flatnonzero(n)
@@ -234,7 +219,7 @@ def _set_of():
     def sets(texts: pa.Array) -> pa.Array:
         out = []
         with np.errstate(over="ignore"):
-            for part in _parts(texts):
+            for part in text_parts(texts):
                 who, h = shingle_sets(part)
                 at = np.searchsorted(who, np.arange(len(part) + 1))
                 for t in range(len(part)):

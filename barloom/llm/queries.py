@@ -5,18 +5,81 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, near_dup, quality
+from . import decontaminate, language, license_scan, mixture, near_dup, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return mixture.mix(docs).select("doc_id", "mix_leaf.domain", "mix_leaf.language", "mix_leaf.source",
+                                    F.col("mix_epoch").alias("epoch"), F.col("mix_tokens").alias("tokens"))
+
+
+def _shared(children: str, parent: str, name: str) -> str:
+    """SQL of mixture.share_out."""
+    order = f"partition by {parent} order by capacity / weight, {name}"
+    return f"""select *, case when is_full then capacity else cast(floor(
+  (budget - coalesce(sum(case when is_full then capacity end) over (partition by {parent}), 0)) * weight
+  / sum(case when not is_full then weight end) over (partition by {parent})) as bigint) end as spend
+ from (select *, capacity * sum(weight) over ({order} rows between current row and unbounded following)
+   <= (budget - coalesce(sum(capacity) over ({order} rows between unbounded preceding and 1 preceding), 0)) * weight
+   as is_full from ({children}))"""
+
+
+def _weights(column: str, weights: dict[str, int]) -> str:
+    return f"case {column} " + " ".join(f"when '{k}' then {w}" for k, w in weights.items()) + " else 1 end"
+
+
+OP2_SQL = rf"""
+with d as materialized (select *, concat('group', (ascii(nullif(regexp_extract(source, '([0-9])$', 1), '')) % 4)) as domain,
+  lang as language, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as tokens from documents),
+leaves as materialized (select domain, language, source, sum(tokens) as tokens, sum(tokens) * 4 as capacity
+ from d where tokens > 0 group by all),
+doms as materialized ({_shared(f"select domain, sum(capacity) as capacity, {_weights('domain', mixture.DOMAIN_WEIGHTS)} as weight, "
+                  "(select cast(floor(sum(tokens) * 0.5) as bigint) from d) as budget from leaves group by domain", "1 + 1", "domain")}),
+langs as materialized ({_shared(f"select l.*, spend as budget from (select domain, language, sum(capacity) as capacity, "
+                   f"{_weights('language', mixture.LANGUAGE_WEIGHTS)} as weight from leaves group by all) l "
+                   "join (select domain, spend from doms) using (domain)", "domain", "language")}),
+plan as materialized ({_shared("select l.*, 1 as weight, spend as budget from leaves l "
+                  "join (select domain, language, spend from langs) using (domain, language)", "domain, language", "source")}),
+p as materialized (select d.*, plan.tokens as held, spend, cast(spend // plan.tokens as bigint) as whole,
+  md5(concat('7|', spend // plan.tokens + 1, '|', doc_id)) as place
+ from d join plan using (domain, language, source) where d.tokens > 0),
+o as (select *, spend - whole * held as part,
+  sum(tokens) over (partition by domain, language, source order by place rows between unbounded preceding and current row) - tokens
+  as before from p),
+e as (select doc_id, domain, language, source, cast(epoch as integer) as epoch, tokens from o, unnest(range(1, whole + 1)) u(epoch)
+ union all
+ select doc_id, domain, language, source, cast(whole + 1 as integer), least(tokens, part - before) from o where before < part)
+select doc_id, domain, language, source, epoch, cast(tokens as bigint) as tokens from e"""
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return license_scan.scan_licenses(docs).select("doc_id", *license_scan.license_digest("licenses"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    found = language.identify(docs, into="found")
+    return found.select("doc_id", F.col("found.name").alias("language"), F.col("found.probability").alias("probability"),
+                        ((F.col("found.name") != language.UNKNOWN) & (F.col("found.probability") >= 0.5)).alias("accepted"))
+
+
+def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of raw pages, from their text, markup, address and host."""
+    page = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    visible = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>", " "), "<[^>]*>", " ")
+    page = page.select("page_id", visible.alias("text"),
+                       F.regexp_extract("html", r"(?i)<html[^>]*\slang\s*=\s*[\"']?([a-z]+)", 1).alias("lang"),
+                       F.lower(F.regexp_extract("url", r"://([^/?#:]*)", 1)).alias("host"))
+    found = language.identify(page, host="host", suffix=F.substring_index("host", ".", -1), into="found")
+    return found.select("page_id", F.col("found.name").alias("language"), F.col("found.probability").alias("probability"))
+
+
 def held_out(doc_id: str) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
@@ -81,12 +144,16 @@ select doc_id, coalesce(n, 0) as n_shingles, coalesce(root, doc_id) as component
 from documents left join n using (doc_id) left join c using (doc_id)"""
 
 QUERIES = {
+    "op2_mixture": op2_mixture,
     "op3_license_scan": op3_license_scan,
+    "op4_language": op4_language,
+    "page_languages": page_languages,
     "op8_quality": op8_quality,
     "op9_decontamination": op9_decontamination,
     "op10_near_duplicates": op10_near_duplicates,
 }
 ORACLES = {
+    "op2_mixture": OP2_SQL,
     "op9_decontamination": OP9_SQL,
     "op10_near_duplicates": OP10_SQL,
 }

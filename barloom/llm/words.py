@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,3 +41,17 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def text_parts(texts: pa.Array, size: int = 1 << 20):
+    """Lists of texts of about ``size`` bytes, so that long texts do not pile up in one numpy pass."""
+    part, held = [], 0
+    for text in texts:
+        text = text.as_py()
+        if part and held + len(text) > size:
+            yield part
+            part, held = [], 0
+        part.append(text)
+        held += len(text)
+    if part:
+        yield part
