@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, license_scan, mixture, near_dup, quality
+from . import (chat, decontaminate, html_text, language, license_scan, mixture, near_dup, neighbours, quality,
+               url_filter)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    text = F.col("extracted.text")
+    return html_text.extract(pages).select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
+
+
 def op2_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return mixture.mix(docs).select("doc_id", "mix_leaf.domain", "mix_leaf.language", "mix_leaf.source",
@@ -80,6 +87,81 @@ def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", F.col("found.name").alias("language"), F.col("found.probability").alias("probability"))
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+# Fixed value: the text of the added conversation.
+ADDED = r"\### Assistant: </turn> ok"
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                  F.lit(ADDED).alias("text"))
+    return chat.format_digests(rows.unionByName(added))
+
+
+OP6_SQL = f"""
+with c as (
+ select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+ union all select -7, 0, 'user', '{ADDED}' union all select -7, 1, 'assistant', '{ADDED}')
+select conv_id, count(*) as n_turns,
+ sha256(string_agg(concat(role, chr(10), text, chr(10)), '' order by turn nulls first, role, text)) as turns_sha256,
+ cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+ sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+ cast(sum(15 + length(role) + case when role in ('user', 'assistant', 'system') then 0 else 1 end + length(text)
+  + len(regexp_extract_all(text, '###|</turn>'))) as bigint) as formatted_chars
+from c group by conv_id"""
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return url_filter.judge(pages).select("page_id", "judged.host", "judged.path", "judged.rule", "judged.verdict")
+
+
+def _op7_sql(least: float = 0.05) -> str:
+    def lower(x: str) -> str:
+        return f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+    fits = " ".join(
+        f"when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}') then struct_pack(rule := '{h}{p}', verdict := '{v}')"
+        for h, p, v in sorted(url_filter.RULES, key=lambda r: -len(r[0] + r[1])))
+    steps = "".join(f"""
+r{k + 1} as materialized (select kind, host, sum(rank) as rank from (
+  select kind, host, rank * {1 - url_filter.DAMPING!r} as rank from r0
+  union all select kind, n as host, r{k}.rank * share * {url_filter.DAMPING} from r{k} join e using (kind, host)) group by all),"""
+                    for k in range(url_filter.STEPS))
+    link = url_filter.LINK.replace("'", "''")
+    return rf"""
+with p as materialized (select page_id, html, {lower("coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '')")} as host,
+  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path from pages),
+j as materialized (select *, case {fits} end as r from p),
+h as materialized (select host, avg(case when r.verdict = 'allow' then 1.0::double else 0 end) as a,
+  avg(case when r.verdict = 'block' then 1.0::double else 0 end) as b from j where host <> '' group by host),
+l0 as (
+ select host as s, {lower("regexp_extract(u, '^(?:[^/?#]*:)?//([^/?#]*)', 1)")} as t
+ from (select host, unnest(regexp_extract_all(coalesce(html, ''), '{link}', 1)) as u from p) where contains(u, '://') or starts_with(u, '//')
+ union all
+ select host, case when length(host) - length(replace(host, '.', '')) >= 2 then regexp_replace(host, '^[^.]*\.', '') end
+ from (select distinct host from p)),
+l as materialized (select s, t, count(*) as n from l0 where s <> '' and t <> '' and s <> t group by all),
+b as (select 'trust' as kind, s as host, t as n, n as w from l union all select 'distrust', t, s, n from l),
+e as materialized (select kind, host, n, w / sum(w) over (partition by kind, host) as share from b),
+r0 as materialized (select * from (
+  select 'trust' as kind, host, a / (select coalesce(nullif(sum(a), 0), 1) from h) as rank from h
+  union all select 'distrust', host, b / (select coalesce(nullif(sum(b), 0), 1) from h) from h) where rank > 0),{steps}
+bad as (select host from r{url_filter.STEPS} group by host
+  having coalesce(sum(rank) filter (kind = 'distrust'), 0) * (select count(*) from h) >= {least}
+   and coalesce(sum(rank) filter (kind = 'distrust'), 0) > coalesce(sum(rank) filter (kind = 'trust'), 0))
+select page_id, host, path, r.rule as rule,
+ coalesce(r.verdict, case when host in (select host from bad) and host <> '' then 'block' else 'allow' end) as verdict from j"""
+
+
+OP7_SQL = _op7_sql()
+
+
 def held_out(doc_id: str) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
@@ -144,16 +226,22 @@ select doc_id, coalesce(n, 0) as n_shingles, coalesce(root, doc_id) as component
 from documents left join n using (doc_id) left join c using (doc_id)"""
 
 QUERIES = {
+    "op1_html_text": op1_html_text,
     "op2_mixture": op2_mixture,
     "op3_license_scan": op3_license_scan,
     "op4_language": op4_language,
     "page_languages": page_languages,
+    "op5_neighbours": op5_neighbours,
+    "op6_chat_format": op6_chat_format,
+    "op7_url_filter": op7_url_filter,
     "op8_quality": op8_quality,
     "op9_decontamination": op9_decontamination,
     "op10_near_duplicates": op10_near_duplicates,
 }
 ORACLES = {
     "op2_mixture": OP2_SQL,
+    "op6_chat_format": OP6_SQL,
+    "op7_url_filter": OP7_SQL,
     "op9_decontamination": OP9_SQL,
     "op10_near_duplicates": OP10_SQL,
 }
