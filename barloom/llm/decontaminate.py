@@ -90,10 +90,7 @@ def item_packs(items: DataFrame, item_id: str, text: str, window: int, pack_word
             for k in range(count)]
 
 
-def find_overlaps(docs: DataFrame, items: DataFrame, *, window: int = 10, text: str = "text",
-                  item_id: str = "item_id", item_text: str = "text", pack_words: int = 200_000,
-                  into: str = "overlap") -> DataFrame:
-    """``docs`` with a struct column: words, hit spans (word positions, merged) and item ids."""
+def _overlaps(docs: DataFrame, packs: list, window: int, text: str, into: str) -> DataFrame:
     def search(pack):
         @F.arrow_udf(FOUND)
         def found(texts: pa.Array, earlier: pa.Array) -> pa.Array:
@@ -110,7 +107,6 @@ def find_overlaps(docs: DataFrame, items: DataFrame, *, window: int = 10, text:
         return found
 
     found = F.lit(None).cast(FOUND)
-    packs = item_packs(items, item_id, item_text, window, pack_words)
     for k, pack in enumerate(packs):
         docs = docs.withColumn(into, search(pack)(text_bytes(text), found))
         found = F.col(into)
@@ -119,6 +115,13 @@ def find_overlaps(docs: DataFrame, items: DataFrame, *, window: int = 10, text:
     return docs
 
 
+def find_overlaps(docs: DataFrame, items: DataFrame, *, window: int = 10, text: str = "text",
+                  item_id: str = "item_id", item_text: str = "text", pack_words: int = 200_000,
+                  into: str = "overlap") -> DataFrame:
+    """``docs`` with a struct column: words, hit spans (word positions, merged) and item ids."""
+    return _overlaps(docs, item_packs(items, item_id, item_text, window, pack_words), window, text, into)
+
+
 _FOUND_ARROW = pa.struct([
     ("n_words", pa.int64()),
     ("spans", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))),
@@ -136,25 +139,14 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def without_spans(text: bytes, pack: tuple, window: int) -> tuple[bytes, int, int]:
-    """Text with all hits cut out, its words before the cut, and how many words went.
-
-    A cut brings words together that may make another hit, so the rest is searched again.
-    """
-    n_words, gone = None, 0
-    while True:
-        words = word_list(text)
-        n_words = len(words) if n_words is None else n_words
-        spans, _ = hits(words, pack, window)
-        if not spans:
-            return text, n_words, gone
-        offsets = word_spans(text)
-        kept, at = [], 0
-        for first, last in spans:
-            kept.append(text[at:offsets[first][0]])
-            at = offsets[last][1]
-            gone += last - first + 1
-        text = b" ".join([*(p.strip() for p in kept), text[at:].strip()]).strip()
+def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """Text without the words of the spans."""
+    offsets = word_spans(text)
+    kept, at = [], 0
+    for first, last in spans:
+        kept.append(text[at:offsets[first][0]].strip())
+        at = offsets[last][1]
+    return b" ".join([*kept, text[at:].strip()]).strip()
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 10, max_coverage: float = 0.5,
@@ -162,40 +154,63 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 10, max_co
                   pack_words: int = 200_000) -> DataFrame:
     """Texts without the spans that repeat test items; same columns.
 
-    A span goes if a run of ``window`` item words (or a whole shorter item) covers it. A document
-    goes when such spans cover more than ``max_coverage`` of its words. Others are unchanged.
+    A span goes if a run of ``window`` item words (or a whole shorter item) covers it. A cut brings
+    words together that may make another hit, so the rest is searched again until there is none. A
+    document goes when the cuts took more than ``max_coverage`` of its words. Others are unchanged.
     """
     def cleaner(pack):
         @F.arrow_udf(CLEANED)
         def cleaned(texts: pa.Array) -> pa.Array:
             out = []
             for value in texts:
-                rest, n_words, gone = without_spans(value.as_py(), pack.value, window)
+                rest, n_words, gone = value.as_py(), None, 0
+                while True:
+                    words = word_list(rest)
+                    n_words = len(words) if n_words is None else n_words
+                    spans, _ = hits(words, pack.value, window)
+                    if not spans:
+                        break
+                    gone += sum(last - first + 1 for first, last in spans)
+                    rest = cut(rest, spans)
                 out.append({"n_words": n_words, "n_hit": gone, "text": rest.decode("utf-8", "replace") if gone else None})
-            return pa.array(out, type=pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("text", pa.string())]))
+            return pa.array(out, type=_CLEANED_ARROW)
         return cleaned
 
+    @F.arrow_udf("string")
+    def shortened(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        return pa.array([cut(t.as_py(), [(s["first"], s["last"]) for s in own.as_py()]).decode("utf-8", "replace")
+                         if len(own) else None for t, own in zip(texts, spans)], type=pa.string())
+
     columns = docs.columns
-    into = free_name(docs, "cleaned")
+    found, words, gone = (free_name(docs, c) for c in ("cleaned", "words_before", "words_gone"))
     packs = item_packs(items, item_id, item_text, window, pack_words)
-    passes, k = 0, 0
-    while passes < len(packs):  # with several packs: until none of them finds anything
-        docs = docs.withColumn(into, cleaner(packs[k % len(packs)])(text_bytes(text)))
-        if len(packs) > 1:
-            docs = stage(docs)
-            passes = passes + 1 if docs.filter(F.col(f"{into}.n_hit") > 0).isEmpty() else 1
-        else:
-            passes = 1
-        k += 1
-        hit, words = F.col(f"{into}.n_hit"), F.col(f"{into}.n_words")
-        docs = docs.filter(hit <= max_coverage * words).select(*[
-            F.coalesce(F.col(f"{into}.text"), F.col(c)).alias(c) if c == text else F.col(c) for c in columns])
-    return docs
+    if len(packs) == 1:
+        docs = docs.withColumn(found, cleaner(packs[0])(text_bytes(text)))
+        fits = F.col(f"{found}.n_hit") <= max_coverage * F.col(f"{found}.n_words")
+        return docs.filter(fits).select(*[
+            F.coalesce(F.col(f"{found}.text"), F.col(c)).alias(c) if c == text else F.col(c) for c in columns])
+    docs = docs.withColumns({words: F.lit(None).cast("long"), gone: F.lit(0).cast("long")})
+    while True:  # each round looks at all packs before it cuts
+        docs = stage(_overlaps(docs, packs, window, text, found))
+        if docs.filter(F.size(f"{found}.spans") > 0).isEmpty():
+            fits = F.col(gone) <= max_coverage * F.coalesce(F.col(words), F.col(f"{found}.n_words"))
+            return docs.filter(fits).select(*columns)
+        short = shortened(text_bytes(text), F.col(f"{found}.spans"))
+        docs = docs.select(*[F.coalesce(short, F.col(c)).alias(c) if c == text else F.col(c) for c in columns],
+                           F.coalesce(F.col(words), F.col(f"{found}.n_words")).alias(words),
+                           (F.col(gone) + _n_hit(found)).alias(gone))
+
+
+_CLEANED_ARROW = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("text", pa.string())])
+
+
+def _n_hit(overlap: str) -> Column:
+    return F.aggregate(f"{overlap}.spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
 
 
 def overlap_digest(overlap: str) -> list[Column]:
     """Numbers and digest of a struct of ``find_overlaps``."""
-    n_hit = F.aggregate(f"{overlap}.spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
+    n_hit = _n_hit(overlap)
     items = F.array_sort(f"{overlap}.items")
     return [F.col(f"{overlap}.n_words").alias("n_words"), n_hit.alias("n_hit"),
             F.size(items).cast("long").alias("n_items"),
