@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .components import connected_components
+from .components import merge_roots
 from .words import text_bytes, text_parts
 
 WIDTH = 4           # words of a shingle
@@ -275,21 +275,17 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     # First the best candidate of each class, then all that still lie in different components.
     first = pairs.groupBy("a").agg(F.max_by("b", F.struct("same", "b")).alias("b")).unionByName(
         pairs.groupBy("b").agg(F.max_by("a", F.struct("same", "a")).alias("a"))).distinct()
-    links = stage(confirmed(first, sets))
-    roots = connected_components(links)
+    roots = merge_roots(alive.select(F.col("key").alias("node"), F.col("key").alias("root")), stage(confirmed(first, sets)))
     tried, todo = first, apart(pairs.select("a", "b"), roots)
     while True:
-        new = stage(confirmed(todo.join(tried, ["a", "b"], "left_anti"), sets))
-        added = not new.isEmpty()
-        if added:
-            links = links.unionByName(new)
-            roots = connected_components(links)
-        elif tried is not first:
+        parted = alive.join(roots.select(F.col("node").alias("key"), F.col("root").alias("part")), "key")
+        todo = stage(todo.unionByName(candidates(stage(parted), "part", 1).select("a", "b")).distinct()
+                     .join(tried, ["a", "b"], "left_anti"))
+        new = stage(confirmed(todo, sets))
+        if new.isEmpty():
             break
-        tried = tried.unionByName(todo).distinct()
-        parted = alive.join(roots.withColumnRenamed("node", "key"), "key", "left") \
-            .withColumn("part", F.coalesce("root", "key")).drop("root")
-        todo = stage(candidates(stage(parted), "part", 1).select("a", "b"))
+        roots = merge_roots(roots, new)
+        tried, todo = tried.unionByName(todo), todo.filter("false")
     members = classes.select("key", "rep").join(roots.withColumnRenamed("node", "key"), "key", "left") \
         .withColumn("root", F.coalesce("root", "key"))
     smallest = members.groupBy("root").agg(F.min("rep").alias("least"))
@@ -306,8 +302,7 @@ def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs whose ends lie in different components."""
     left = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
     right = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-    return pairs.join(left, "a", "left").join(right, "b", "left") \
-        .filter(~F.coalesce(F.col("ra") == F.col("rb"), F.lit(False))).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").filter(F.col("ra") != F.col("rb")).select("a", "b")
 
 
 def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
