@@ -1,13 +1,13 @@
 """Trailing-window statistics with a minimum count of valid rows, and exponential averages.
 
-Short frames use Spark's sliding window. A sliding frame costs its length per row, so frames of
-``prefix_from`` rows and more are built from running sums instead: the sum over the last n rows is
-the running sum now minus the running sum n rows ago, a constant cost per row.
+Every frame is Spark's sliding window: each value is computed from the rows of its own frame alone,
+with the engine's one-pass moments. Differences of running sums would cost less for long frames, but
+lose small spreads once a series changes level.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
@@ -15,10 +15,6 @@ from pyspark.sql import functions as F
 from ..operators.layout import Layout, block_length
 from .scalars import ratio
 
-PREFIX_FROM = 16
-# A spread below this share of the mean square is rounding noise of the running sums.
-_NOISE = 1e-13
-
 
 @dataclass(frozen=True)
 class Roll:
@@ -31,25 +27,6 @@ class Roll:
     y: str | None = None
 
 
-@dataclass
-class _Sums:
-    terms: dict[str, Column] = field(default_factory=dict)
-    lags: dict[str, tuple[str, int]] = field(default_factory=dict)
-    spans: dict[str, Column] = field(default_factory=dict)
-
-    def over(self, key: str, term: Column, n: int) -> Column:
-        self.terms.setdefault(key, term)
-        lagged = f"{key}__{n}"
-        self.lags[lagged] = (key, n)
-        self.spans[f"{lagged}_d"] = F.col(key) - F.coalesce(F.col(lagged), F.lit(0.0))
-        return F.col(f"{lagged}_d")
-
-
-def _power(x: str, k: int) -> Column:
-    return F.coalesce(F.pow(F.col(x), F.lit(float(k))) if k > 2 else (
-        F.col(x) * F.col(x) if k == 2 else F.col(x)), F.lit(0.0)).cast("double")
-
-
 def _valid(x: str, y: str | None) -> Column:
     ok = F.col(x).isNotNull()
     if y:
@@ -57,53 +34,6 @@ def _valid(x: str, y: str | None) -> Column:
     return ok
 
 
-def _spread(n: Column, s1: Column, s2: Column) -> Column:
-    m2 = s2 - s1 * s1 / n
-    return F.when(m2 > s2 * _NOISE, m2).otherwise(0.0)
-
-
-def _from_sums(roll: Roll, sums: _Sums) -> Column:
-    x, y, n = roll.x, roll.y, roll.n
-    tag = f"_s_{x}" if not y else f"_s_{x}_{y}"
-    cnt = sums.over(f"{tag}_0", F.when(_valid(x, y), 1.0).otherwise(0.0), n)
-    if y:
-        ok = _valid(x, y)
-        pair = lambda expr: F.when(ok, expr).otherwise(0.0)
-        a, b = F.col(x), F.col(y)
-        sx = sums.over(f"{tag}_x", pair(a), n)
-        sy = sums.over(f"{tag}_y", pair(b), n)
-        sxx = sums.over(f"{tag}_xx", pair(a * a), n)
-        syy = sums.over(f"{tag}_yy", pair(b * b), n)
-        sxy = sums.over(f"{tag}_xy", pair(a * b), n)
-        denom = F.sqrt(_spread(cnt, sx, sxx) * _spread(cnt, sy, syy))
-        value = ratio(sxy - sx * sy / cnt, denom)
-    else:
-        s1 = sums.over(f"{tag}_1", _power(x, 1), n)
-        if roll.kind == "sum":
-            value = s1
-        elif roll.kind == "mean":
-            value = s1 / cnt
-        else:
-            s2 = sums.over(f"{tag}_2", _power(x, 2), n)
-            m2 = _spread(cnt, s1, s2)
-            if roll.kind == "std":
-                value = F.when(cnt > 1, F.sqrt(m2 / (cnt - 1)))
-            elif roll.kind == "std_pop":
-                value = F.sqrt(m2 / cnt)
-            else:
-                s3 = sums.over(f"{tag}_3", _power(x, 3), n)
-                mu = s1 / cnt
-                m3 = s3 - 3 * mu * s2 + 2 * cnt * mu * mu * mu
-                if roll.kind == "skew":
-                    value = sample_skew(cnt, ratio(m3 / cnt, F.pow(m2 / cnt, F.lit(1.5))))
-                else:
-                    s4 = sums.over(f"{tag}_4", _power(x, 4), n)
-                    m4 = s4 - 4 * mu * s3 + 6 * mu * mu * s2 - 3 * cnt * F.pow(mu, F.lit(4.0))
-                    value = sample_kurt(cnt, ratio(m4 / cnt, F.pow(m2 / cnt, F.lit(2.0))) - 3)
-    # No window function here: a count below one never reaches the divisions.
-    return F.when(cnt >= max(roll.min_rows, 1), value)
-
-
 def sample_skew(n: Column, g: Column) -> Column:
     return F.when(n > 2, g * F.sqrt(n * (n - 1)) / (n - 2))
 
@@ -136,26 +66,9 @@ def _sliding(roll: Roll, layout: Layout) -> Column:
     return F.when(cnt >= max(roll.min_rows, 1), value)
 
 
-def with_rolls(
-    layout: Layout, rolls: dict[str, Roll], prefix_from: int = PREFIX_FROM
-) -> Layout:
+def with_rolls(layout: Layout, rolls: dict[str, Roll]) -> Layout:
     """Add every named trailing statistic; all share one partitioning and one sort."""
-    sums = _Sums()
-    slides, finals = {}, {}
-    for name, roll in rolls.items():
-        if roll.n >= prefix_from and roll.kind not in ("min", "max"):
-            finals[name] = _from_sums(roll, sums)
-        else:
-            slides[name] = _sliding(roll, layout)
-    df = layout.df
-    keep = df.columns
-    w = layout.window()
-    running = {k: F.sum(t).over(layout.running()) for k, t in sums.terms.items()}
-    df = df.withColumns({**slides, **running})
-    if finals:
-        df = df.withColumns({k: F.lag(src, n).over(w) for k, (src, n) in sums.lags.items()})
-        df = df.withColumns(sums.spans).withColumns(finals)
-    return layout.with_df(df.select(*keep, *rolls))
+    return layout.with_df(layout.df.withColumns({name: _sliding(roll, layout) for name, roll in rolls.items()}))
 
 
 def with_ema(layout: Layout, specs: dict[str, tuple[str, float]]) -> Layout:

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from ..functions import series
 from ..functions.ranks import with_rank
-from ..functions.rolling import PREFIX_FROM, Roll, ema_block, with_ema, with_rolls
+from ..functions.rolling import Roll, ema_block, with_ema, with_rolls
 from ..functions.scalars import clip, finite, log_ratio, ratio
 from ..session import favour_compiled_code
 from ..spec import BarSpec
@@ -321,7 +321,6 @@ def build_features(
     ffd_threshold: float = 1e-5,
     chunk_rows: int = CHUNK_ROWS,
     block_rows: int | None = None,
-    prefix_from: int = PREFIX_FROM,
 ) -> DataFrame:
     """Features of bars(symbol, ts, open, high, low, close, volume), one row per bar.
 
@@ -347,13 +346,13 @@ def build_features(
     if kernels:
         base = layout.df.columns
         inputs = sorted({RANKED[k] for k in kernels if k in RANKED})
-        fed = _run_stages(layout, spec, set(inputs), prefix_from)
+        fed = _run_stages(layout, spec, set(inputs))
         fed = fed.with_df(fed.df.select(*base, *[F.col(c).alias(f"_in_{c}") for c in inputs]))
         layout = _kernel_stage(fed, kernels, spec, ffd_d, ffd_threshold)
     if EMA_FEATURES & set(plain):
         # Blocks first: every later window then shares the (block, ts) order.
         layout = in_blocks(layout, block_rows or _EMA_BLOCK)
-    layout = _run_stages(layout, spec, set(plain), prefix_from)
+    layout = _run_stages(layout, spec, set(plain))
     w = layout.window()
     helpers = [c for c in ("_chunk", "_own") if layout.chunked]
     df = layout.df.select(
@@ -362,7 +361,7 @@ def build_features(
     return layout.trim(df).select("symbol", "ts", *keep, *wanted)
 
 
-def _run_stages(layout: Layout, spec: BarSpec, wanted: set[str], prefix_from: int) -> Layout:
+def _run_stages(layout: Layout, spec: BarSpec, wanted: set[str]) -> Layout:
     """Add the wanted columns (not yet moved down) and whatever they are built from."""
     stages = [
         ("columns", _lags(layout, spec)), ("columns", _bar_terms()), ("columns", _return_terms()),
@@ -376,7 +375,7 @@ def _run_stages(layout: Layout, spec: BarSpec, wanted: set[str], prefix_from: in
         if kind == "columns":
             layout = layout.with_df(layout.df.withColumns(made))
         elif kind == "rolls":
-            layout = with_rolls(layout, made, prefix_from)
+            layout = with_rolls(layout, made)
         elif kind == "ema":
             layout = with_ema(layout, made)
         else:

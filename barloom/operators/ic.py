@@ -28,15 +28,21 @@ def weekly_feature_ic(feats: DataFrame, bars: DataFrame, features: Sequence[str]
         min_symbols)
 
 
-def in_week_ic(feats: DataFrame, features: Sequence[str], target: str,
-               min_symbols: int = 5) -> DataFrame:
-    """(week, feature, n_obs, ic) of per-symbol means of feature and target inside the week."""
+def in_week_ic(feats: DataFrame, features: Sequence[str], target: str, min_symbols: int = 5,
+               min_rows: int = 3) -> DataFrame:
+    """(week, feature, n_obs, ic) of per-symbol means of feature and target inside the week.
+
+    Both means run over the rows where the two are present; symbols with fewer than ``min_rows``
+    rows in the week are left out.
+    """
+    both = lambda f: F.col(f).isNotNull() & F.col(target).isNotNull()
     means = feats.groupBy(week_of("ts").alias("week"), "symbol").agg(
-        *[F.avg(F.when(F.col(target).isNotNull(), F.col(f))).alias(f) for f in features],
-        F.avg(target).alias("_y"))
-    return spearman_small(
-        melt(means, ["week", "symbol", "_y"], features), "value", "_y", ["week", "feature"],
-        min_symbols)
+        F.count(F.lit(1)).alias("_n"), *[F.struct(
+            F.lit(f).alias("feature"), F.avg(F.when(both(f), F.col(f))).alias("value"),
+            F.avg(F.when(both(f), F.col(target))).alias("_y")).alias(f"_f{i}") for i, f in enumerate(features)])
+    long = means.where(F.col("_n") >= min_rows).select(
+        "week", "symbol", F.inline(F.array(*[F.col(f"_f{i}") for i in range(len(features))])))
+    return spearman_small(long, "value", "_y", ["week", "feature"], min_symbols)
 
 
 def model_ic(preds: DataFrame, rets: DataFrame, min_symbols: int = 10,
@@ -111,17 +117,20 @@ def filter_features(ics: DataFrame, threshold: float = 0.005, min_features: int
         .otherwise(F.abs("ic") >= threshold).alias("selected"))
 
 
-def select_recent(history: DataFrame, last: int = 8, min_obs: int = 4,
+def select_recent(history: DataFrame, features: Sequence[str], last: int = 8, min_obs: int = 4,
                   min_features: int = 20) -> DataFrame:
-    """Features whose mean IC over the newest ``last`` weeks is not negative (0 when few weeks).
+    """Features whose mean IC over the newest ``last`` weeks is not negative (0 when few or no weeks).
 
     ``history`` is (week, feature, ic); falls back to the best ``min_features``.
     """
     newest = Window.partitionBy("feature").orderBy(F.desc("week"))
     recent = history.withColumn("_rn", F.row_number().over(newest)).where(F.col("_rn") <= last)
-    mean = recent.groupBy("feature").agg(
+    known = recent.groupBy("feature").agg(
         F.count(F.lit(1)).alias("n_obs"),
         F.when(F.count(F.lit(1)) >= min_obs, F.avg("ic")).otherwise(0.0).alias("mean_ic"))
+    names = history.sparkSession.createDataFrame([(f,) for f in features], "feature string")
+    mean = names.join(known, "feature", "left").select(
+        "feature", F.coalesce("n_obs", F.lit(0)).alias("n_obs"), F.coalesce("mean_ic", F.lit(0.0)).alias("mean_ic"))
     place = F.row_number().over(Window.orderBy(F.desc("mean_ic"), "feature"))
     passing = F.sum((F.col("mean_ic") >= 0).cast("int")).over(Window.partitionBy())
     return mean.withColumn("_place", place).withColumn("_passing", passing).select(

@@ -139,10 +139,15 @@ def pick_quantile(preds: DataFrame, quantile: float = 0.15, cap: float = 0.35,
 
 
 def with_held(picks: DataFrame) -> DataFrame:
-    """Add ``held``: the same side held the symbol in the week before (an equi-join on week + 7 days)."""
-    before = picks.select(
-        (F.col("week") + F.expr("INTERVAL 7 DAYS")).cast("timestamp_ntz").alias("week"), "symbol",
-        "side", F.lit(True).alias("held")).distinct()
+    """Add ``held``: the same side held the symbol in the last traded week before.
+
+    Weeks without a book are skipped over: the book before them is still held. The window runs over
+    one row for each week.
+    """
+    weeks = picks.select("week").distinct().withColumn("_next", F.lead("week").over(Window.orderBy("week")))
+    before = picks.join(weeks, "week").select(
+        F.col("_next").alias("week"), "symbol", "side", F.lit(True).alias("held")) \
+        .where(F.col("week").isNotNull()).distinct()
     return picks.join(before, ["week", "symbol", "side"], "left").withColumn(
         "held", F.coalesce("held", F.lit(False)))
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rolling import PREFIX_FROM, Roll, with_rolls
+from ..functions.rolling import Roll, with_rolls
 from ..functions.scalars import clip, log_ratio, ratio
 from ..spec import BarSpec
 from .layout import CHUNK_ROWS, lay_out
@@ -35,7 +35,7 @@ def regime_by_week(proxy: DataFrame, spec: BarSpec = BarSpec(), min_vol_obs: int
     """
     d = spec.bars_per_day
     back = 4 * d
-    layout = lay_out(proxy, back + 1, chunk_rows=chunk_rows)
+    layout = lay_out(proxy, max(back, min_vol_obs) + 2, chunk_rows=chunk_rows)
     w = layout.window()
     layout = layout.with_df(layout.df.withColumn(
         "_lr", log_ratio("close", F.lag("close", 1).over(w))))
@@ -67,7 +67,7 @@ def regime_from_features(feats: DataFrame, spec: BarSpec = BarSpec(),
     })
     w = layout.window()
     recent = F.when(F.col("_long").isNotNull(), F.col("_recent")).otherwise(F.col("_base"))
-    ret = F.last("ret_1w", ignorenulls=True).over(layout.running())
+    ret = F.last("ret_1w", ignorenulls=True).over(layout.last_rows(back))
     df = layout.df.withColumn("_ret", F.coalesce(ret, F.lit(0.0))).withColumn(
         "_day", F.lag(F.lit(1), d - 1).over(w).isNotNull())
     label = F.when(F.col("_day"), classify(F.col("_ret"), recent, F.col("_base"))).otherwise(LOW_VOL)
@@ -94,8 +94,7 @@ class PumpConfig:
     w_reversal: float = 0.25
 
 
-def pump_scores(bars: DataFrame, cfg: PumpConfig = PumpConfig(), chunk_rows: int = CHUNK_ROWS,
-                prefix_from: int = PREFIX_FROM) -> DataFrame:
+def pump_scores(bars: DataFrame, cfg: PumpConfig = PumpConfig(), chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Per bar: three z-scores, reversal flag, composite score, pump and dump flags."""
     back = cfg.hour_bars + max(cfg.vol_window, cfg.ret_window, cfg.warmup) + cfg.reversal_window + 2
     layout = lay_out(bars, back, chunk_rows=chunk_rows)
@@ -113,7 +112,7 @@ def pump_scores(bars: DataFrame, cfg: PumpConfig = PumpConfig(), chunk_rows: int
         "_gm": Roll("mean", "_rng", rv, rv // 2), "_gs": Roll("std", "_rng", rv, rv // 2),
         "_hi": Roll("max", "_ret_1", cfg.reversal_window, 1),
         "_lo": Roll("min", "_ret_1", cfg.reversal_window, 1),
-    }, prefix_from)
+    })
     ret = F.col("_ret")
     down = (F.col("_hi") > 0) & (ret < -F.col("_hi") * cfg.reversal_share)
     up = (F.col("_lo") < 0) & (ret > -F.col("_lo") * cfg.reversal_share)

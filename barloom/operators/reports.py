@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranks import quantiles
+from ..functions.ranks import average_rank, plain_corr, quantiles
 from ..functions.scalars import ratio
 from .portfolio import with_drawdown
 from .regime import BEAR, BULL, IC_GATED, KILL_SWITCH
@@ -104,18 +104,17 @@ def feature_ic_stats(history: DataFrame, k: int | None = 10) -> DataFrame:
     return stats.orderBy(F.desc("mean_ic"), "feature").limit(k) if k else stats
 
 
-def ic_assessment(history: DataFrame, strong: float = 0.02, moderate: float = 0.01) -> DataFrame:
-    """Label each feature by its mean IC; consistent and noisy flags by the positive share."""
-    stats = feature_ic_stats(history, None)
+def ic_assessment(history: DataFrame) -> DataFrame:
+    """Label each feature by its mean IC and the share of positive ICs; consistent and noisy flags."""
+    mean, positive = F.col("mean_ic"), F.col("positive_ratio")
     label = (
-        F.when(F.col("mean_ic") > strong, "STRONG").when(F.col("mean_ic") > moderate, "MODERATE")
-        .when(F.col("mean_ic") > 0, "WEAK").otherwise("NEGATIVE")
+        F.when((mean > 0.05) & (positive >= 0.7), "STRONG_POSITIVE")
+        .when((mean > 0) & (positive >= 0.5), "MODERATE_POSITIVE")
+        .when(mean > 0, "WEAK_POSITIVE").otherwise("NEGATIVE/NOISY")
     )
-    return stats.withColumns({
-        "assessment": label,
-        "consistent": (F.col("mean_ic") > 0) & (F.col("positive_ratio") >= 0.6),
-        "noisy": F.col("std_ic") > 2 * F.abs("mean_ic"),
-    })
+    return feature_ic_stats(history, None).withColumns({
+        "assessment": label, "consistent": (mean > 0) & (positive >= 0.7),
+        "noisy": (positive < 0.6) | (F.col("n_obs") < 10)})
 
 
 def retrain_degradation(retrains: DataFrame) -> DataFrame:
@@ -210,25 +209,36 @@ def importance_ranks(importances: DataFrame, by: str = "label", value: str = "im
 
 
 def baselines(snap: DataFrame, rets: DataFrame, min_symbols: int = 10, seed: int = 42) -> DataFrame:
-    """(baseline, mean_ic, std_ic, icir, pct_positive, n_weeks) of simple signals."""
-    from ..functions.ranks import spearman_small
+    """(baseline, mean_ic, std_ic, icir, pct_positive, n_weeks, best) of simple signals.
+
+    Weeks without a defined IC are left out. ``rets`` should hold returns as they are, extreme ones
+    included. The composite is the mean of the present ones among both momenta and the volatility.
+    """
     from .matrix import hash_fraction, hash_text
 
     zero = lambda c: F.coalesce(c, F.lit(0.0))
+    parts = ["ret_1w", "ret_3d", "vol_regime"]
+    present = sum(F.col(c).isNotNull().cast("int") for c in parts)
     noise = hash_fraction(hash_text(seed, ["symbol", "_w"]))
     sig = snap.withColumn("_w", F.date_format("week", "yyyy-MM-dd")).select(
         "week", "symbol", zero("ret_1w").alias("momentum_1w"), zero("ret_3d").alias("momentum_3d"),
-        zero(-F.col("vol_regime")).alias("low_volatility"), noise.alias("random"))
-    sig = sig.withColumn(
-        "composite", (F.col("momentum_1w") + F.col("momentum_3d") + F.col("low_volatility")) / 3)
+        zero(-F.col("vol_regime")).alias("low_volatility"),
+        zero(ratio(sum(zero(c) for c in parts), present)).alias("composite"), noise.alias("random"))
     names = ["momentum_1w", "momentum_3d", "low_volatility", "composite", "random"]
     joined = sig.join(rets.select("week", "symbol", "ret"), ["week", "symbol"])
     long = joined.unpivot(["week", "symbol", "ret"], names, "baseline", "value")
-    ics = spearman_small(long, "value", "ret", ["week", "baseline"], min_symbols, keep_short=False)
-    return ics.groupBy("baseline").agg(
-        F.avg("ic").alias("mean_ic"), F.stddev_pop("ic").alias("std_ic"),
-        ratio(F.avg("ic"), F.stddev_pop("ic")).alias("icir"), share(F.col("ic") > 0).alias("pct_positive"),
-        F.count(F.lit(1)).alias("n_weeks"))
+    ranked = long.withColumns({"_x": average_rank("value", ["week", "baseline"]),
+                               "_y": average_rank("ret", ["week", "baseline"])})
+    ics = ranked.groupBy("week", "baseline").agg(
+        F.count(F.lit(1)).alias("n"), plain_corr("_x", "_y").alias("ic")) \
+        .where((F.col("n") >= min_symbols) & F.col("ic").isNotNull())
+    spread = F.stddev_pop("ic")
+    out = ics.groupBy("baseline").agg(
+        F.avg("ic").alias("mean_ic"), spread.alias("std_ic"),
+        F.when(spread > 1e-8, ratio(F.avg("ic"), spread)).otherwise(0.0).alias("icir"),
+        share(F.col("ic") > 1e-12).alias("pct_positive"), F.count(F.lit(1)).alias("n_weeks"))
+    first = F.row_number().over(Window.orderBy(F.desc("mean_ic"), "baseline"))  # five rows
+    return out.withColumn("best", first == 1)
 
 
 def nested_report(weekly: DataFrame, trades: DataFrame, history: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from ..functions.scalars import normal_cdf, ratio, t_two_sided
 from ..session import stage
 from .ic import melt
 from .matrix import exact_sample, feature_pairs, hash_fraction, hash_text, row_key
-from .layout import positions
+from .layout import CHUNK_ROWS, lay_out, positions
 from .resample import week_of
 from .universe import complete_rows
 from .weekly import sampled_times
@@ -57,38 +57,43 @@ def cross_section_betas(rows: DataFrame, features: Sequence[str], target: str,
         .select("ts", F.col("z.feature").alias("feature"), F.col("z.beta").alias("beta"))
 
 
-def newey_west(series: DataFrame, value: str, order: str, by: Sequence[str]) -> DataFrame:
+def newey_west(series: DataFrame, value: str, order: str, by: Sequence[str],
+               chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """(by, n, mean, std, nw_se) with a Bartlett kernel of floor(n^(1/3)) lags, at least one.
 
-    A series here is one value per sampled timestamp or week, so its array is small.
+    A row meets only its own lags, in a frame of that many rows; long series are cut into chunks.
     """
-    sets = series.where(F.col(value).isNotNull()).groupBy(*by).agg(
-        F.sort_array(F.collect_list(F.struct(order, value))).alias("_s"),
+    rows = stage(series.where(F.col(value).isNotNull()).select(*by, order, value))
+    sets = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
-    sets = sets.withColumn("_x", F.transform("_s", lambda s: s[value] - F.col("mean")))
-    lags = F.greatest(F.lit(1), F.floor(F.pow(F.col("n"), F.lit(1 / 3)))).cast("int")
-    total = lambda arr: F.aggregate(arr, F.lit(0.0), lambda acc, v: acc + v)
-
-    def gamma(k: Column) -> Column:
-        lead_part = F.slice("_x", k + 1, F.greatest(F.col("n").cast("int") - k, F.lit(0)))
-        lag_part = F.slice("_x", F.lit(1), F.greatest(F.col("n").cast("int") - k, F.lit(0)))
-        return total(F.zip_with(lead_part, lag_part, lambda a, b: a * b)) / F.col("n")
-
-    weighted = F.transform(
-        F.sequence(F.lit(1), lags),
-        lambda k: 2.0 * (1.0 - k / (lags + 1)) * F.when(k < F.col("n"), gamma(k)).otherwise(0.0))
-    var = F.greatest(gamma(F.lit(0)) + total(weighted), F.lit(1e-16))
-    se = F.when(F.col("n") < 2, 1e-12).otherwise(F.sqrt(var / F.col("n")))
-    return sets.select(*by, "n", "mean", "std", se.alias("nw_se"))
+    longest = int((sets.agg(F.max("n")).first()[0] or 0) ** (1 / 3)) + 1
+    keyed = rows.join(sets, list(by)).withColumns({
+        "_series": F.concat_ws("|", *by), "_x": F.col(value) - F.col("mean"),
+        "_lags": F.greatest(F.lit(1), F.floor(F.pow(F.col("n"), F.lit(1 / 3)))).cast("int")})
+    layout = lay_out(keyed, longest, key="_series", ts=order, chunk_rows=chunk_rows)
+    before = F.collect_list("_x").over(layout.window().rowsBetween(-longest, -1))
+    with_lags = layout.trim(layout.df.withColumn("_before", before))
+    reach = F.least("_lags", F.size("_before"))
+    cross = F.when(reach > 0, F.aggregate(
+        F.sequence(F.lit(1), reach), F.lit(0.0),
+        lambda acc, k: acc + 2.0 * (1.0 - k / (F.col("_lags") + 1)) * F.element_at("_before", -k))).otherwise(0.0)
+    total = with_lags.groupBy(*by).agg(
+        F.first("n").alias("n"), F.first("mean").alias("mean"), F.first("std").alias("std"),
+        F.sum(F.col("_x") * (F.col("_x") + cross)).alias("_v"))
+    se = F.when(F.col("n") < 2, 1e-12).otherwise(
+        F.sqrt(F.greatest(F.col("_v") / F.col("n"), F.lit(1e-16)) / F.col("n")))
+    return total.select(*by, "n", "mean", "std", se.alias("nw_se"))
 
 
 def fama_macbeth(rows: DataFrame, features: Sequence[str], target: str, min_symbols: int = 20,
-                 times: int = 500, min_periods: int = 10) -> DataFrame:
-    """(feature, coef_mean, coef_std, t_stat, p_value, n_periods) over about ``times`` timestamps."""
-    keep = sampled_times(rows.where(F.col(target).isNotNull()), times)
-    # One row per sampled timestamp, about twice ``times`` at most.
-    sampled = rows.join(F.broadcast(keep), "ts", "left_semi")
-    betas = cross_section_betas(sampled, features, target, min_symbols)
+                 times: int | None = None, min_periods: int = 10) -> DataFrame:
+    """(feature, coef_mean, coef_std, t_stat, p_value, n_periods) over all timestamps.
+
+    A caller may ask for about ``times`` of them, taken evenly from all timestamps.
+    """
+    if times:
+        rows = rows.join(sampled_times(rows, times), "ts", "left_semi")
+    betas = cross_section_betas(rows, features, target, min_symbols)
     nw = newey_west(betas, "beta", "ts", ["feature"])
     names = rows.sparkSession.createDataFrame([(f,) for f in features], "feature string")
     all_rows = names.join(nw, "feature", "left")
@@ -118,9 +123,12 @@ def benjamini_hochberg(tests: DataFrame, alpha: float = 0.05, p: str = "p_value"
 
 # --- redundancy ---------------------------------------------------------------------------------
 
-def spearman_pairs(rows: DataFrame, features: Sequence[str], sample: int | None = 100_000,
+def spearman_pairs(rows: DataFrame, features: Sequence[str], sample: int | None = None,
                    seed: int = 42) -> DataFrame:
-    """(feature_a, feature_b, r): rank correlation of all pairs over pooled complete rows."""
+    """(feature_a, feature_b, r): rank correlation of all pairs over pooled complete rows.
+
+    All rows count, unless the caller asks for a sample of a given size.
+    """
     pooled = complete_rows(rows.select("symbol", "ts", *features), features)
     if sample:
         pooled = exact_sample(pooled, sample, seed)
@@ -144,19 +152,22 @@ def redundant_features(pairs: DataFrame, features: Sequence[str], limit: float =
     return dropped
 
 
-def stationarity(feats: DataFrame, features: Sequence[str], max_symbols: int = 20,
-                 last: int = 5000, min_obs: int = 100, critical: float = -2.86) -> DataFrame:
+def stationarity(feats: DataFrame, features: Sequence[str], last: int | None = None, min_obs: int = 100,
+                 critical: float = -2.86, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """(feature, mean_stat, pct_stationary, n_series): Dickey-Fuller t statistic per series, no lags.
 
-    Only the newest ``last`` values of a series are asked for; that limit applies before the shuffle.
+    All symbols and all values count; with ``last`` only the newest values of each series.
     """
-    chosen = feats.select("symbol").distinct().orderBy("symbol").limit(max_symbols)
-    long = melt(feats.select("symbol", "ts", *features).join(F.broadcast(chosen), "symbol", "left_semi"),
-                ["symbol", "ts"], features).where(F.col("value").isNotNull())
-    newest = Window.partitionBy("feature", "symbol").orderBy(F.desc("ts"))
-    tail = long.withColumn("_rn", F.row_number().over(newest)).where(F.col("_rn") <= last)
-    prev = F.lead("value", 1).over(newest)  # rows run backwards in time
-    steps = tail.withColumn("_prev", prev).withColumn("_step", F.col("value") - F.col("_prev"))
+    long = melt(feats.select("symbol", "ts", *features), ["symbol", "ts"], features) \
+        .where(F.col("value").isNotNull())
+    if last:
+        newest = Window.partitionBy("feature", "symbol").orderBy(F.desc("ts"))
+        long = long.withColumn("_rn", F.row_number().over(newest)).where(F.col("_rn") <= last)
+    layout = lay_out(long.withColumn("_series", F.concat_ws("|", "feature", "symbol")), 1, key="_series",
+                     chunk_rows=chunk_rows)
+    prev = F.lag("value", 1).over(layout.window())
+    steps = layout.trim(layout.df.withColumn("_prev", prev)) \
+        .withColumn("_step", F.col("value") - F.col("_prev"))
     series = steps.groupBy("feature", "symbol").agg(
         F.count(F.lit(1)).alias("_obs"), F.count("_step").alias("n"),
         (F.var_pop(F.when(F.col("_step").isNotNull(), F.col("_prev"))) * F.count("_step")).alias("sxx"),
@@ -173,8 +184,8 @@ def stationarity(feats: DataFrame, features: Sequence[str], max_symbols: int = 2
 
 
 def full_validation(rows: DataFrame, features: Sequence[str], target: str, alpha: float = 0.10,
-                    max_corr: float = 0.85, min_symbols: int = 20, times: int = 500,
-                    sample: int | None = 100_000) -> DataFrame:
+                    max_corr: float = 0.85, min_symbols: int = 20, times: int | None = None,
+                    sample: int | None = None) -> DataFrame:
     """One row per feature: regression, false-discovery, redundancy and stationarity verdicts."""
     fm = benjamini_hochberg(fama_macbeth(rows, features, target, min_symbols, times), alpha)
     dropped = redundant_features(spearman_pairs(rows, features, sample), features, max_corr)
@@ -265,13 +276,12 @@ def governance(ic_in: float, ic_out: float, current: DataFrame, previous: DataFr
 # --- leakage ------------------------------------------------------------------------------------
 
 def leak_test(rows: DataFrame, features: Sequence[str], target: str, embargo: int = 48,
-              seed: int = 42, max_features: int = 20, max_shuffled: float = 0.02,
-              min_leaked: float = 0.95) -> DataFrame:
+              seed: int = 42, max_shuffled: float = 0.02, min_leaked: float = 0.95) -> DataFrame:
     """One row: IC against a permuted target, against the target plus noise, and against the past.
 
     The permutation pairs the rows by position in a seeded-digest order, an equi-join on positions.
     """
-    names = list(features)[:max_features]
+    names = list(features)
     base = stage(row_key(complete_rows(rows.select("symbol", "ts", *names, target), [*names, target]))
                  .withColumn("_hash", hash_text(seed, ["_key"])))
     cell = F.substring("_hash", 1, 3)

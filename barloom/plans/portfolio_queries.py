@@ -234,8 +234,8 @@ def falsification(spark, sf):
     bars = daily_bars(spark, sf)
     feats = build_features(bars, DAILY_SPEC, ["ret_1w", "ret_3d", "vol_regime"])
     snap = snapshots(feats, ["ret_1w", "ret_3d", "vol_regime"])
-    return reports.baselines(snap, weekly_returns(bars)).select(
-        "baseline", *[r6(c).alias(c) for c in ("mean_ic", "std_ic", "icir", "pct_positive")], "n_weeks")
+    return reports.baselines(snap, weekly_returns(bars, None)).select(
+        "baseline", *[r6(c).alias(c) for c in ("mean_ic", "std_ic", "icir", "pct_positive")], "n_weeks", "best")
 
 
 def _history(spark, sf):
@@ -365,8 +365,9 @@ _SIDES = f"""{_PANEL},
    row_number() over (partition by week order by pred, symbol desc) as rw from e2),
  pk as (select week, symbol, pred, regime, base_scale, 'BUY' as side from e3 where cl and rb <= n
    union all select week, symbol, pred, regime, base_scale, 'SELL' from e3 where cs and rw <= n)"""
-_HELD = """hd as (select a.*, b.week is not null as held from {src} a left join {src} b
-   on b.week + interval 7 day = a.week and b.symbol = a.symbol and b.side = a.side)"""
+_HELD = """wb as (select week, lag(week) over (order by week) as before from (select distinct week from {src})),
+ hd as (select a.*, b.week is not null as held from {src} a join wb on wb.week = a.week left join {src} b
+   on b.week = wb.before and b.symbol = a.symbol and b.side = a.side)"""
 _TRADES = f"""{_SIDES}, {_HELD.format(src='pk')},
  t0 as (select hd.*, coalesce(wret.ret, 0) as ret, snap.rvol_1d as rvol from hd
    left join wret using (week, symbol) left join snap using (week, symbol)),
@@ -504,27 +505,34 @@ ORACLES = {
       e as (select *, 10000 * product(1 - sh * 0.0015) over (order by symbol rows unbounded preceding) as after from o)
       select symbol, side, {r('price', 'entry_price')}, {r('after / (1 - sh * 0.0015) * sh', 'size_usd')},
         {r('after / (1 - sh * 0.0015) * sh * 0.0015', 'fees_slippage')}, {r('after', 'equity_after')} from e""",
-    "falsification": f"""with {FEAT_D}, {WEEKLY_RET}, {LASTK},
+    "falsification": f"""with {FEAT_D}, {LASTK},
+      wraw as (select symbol, date_trunc('week', ts)::timestamp as week, ln(max_by(close, ts) / min_by(close, ts)) as ret
+        from bars_d group by 1, 2 having count(*) >= 2 and min_by(close, ts) > 0 and max_by(close, ts) > 0),
       d2 as materialized (select symbol, ts, pos, sd from d1),
       rk as (select a.symbol, a.ts, case when count(b.sd) >= 20 and max(a.sd) is not null then
           (count(case when b.sd < a.sd then 1 end) + (count(case when b.sd = a.sd then 1 end) + 1) / 2.0) / count(b.sd) end as v
         from d2 a join d2 b on a.symbol = b.symbol and b.pos between a.pos - 99 and a.pos group by 1, 2),
       vr as (select symbol, ts, lag(v) over (partition by symbol order by ts) as vol_regime from rk),
       s0 as (select snap.symbol, snap.week, coalesce(ret_1w, 0) as momentum_1w, coalesce(ret_3d, 0) as momentum_3d,
-        coalesce(-vol_regime, 0) as low_volatility, ret,
+        coalesce(-vol_regime, 0) as low_volatility, coalesce((select avg(v) from (select unnest([ret_1w, ret_3d, vol_regime]) as v)), 0) as composite, ret,
         cast(concat('0x', substr(md5(concat('42|', snap.symbol, '|', strftime(snap.week, '%Y-%m-%d'))), 1, 8)) as bigint) / 4294967296.0 as random
-        from snap join vr on snap.symbol = vr.symbol and snap.as_of = vr.ts join wret on wret.symbol = snap.symbol and wret.week = snap.week),
-      s1 as (select *, (momentum_1w + momentum_3d + low_volatility) / 3 as composite from s0),
-      l as ({melt_sql('s1', 'week, symbol, ret', ['momentum_1w', 'momentum_3d', 'low_volatility', 'composite', 'random'])}),
-      {spearman_cte('c', 'l', 'value', 'ret', 'week, feature', 10)}
-      select feature as baseline, {r('avg(ic)', 'mean_ic')}, {r('stddev_pop(ic)', 'std_ic')}, {r('avg(ic) / nullif(stddev_pop(ic), 0)', 'icir')},
-        {r('avg(case when ic > 0 then 1.0 else 0.0 end) * 100', 'pct_positive')}, count(*) as n_weeks from c where n_obs >= 10 group by 1""",
+        from snap join vr on snap.symbol = vr.symbol and snap.as_of = vr.ts join wraw on wraw.symbol = snap.symbol and wraw.week = snap.week),
+      l as ({melt_sql('s0', 'week, symbol, ret', ['momentum_1w', 'momentum_3d', 'low_volatility', 'composite', 'random'])}),
+      rr as (select week, feature, rank() over (partition by week, feature order by value) + (count(*) over (partition by week, feature, value) - 1) / 2.0 as x,
+        rank() over (partition by week, feature order by ret) + (count(*) over (partition by week, feature, ret) - 1) / 2.0 as y from l),
+      c as (select week, feature, corr(x, y) as ic from rr group by 1, 2
+        having count(*) >= 10 and stddev_pop(x) > 0 and stddev_pop(y) > 0)
+      select feature as baseline, {r('avg(ic)', 'mean_ic')}, {r('stddev_pop(ic)', 'std_ic')},
+        {r('case when stddev_pop(ic) > 1e-8 then avg(ic) / stddev_pop(ic) else 0 end', 'icir')},
+        {r('avg(case when ic > 0 then 1.0 else 0.0 end) * 100', 'pct_positive')}, count(*) as n_weeks,
+        row_number() over (order by avg(ic) desc, feature) = 1 as best from c group by 1""",
     "feature_ic_stats": f"""{_HIST} select feature, {r('avg(ic)', 'mean_ic')}, {r('stddev_pop(ic)', 'std_ic')}, count(*) as n_obs,
       {r('avg(case when ic > 0 then 1.0 else 0.0 end)', 'positive_ratio')} from hs group by 1""",
-    "feature_ic_assessment": f"""{_HIST}, s as (select feature, avg(ic) as m, stddev_pop(ic) as s, avg(case when ic > 0 then 1.0 else 0.0 end) as p
+    "feature_ic_assessment": f"""{_HIST}, s as (select feature, count(*) as n, avg(ic) as m, avg(case when ic > 0 then 1.0 else 0.0 end) as p
         from hs group by 1)
-      select feature, {r('m', 'mean_ic')}, case when m > 0.02 then 'STRONG' when m > 0.01 then 'MODERATE' when m > 0 then 'WEAK'
-        else 'NEGATIVE' end as assessment, m > 0 and p >= 0.6 as consistent, s > 2 * abs(m) as noisy from s""",
+      select feature, {r('m', 'mean_ic')}, case when m > 0.05 and p >= 0.7 then 'STRONG_POSITIVE'
+        when m > 0 and p >= 0.5 then 'MODERATE_POSITIVE' when m > 0 then 'WEAK_POSITIVE' else 'NEGATIVE/NOISY' end as assessment,
+        m > 0 and p >= 0.7 as consistent, p < 0.6 or n < 10 as noisy from s""",
     "feature_set_update": f"""{_HIST}, n as (select *, row_number() over (partition by feature order by week desc) as rn from hs),
       s as (select feature, count(*) as seen, count(*) filter (where ic < 0) as neg, count(*) filter (where ic > 0) as pos, avg(ic) as m
         from n where rn <= 4 group by 1),

@@ -127,13 +127,13 @@ FM = ["rev_1d", "vol_ratio"]
 
 def fama_macbeth(spark, sf):
     rows = stage(_daily_matrix_rows(spark, sf))
-    return validation.fama_macbeth(rows, FM, "future_ret", 10, 200).select(
+    return validation.fama_macbeth(rows, FM, "future_ret", 10).select(
         "feature", *[r6(c).alias(c) for c in ("coef_mean", "coef_std", "t_stat")], "n_periods")
 
 
 def fama_macbeth_pvalues(spark, sf):
     rows = stage(_daily_matrix_rows(spark, sf))
-    return validation.fama_macbeth(rows, FEATS, "future_ret", 10, 200)
+    return validation.fama_macbeth(rows, FEATS, "future_ret", 10)
 
 
 def false_discovery(spark, sf):
@@ -147,25 +147,25 @@ def false_discovery(spark, sf):
 
 def orthogonality(spark, sf):
     names, rows = _complete_matrix(spark, sf)
-    return validation.spearman_pairs(rows, names, 3000, 7).select(
+    return validation.spearman_pairs(rows, names).select(
         "feature_a", "feature_b", r6("r").alias("r"))
 
 
 def redundant(spark, sf):
     names, rows = _complete_matrix(spark, sf)
-    gone = validation.redundant_features(validation.spearman_pairs(rows, names, None), names, 0.1)
+    gone = validation.redundant_features(validation.spearman_pairs(rows, names), names, 0.1)
     return spark.createDataFrame([(n, n in gone) for n in names], "feature string, redundant boolean")
 
 
 def stationarity(spark, sf):
     names, rows = _hourly_matrix(spark, sf)
-    return validation.stationarity(rows, names, 6, 400, 100).select(
+    return validation.stationarity(rows, names).select(
         "feature", r6("mean_stat").alias("mean_stat"), r6("pct_stationary").alias("pct_stationary"), "n_series")
 
 
 def full_validation(spark, sf):
     rows = stage(_daily_matrix_rows(spark, sf))
-    return validation.full_validation(rows, FEATS, "future_ret", min_symbols=10, times=200)
+    return validation.full_validation(rows, FEATS, "future_ret", min_symbols=10)
 
 
 def _importance(feats, lo, hi):
@@ -284,6 +284,12 @@ QUERIES = {
 
 # --- check SQL -------------------------------------------------------------------------------
 
+def _unit(seed: int) -> str:
+    """Seeded digest of a row as a number in [0, 1)."""
+    return (f"(cast(concat('0x', substr(md5(concat('{seed}|', symbol, '|', cast(epoch_us(ts) as varchar))), 1, 8)) as bigint)"
+            " / 4294967296.0)")
+
+
 _LABEL = ("case when ret > 0.03 and not coalesce(rv > bv * 1.3, false) then 'BULL_TREND' "
           "when ret < -0.03 then 'BEAR_TREND' when coalesce(rv > bv * 1.3, false) then 'HIGH_VOL_LATERAL' "
           "else 'LOW_VOL_GRIND' end")
@@ -309,7 +315,7 @@ _REGIME_F = f"""with {FEAT_D}, p as (select * from feat_d where symbol = 'L5'),
    from wk join p on p.ts < wk.week),
  st as (select week, count(*) as n, avg(case when back <= {_B} then rvol_1d end) as bv,
     count(case when back <= {_B} then rvol_1d end) as nv, avg(case when back <= {D} then rvol_1d end) as dv,
-    coalesce(max_by(ret_1w, ts) filter (where ret_1w is not null), 0) as ret from lk group by 1),
+    coalesce(max_by(ret_1w, ts) filter (where ret_1w is not null and back <= {_B}), 0) as ret from lk group by 1),
  v as (select week, n, bv, case when nv > {D} then dv else bv end as rv, ret from st)
  select week, case when n < {D} then 'LOW_VOL_GRIND' else {_LABEL} end as regime from v"""
 
@@ -351,10 +357,8 @@ def _quantile(q: float, x: str, t: str) -> str:
     return f"(select quantile_cont({x}, {q}) from {t})"
 
 
-_FMS = f"""with {_DM}, tm as (select ts from (select ts, row_number() over (order by ts) - 1 as i,
-   count(*) over () as n from (select distinct ts from dm where y is not null)) where i % greatest(1, n // 200) = 0),
- x as (select ts, rev_1d as a, vol_ratio as b, y from dm where ts in (select ts from tm)
-   and rev_1d is not null and vol_ratio is not null and y is not null),
+_FMS = f"""with {_DM},
+ x as (select ts, rev_1d as a, vol_ratio as b, y from dm where rev_1d is not null and vol_ratio is not null and y is not null),
  g as (select ts, var_pop(a) as aa, var_pop(b) as bb, covar_pop(a, b) as ab, covar_pop(a, y) as ay,
    covar_pop(b, y) as yb from x group by 1 having count(*) >= 10),
  be as (select ts, 'rev_1d' as feature, sqrt(aa) * (ay * bb - yb * ab) / (aa * bb - ab * ab) as beta from g
@@ -460,13 +464,12 @@ ORACLES = {
       z as (select *, max(case when p <= rk * 0.12 / n then rk end) over () as last from k)
       select symbol, {r('p', 'p_value')}, rk as bh_rank, {r('rk * 0.12 / n', 'bh_threshold')},
         rk <= coalesce(last, 0) as significant from z""",
-    "orthogonality_pairs": f"""{_MC}, sm as (select * from mc order by {_KEY7} limit 3000), {_ranked('sm')},
+    "orthogonality_pairs": f"""{_MC}, {_ranked('mc')},
       pr as ({_pairs_sql('rk')}) select feature_a, feature_b, {r('r', 'r')} from pr""",
     "redundant_features": _redundant_sql(),
     "stationarity": f"""{_MC}, l as (select * from ({melt_sql('mx', 'symbol, ts', _MATRIX_NAMES)})
-        where value is not null and symbol in (select distinct symbol from bars_h order by 1 limit 6)),
-      t as (select *, row_number() over (partition by feature, symbol order by ts desc) as rn from l),
-      s as (select *, lag(value) over (partition by feature, symbol order by ts) as prev from t where rn <= 400),
+        where value is not null),
+      s as (select *, lag(value) over (partition by feature, symbol order by ts) as prev from l),
       g as (select feature, symbol, count(*) as obs, regr_count(value - prev, prev) as n, regr_slope(value - prev, prev) as b,
         regr_sxx(value - prev, prev) as sxx, regr_syy(value - prev, prev) as syy, regr_sxy(value - prev, prev) as sxy
         from s group by 1, 2 having count(*) >= 100),
@@ -521,9 +524,13 @@ ORACLES = {
       l as ({melt_sql('pm', 'yp', _MATRIX_NAMES)}),
       {spearman_cte('sp', 'l', 'value', 'yp', 'feature', 101)},
       pa as (select 1 as one, future_ret_1h as y, lag(future_ret_1h, 5) over ({W}) as past from mc),
-      {spearman_cte('pp', 'pa', 'past', 'y', 'one', 2)}
+      {spearman_cte('pp', 'pa', 'past', 'y', 'one', 2)},
+      le as (select 1 as one, future_ret_1h as y, future_ret_1h + sqrt(-2 * ln(greatest({_unit(43)}, 1e-12))) * cos(2 * pi() * {_unit(44)})
+        * (select stddev_pop(future_ret_1h) from mc) * 1e-6 as leak from mc),
+      {spearman_cte('lp', 'le', 'leak', 'y', 'one', 101)}
       select {r('(select avg(abs(ic)) from sp)', 'shuffled_mean_abs_ic')}, {r('(select ic from pp)', 'past_feature_ic')},
-        true as pipeline_detects, (select avg(abs(ic)) from sp) < 0.05 as shuffled_test_pass, true as leaked_test_pass""",
+        (select ic from lp) > 0.999 as pipeline_detects, (select avg(abs(ic)) from sp) < 0.05 as shuffled_test_pass,
+        (select ic from lp) > 0.95 as leaked_test_pass""",
     "deflated_sharpe": f"""with {BARS_D}, {WEEKLY_RET},
       m as (select symbol, count(*) as n, avg(ret) as mu, stddev_pop(ret) as sd from wret group by 1),
       g as (select symbol, any_value(n) as n, any_value(mu / sd) as s, avg(pow((ret - mu) / sd, 3)) as sk,

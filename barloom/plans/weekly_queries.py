@@ -271,7 +271,7 @@ def ic_filter(spark, sf):
 def ic_selection_recent(spark, sf):
     bars, feats = daily_features(spark, sf)
     hist = ic.weekly_feature_ic(feats, bars, FEATS)
-    return ic.select_recent(hist, 8, 4, 2).select("feature", "n_obs", r6("mean_ic").alias("mean_ic"), "selected")
+    return ic.select_recent(hist, [*FEATS, "unseen"], 8, 4, 2).select("feature", "n_obs", r6("mean_ic").alias("mean_ic"), "selected")
 
 
 def signal_decay(spark, sf):
@@ -456,9 +456,10 @@ ORACLES = {
        {r('case when vol_ratio is not null then least(vol_ratio, 1) end', 'upper')} from feat_d""",
     "feature_ic_weekly": f"{_FIC} select week, feature, n_obs, {r('ic', 'ic')} from fic",
     "feature_ic_in_week": f"""with {FEAT_D}, t as (select *, ln(lead(close, {H}) over ({W}) / close) as y from feat_d),
-      mm as (select date_trunc('week', ts)::timestamp as week, symbol, avg(y) as ym, """
-      + ", ".join(f"avg(case when y is not null then {c} end) as {c}" for c in FEATS)
-      + f""" from t group by 1, 2), l as ({melt_sql('mm', 'week, symbol, ym', FEATS)}),
+      big as (select date_trunc('week', ts)::timestamp as week, symbol from t group by 1, 2 having count(*) >= 3),
+      lg as (select * from ({melt_sql('t', 'symbol, ts, y', FEATS)}) where value is not null and y is not null),
+      l as (select date_trunc('week', ts)::timestamp as week, symbol, feature, avg(value) as value, avg(y) as ym
+        from lg group by 1, 2, 3 having (date_trunc('week', min(ts))::timestamp, symbol) in (select (week, symbol) from big)),
       {spearman_cte('c', 'l', 'value', 'ym', 'week, feature', 5)}
       select week, feature, n_obs, {r('ic', 'ic')} from c""",
     "model_ic_weekly": f"{_MIC} select week, n_obs, {r('ic', 'ic')} from mic",
@@ -488,7 +489,7 @@ ORACLES = {
     "feature_ic_recent": f"""{_FIC},
       n as (select *, row_number() over (partition by feature order by week desc) as rn from fic),
       m as (select feature, count(*) as n_obs, case when count(*) >= 4 then avg(ic) else 0 end as mean_ic
-        from n where rn <= 8 group by 1),
+        from n where rn <= 8 group by 1 union all select 'unseen', 0, 0),
       k as (select *, row_number() over (order by mean_ic desc, feature) as place,
         sum(case when mean_ic >= 0 then 1 else 0 end) over () as passing from m)
       select feature, n_obs, {r('mean_ic', 'mean_ic')},

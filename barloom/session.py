@@ -16,6 +16,7 @@ def build_session(master: str | None = None, name: str = "barloom", partitions:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.legacy.parquet.nanosAsLong", "true")
     )
     if master:
         builder = builder.master(master)

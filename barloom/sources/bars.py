@@ -14,7 +14,7 @@ from ..operators.targets import cache_targets
 from ..operators.universe import drop_stale_epochs
 from ..spec import BarSpec
 
-TIME_COLUMNS = ("timestamp", "time", "open_time")
+TIME_COLUMNS = ("timestamp", "time", "open_time", "__index_level_0__")  # the last: an unnamed stored index
 PRICE_COLUMNS = ("open", "high", "low", "close", "volume")
 MIN_SYMBOL_ROWS = 50
 MIN_FEATURE_SHARE = 0.8
@@ -25,27 +25,31 @@ def lower_names(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.lower() for c in df.columns])
 
 
+def _epoch(c: Column) -> Column:
+    """Whole numbers by their size: milliseconds, from 1e14 on microseconds, from 1e17 on nanoseconds."""
+    micros = F.when(F.abs(c) >= 10 ** 17, F.floor(c / 1000)).when(F.abs(c) >= 10 ** 14, c).otherwise(c * 1000)
+    return F.timestamp_micros(micros.cast("long"))
+
+
 def epoch_or_text(name: str, dtype: T.DataType) -> Column:
-    """A time column as timestamp_ntz in UTC: whole numbers are epoch milliseconds."""
+    """A time column as timestamp_ntz in UTC; whole numbers count from 1970."""
     c = F.col(name)
     if isinstance(dtype, T.IntegralType):
-        return F.timestamp_millis(c).cast("timestamp_ntz")
+        return _epoch(c.cast("long")).cast("timestamp_ntz")
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        return F.timestamp_millis(c.cast("long")).cast("timestamp_ntz")
+        return _epoch(c.cast("long")).cast("timestamp_ntz")
     if isinstance(dtype, T.StringType):
         return F.try_to_timestamp(c).cast("timestamp_ntz")
     return c.cast("timestamp_ntz")
 
 
 def with_time(df: DataFrame) -> DataFrame:
-    """Replace the first known time column by ``ts``."""
-    named = [c for c in TIME_COLUMNS if c in df.columns]
-    if "ts" in df.columns:
-        return df.withColumn("ts", epoch_or_text("ts", df.schema["ts"].dataType))
+    """Replace the known time columns by ``ts``: in each row the first of them that is set."""
+    named = ["ts"] if "ts" in df.columns else [c for c in TIME_COLUMNS if c in df.columns]
     if not named:
         raise ValueError(f"no time column among {df.columns}")
-    ts = epoch_or_text(named[0], df.schema[named[0]].dataType)
-    return df.withColumn("ts", ts).drop(*named)
+    ts = F.coalesce(*[epoch_or_text(c, df.schema[c].dataType) for c in named])
+    return df.withColumn("ts", ts).drop(*[c for c in named if c != "ts"])
 
 
 def clean_bars(df: DataFrame, first_year: int = 2018) -> DataFrame:
@@ -55,15 +59,18 @@ def clean_bars(df: DataFrame, first_year: int = 2018) -> DataFrame:
     if missing:
         raise ValueError(f"missing columns: {missing}")
     df = df.select("symbol", "ts", *[finite(F.col(c).cast("double")).alias(c) for c in PRICE_COLUMNS])
-    return drop_stale_epochs(df.where(F.col("ts").isNotNull()), first_year)
+    stated = F.coalesce("ts", F.raise_error(F.concat(F.lit("a row without time of symbol "), "symbol")).cast("timestamp_ntz"))
+    return drop_stale_epochs(df.withColumn("ts", stated), first_year)
 
 
 def read_symbol_files(spark: SparkSession, folder: str, first_year: int = 2018) -> DataFrame:
     """One parquet file per symbol; the symbol is the file name without its ending.
 
-    A missing or empty folder is an error, as Spark raises on it.
+    Files may name their time column differently; a row without any is an error, and so is a missing
+    or empty folder. Nanosecond times are read as numbers, which Spark does only under the setting
+    that ``build_session`` makes.
     """
-    raw = lower_names(spark.read.parquet(folder))
+    raw = lower_names(spark.read.option("mergeSchema", "true").parquet(folder))
     name = F.regexp_extract(F.col("_metadata.file_name"), r"([^/]+?)\.parquet$", 1)
     return clean_bars(raw.withColumn("symbol", name), first_year)
 
@@ -156,7 +163,8 @@ def parse_klines(df: DataFrame) -> DataFrame:
     """Feed rows to bars: text to numbers, unusable rows out, each (symbol, open_time) once."""
     numbers = [F.col(c).try_cast("double").alias(c) for c in PRICE_COLUMNS]
     bars = df.select("symbol", F.timestamp_millis("open_time").cast("timestamp_ntz").alias("ts"), *numbers)
-    return bars.na.drop(how="any").dropDuplicates(["symbol", "ts"])
+    values = F.struct(*PRICE_COLUMNS)  # of several rows for one time the largest, whatever their order
+    return bars.na.drop(how="any").groupBy("symbol", "ts").agg(F.max(values).alias("_v")).select("symbol", "ts", "_v.*")
 
 
 def live_features(bars: DataFrame, spec: BarSpec, model_features: Sequence[str], min_bars: int = 500,

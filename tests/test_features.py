@@ -28,8 +28,7 @@ def test_table_is_complete():
 
 
 def test_chunked_series_equal_whole_series(bars, whole):
-    cut = frame(build_features(bars, SPEC, SOME, ffd_threshold=1e-2, chunk_rows=250, block_rows=350,
-                               prefix_from=10_000))
+    cut = frame(build_features(bars, SPEC, SOME, ffd_threshold=1e-2, chunk_rows=250, block_rows=350))
     assert len(cut) == len(whole)
     for name in SOME:
         a, b = whole[name].to_numpy(float), cut[name].to_numpy(float)
@@ -37,6 +36,37 @@ def test_chunked_series_equal_whole_series(bars, whole):
         np.testing.assert_allclose(a, b, rtol=1e-7, atol=1e-9, equal_nan=True, err_msg=name)
 
 
+def test_spreads_after_a_change_of_level(spark):
+    """A series near 60,000 that collapses, trades around 1, then halts: each frame sees its own rows only."""
+    rng = np.random.default_rng(9)
+    close = np.concatenate([60_000 * np.exp(np.cumsum(rng.normal(0, 1e-3, 1500))), 1 + rng.normal(0, 1e-3, 300), np.full(200, 1.25)])
+    pdf = pd.DataFrame({"symbol": "A", "ts": pd.date_range("2024-01-01", periods=len(close), freq="h"), "close": close})
+    for c in ("open", "high", "low"):
+        pdf[c] = pdf["close"]
+    pdf["volume"] = np.where(np.arange(len(close)) < 1500, 1e9, 3.0)
+    bars = spark.createDataFrame(pdf[["symbol", "ts", "open", "high", "low", "close", "volume"]],
+                                 "symbol string, ts timestamp_ntz, open double, high double, low double, close double, volume double")
+    got = frame(build_features(bars, SPEC, ["bb_pos", "bb_width", "mean_rev_zscore_4h", "rvol_1d"]))
+
+    def rolled(x, n, least, how):
+        out = np.full(len(x), np.nan)
+        for i in range(len(x)):
+            w = x[max(0, i - n + 1):i + 1]
+            w = w[~np.isnan(w)]
+            if len(w) >= least and len(w) > 1:
+                out[i] = 0.0 if how == "std" and np.ptp(w) == 0 else getattr(np, how)(w) if how == "mean" else np.std(w, ddof=1)
+        return out
+
+    mid, sd = rolled(close, 20, 10, "mean"), rolled(close, 20, 10, "std") * np.sqrt(19 / 20)
+    flat = np.r_[[np.nan], sd[:-1]] == 0
+    assert flat.sum() > 150 and np.isnan(got["bb_pos"].to_numpy(float)[flat]).all()
+    width = np.r_[[np.nan], (4 * sd / mid)[:-1]]
+    seen = slice(30, None)
+    np.testing.assert_allclose(np.nan_to_num(got["bb_width"].to_numpy(float)[seen]), np.nan_to_num(width[seen]), rtol=1e-7, atol=1e-12)
+    lr = np.r_[[np.nan], np.diff(np.log(close))]
+    np.testing.assert_allclose(got["rvol_1d"].to_numpy(float)[seen], np.r_[[np.nan], rolled(lr, 24, 4, "std")[:-1]][seen], rtol=1e-7, atol=1e-13)
+
+
 def test_against_pandas(bars, whole):
     raw = frame(bars)
     for sym, g in raw.groupby("symbol"):
