@@ -524,7 +524,7 @@ ORACLES = {
         having count(*) >= 10 and stddev_pop(x) > 0 and stddev_pop(y) > 0)
       select feature as baseline, {r('avg(ic)', 'mean_ic')}, {r('stddev_pop(ic)', 'std_ic')},
         {r('case when stddev_pop(ic) > 1e-8 then avg(ic) / stddev_pop(ic) else 0 end', 'icir')},
-        {r('avg(case when ic > 0 then 1.0 else 0.0 end) * 100', 'pct_positive')}, count(*) as n_weeks,
+        {r('avg(case when ic > 1e-12 then 1.0 else 0.0 end) * 100', 'pct_positive')}, count(*) as n_weeks,
         row_number() over (order by avg(ic) desc, feature) = 1 as best from c group by 1""",
     "feature_ic_stats": f"""{_HIST} select feature, {r('avg(ic)', 'mean_ic')}, {r('stddev_pop(ic)', 'std_ic')}, count(*) as n_obs,
       {r('avg(case when ic > 0 then 1.0 else 0.0 end)', 'positive_ratio')} from hs group by 1""",
