@@ -14,7 +14,7 @@ from .layout import positions
 from .resample import week_of
 from .universe import complete_rows, enough_history, in_range, training_window
 
-SAMPLE_CELLS = 4096
+SORTED_ROWS = 10_000
 
 
 def hash_text(seed: int, columns: Sequence[str]) -> Column:
@@ -44,22 +44,24 @@ def thin(rows: DataFrame, step: int) -> DataFrame:
 def exact_sample(rows: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """Exactly ``n`` rows (all if fewer), chosen by smallest seeded digest.
 
-    Counts per digest cell find the cell that holds the n-th row; only that cell is sorted.
+    Counts per digest cell find the cell that holds the n-th row. A crowded cell is cut into finer
+    ones by three more digits, so that what is sorted in the end stays small whatever ``n`` is.
     """
     keyed = row_key(rows).withColumn("_hash", hash_text(seed, ["_key"]))
-    keyed = keyed.withColumn("_cell", F.conv(F.substring("_hash", 1, 3), 16, 10).cast("int"))
-    cells = {r["_cell"]: r["count"] for r in keyed.groupBy("_cell").count().collect()}  # <= 4096
-    left, cut = n, None
-    for cell in range(SAMPLE_CELLS):
-        if cells.get(cell, 0) > left:
-            cut = cell
-            break
-        left -= cells.get(cell, 0)
-    if cut is None:
-        return rows
-    whole = keyed.where(F.col("_cell") < cut)
-    part = keyed.where(F.col("_cell") == cut).orderBy("_hash", "_key").limit(left)
-    return whole.unionByName(part).drop("_key", "_hash", "_cell")
+    left, prefix, size = n, "", None
+    while size is None or size > SORTED_ROWS and len(prefix) < 30:
+        inside = keyed.where(F.col("_hash").startswith(prefix)) if prefix else keyed
+        cells = inside.groupBy(F.substring("_hash", 1, len(prefix) + 3).alias("_cell")).count().collect()  # <= 4096
+        for cell, count in sorted((r["_cell"], r["count"]) for r in cells):
+            if count > left:
+                prefix, size = cell, count
+                break
+            left -= count
+        else:
+            return rows
+    whole = keyed.where((F.col("_hash") < prefix) & ~F.col("_hash").startswith(prefix))
+    part = keyed.where(F.col("_hash").startswith(prefix)).orderBy("_hash", "_key").limit(left)
+    return whole.unionByName(part).drop("_key", "_hash")
 
 
 def bernoulli_sample(rows: DataFrame, fraction: float | Column, seed: int = 42) -> DataFrame:
@@ -94,26 +96,26 @@ def rank_normalise(rows: DataFrame, column: str, out: str | None = None) -> Data
 
 def rolling_matrix(
     feats: DataFrame, features: Sequence[str], target: str, end, weeks: int = 104,
-    embargo_minutes: int = 60, horizon_bars: int = 12, step: int = 12, min_rows: int = 62,
+    embargo_minutes: int = 60, horizon_bars: int = 12, bar_minutes: int = 5, step: int = 12, min_rows: int = 62,
     max_rows: int | None = 2_000_000, beta_neutral: bool = True, winsor_pct: float | None = 1.0,
     seed: int = 42,
 ) -> DataFrame:
     """(symbol, ts, features, y_raw, y_neutral) of the last ``weeks`` before ``end``.
 
-    The embargo is the larger of ``embargo_minutes`` and nothing else here: pass the horizon in
-    minutes for longer targets.
+    The embargo is at least the target's horizon, so no target reaches beyond ``end``. ``max_rows``
+    bounds the rows a model is fitted on. Each transform reads its predecessor's rows several times,
+    so every one is written once.
     """
-    window = training_window(feats.select("symbol", "ts", *features, target), end, weeks,
-                             embargo_minutes)
-    # Sampling, demeaning, clipping and ranking all read the thinned rows: write them once.
+    embargo = max(embargo_minutes, horizon_bars * bar_minutes)
+    window = training_window(feats.select("symbol", "ts", *features, target), end, weeks, embargo)
     rows = stage(thin(complete_rows(enough_history(window, min_rows), [*features, target]), step))
     if max_rows:
-        rows = exact_sample(rows, max_rows, seed)
+        rows = stage(exact_sample(rows, max_rows, seed))
     rows = rows.withColumn("y_raw", F.col(target).cast("double"))
-    rows = demean_by_day(rows, "y_raw", "y_neutral") if beta_neutral else rows.withColumn(
-        "y_neutral", F.col("y_raw"))
+    rows = stage(demean_by_day(rows, "y_raw", "y_neutral") if beta_neutral else rows.withColumn(
+        "y_neutral", F.col("y_raw")))
     if winsor_pct:
-        rows = winsorise(rows, "y_neutral", winsor_pct)
+        rows = stage(winsorise(rows, "y_neutral", winsor_pct))
     return rank_normalise(rows, "y_neutral").select(
         "symbol", "ts", *features, "y_raw", "y_neutral")
 
