@@ -43,7 +43,7 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def text_parts(texts: pa.Array, size: int = 1 << 20):
+def text_parts(texts: pa.Array, size: int = 1 << 18):
     """Lists of texts of about ``size`` bytes, so that long texts do not pile up in one numpy pass."""
     part, held = [], 0
     for text in texts:
