@@ -7,10 +7,11 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ..functions.scalars import r6
-from ..operators import ic, portfolio, reports, stability
+from ..operators import ic, portfolio, reports, stability, walkforward
 from ..operators.features import build_features
 from ..operators.regime import regime_by_week
 from ..operators.resample import following_week, week_grid
+from ..operators.targets import forward_returns
 from ..operators.universe import market_proxy
 from ..operators.weekly import snapshots, week_of, weekly_returns
 from ..session import stage
@@ -51,6 +52,37 @@ def _weekly(spark, sf):
     return stage(weekly), trades
 
 
+WALK = walkforward.Schedule(train_weeks=104, retrain_every=26, embargo_minutes=14_400)
+
+
+def _walk(spark, sf):
+    bars, feats = daily_features(spark, sf)
+    feats = stage(forward_returns(feats, {"future_ret": 5}))
+    preds = walkforward.walk_forward_predictions(
+        feats, ["rev_1d"], "future_ret", walkforward.least_squares("future_ret", "rev_1d"), WALK)
+    regimes = regime_by_week(market_proxy(bars, ("L5",)), DAILY_SPEC, MIN_VOL_OBS)
+    rvol = snapshots(feats, ["rvol_1d"]).withColumnRenamed("rvol_1d", "rvol")
+    return preds, walkforward.gated_run(preds, weekly_returns(bars), regimes, rvol, RULES, WALK)
+
+
+def walk_forward_predictions(spark, sf):
+    preds, _ = _walk(spark, sf)
+    return preds.select("week", "symbol", r6("pred", 8).alias("pred"))
+
+
+def walk_forward_weekly(spark, sf):
+    _, (_, weekly) = _walk(spark, sf)
+    return weekly.select("week", "n_symbols", "n_trades", "regime", *[r6(c).alias(c) for c in (
+        "week_ret", "long_ret", "short_ret", "ic", "turnover_pct", "cum_ret", "drawdown", "max_drawdown")])
+
+
+def walk_forward_regimes(spark, sf):
+    """Regimes of a gated run: its marker weeks are left out."""
+    _, (_, weekly) = _walk(spark, sf)
+    return reports.regime_breakdown(weekly).select(
+        "regime", "n_weeks", *[r6(c).alias(c) for c in ("mean_ret", "total_ret", "mean_ic", "win_rate_pct")])
+
+
 def portfolio_picks(spark, sf):
     _, preds, _, regimes, _ = _inputs(spark, sf)
     return portfolio.pick(preds, regimes, RULES).select(
@@ -331,6 +363,9 @@ QUERIES = {
     "anomaly_flags": anomaly_flags,
     "kill_criteria": kill_criteria,
     "kill_switch": kill_switch,
+    "walk_forward_predictions": walk_forward_predictions,
+    "walk_forward_weekly": walk_forward_weekly,
+    "walk_forward_regimes": walk_forward_regimes,
     "pause_states": pause_states,
     "capped_weights": capped_weights,
     "mark_to_market": mark_to_market,
@@ -388,6 +423,22 @@ _WEEKLY = f"""{_TRADES}, jj as (select week, symbol, pred, ret from preds join w
  wm1 as (select *, product(1 + week_ret) over (order by week rows unbounded preceding) as cum from wm0),
  wm2 as (select *, cum / max(cum) over (order by week rows unbounded preceding) - 1 as drawdown from wm1),
  wm as materialized (select *, cum - 1 as cum_ret, min(drawdown) over (order by week rows unbounded preceding) as max_drawdown from wm2)"""
+_FITTED = f"""wks as (select week, row_number() over (order by week) - 1 as i from (select distinct week from lastk where rev_1d is not null)),
+ tg as (select *, ln(lead(close, 5) over (partition by symbol order by ts) / close) as y from feat_d),
+ fits as (select rw, regr_slope(y, rev_1d) as b, regr_intercept(y, rev_1d) as a from
+   (select week as rw from wks where i % 26 = 0) join tg on ts >= rw - interval 728 day and ts < rw - interval 10 day
+   where y is not null and rev_1d is not null group by 1 having count(*) >= 100),
+ fit as (select *, lead(rw) over (order by rw) as nx from fits),
+ preds as (select symbol, week, avg(a + b * rev_1d) as pred from lastk join fit on week >= rw and (nx is null or week < nx)
+   where rev_1d is not null group by 1, 2),
+ jg as (select week, symbol, pred, ret from preds join wret using (symbol, week)),
+ {spearman_cte('gic', 'jg', 'pred', 'ret', 'week', 10)},
+ gt as (select week, avg(ic) over w < 0 and count(ic) over w >= 4 as gated from gic window w as (order by week rows between 4 preceding and 1 preceding)),
+ po as (select * from preds where week not in (select week from gt where gated))"""
+_WALKED = _WEEKLY.replace(LASTK, LASTK[:LASTK.index("preds as (")] + _FITTED).replace(
+    "from preds p left join reg", "from po p left join reg").replace(
+    "coalesce(regime, 'LOW_VOL_GRIND') as regime\n   from (select week, count(*)",
+    "case when week in (select week from gt where gated) then 'IC_GATED' else coalesce(regime, 'LOW_VOL_GRIND') end as regime\n   from (select week, count(*)")
 _HIST = f"""with {FEAT_D}, {WEEKLY_RET}, {LASTK}, {_REG},
  j as (select snap.*, wret.ret from snap join wret using (symbol, week)),
  l as ({melt_sql('j', 'week, symbol, ret', FEATS)}),
@@ -432,6 +483,12 @@ ORACLES = {
     "portfolio_weekly_metrics": f"""{_WEEKLY} select week, n_symbols, n_trades, regime,
       week_ret >= pow(1.1::double, 1.0::double / 52) - 1 as on_track, {_cols('week_ret', 'long_ret', 'short_ret', 'ic', 'turnover_pct',
       'cum_ret', 'drawdown', 'max_drawdown')} from wm""",
+    "walk_forward_predictions": f"""{_WALKED} select week, symbol, {r('pred', 'pred', 8)} from preds""",
+    "walk_forward_weekly": f"""{_WALKED} select week, n_symbols, n_trades, regime, {_cols('week_ret', 'long_ret', 'short_ret', 'ic',
+      'turnover_pct', 'cum_ret', 'drawdown', 'max_drawdown')} from wm""",
+    "walk_forward_regimes": f"""{_WALKED} select regime, count(*) as n_weeks, {r('avg(week_ret)', 'mean_ret')}, {r('sum(week_ret)', 'total_ret')},
+      {r('avg(ic)', 'mean_ic')}, {r('avg(case when week_ret > 0 then 1.0 else 0.0 end) * 100', 'win_rate_pct')}
+      from wm where regime <> 'IC_GATED' group by 1""",
     "performance_report": f"""{_WEEKLY} select count(*) as n_weeks, {r('product(1 + week_ret) - 1', 'total_return')},
       {r(f'avg(week_ret) / stddev_pop(week_ret) * {_SQUARE_ROOT_52}', 'sharpe')}, {r('min(drawdown)', 'max_drawdown')},
       {r('avg(ic)', 'ic_mean')}, {r('avg(ic) / (stddev_samp(ic) + 1e-8)', 'icir')},
