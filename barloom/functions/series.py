@@ -7,18 +7,21 @@ plain arrays.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 
 
 def fractional_weights(d: float, threshold: float) -> np.ndarray:
-    """Binomial weights of (1 - B)^d, newest first, cut where they fall below ``threshold``."""
-    weights = [1.0]
+    """Binomial weights of (1 - B)^d, newest first, cut where they fall below ``threshold``.
+
+    Weights are running products of 1 - (d + 1) / k; beyond d + 1 terms their size only falls.
+    """
+    size = 64
     while True:
-        k = len(weights)
-        nxt = weights[-1] * (k - 1 - d) / k
-        if abs(nxt) < threshold:
-            return np.asarray(weights)
-        weights.append(nxt)
+        k = np.arange(1, size)
+        weights = np.concatenate(([1.0], np.cumprod(1.0 - (d + 1.0) / k)))
+        small = np.flatnonzero(np.abs(weights) < threshold)
+        if len(small):
+            return weights[:small[0]]
+        size *= 4
 
 
 def fractional_difference(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -34,8 +37,18 @@ def fractional_difference(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return out
 
 
-def moving_rank(x: np.ndarray, window: int, min_rows: int) -> np.ndarray:
-    return pd.Series(x).rolling(window, min_periods=min_rows).rank(pct=True).to_numpy()
+def moving_rank(x: np.ndarray, window: int, min_rows: int, rows: int = 2048) -> np.ndarray:
+    """Average rank of each value among the present ones of its window, as a share of their number."""
+    out = np.full(len(x), np.nan)
+    view = np.lib.stride_tricks.sliding_window_view(np.concatenate((np.full(window - 1, np.nan), x)), window)
+    for start in range(0, len(x), rows):
+        seg, now = view[start:start + rows], x[start:start + rows, None]
+        with np.errstate(invalid="ignore"):
+            below, equal = (seg < now).sum(axis=1), (seg == now).sum(axis=1)
+        present = (~np.isnan(seg)).sum(axis=1)
+        ok = (present >= min_rows) & ~np.isnan(now[:, 0])
+        out[start:start + rows][ok] = (below[ok] + (equal[ok] + 1) / 2) / present[ok]
+    return out
 
 
 def _windows_before(x: np.ndarray, window: int, rows: int = 4096):

@@ -150,9 +150,19 @@ def anomaly_flags(weekly: DataFrame, trades: DataFrame) -> DataFrame:
     return run.select(flags.alias("flags"), F.size(flags).alias("n_flags"))
 
 
-def overall_return(row: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """First of the named values that is present."""
-    have = [F.col(k) for k in keys if k in row.columns]
+def overall_return(row: DataFrame, keys: Sequence[str], weekly: DataFrame | None = None) -> DataFrame:
+    """First of the named values that is present; else what the weeks say.
+
+    ``weekly`` (week, cum_return_pct, week_return_pct, either may be absent): the newest running
+    return, or the weekly ones compounded.
+    """
+    have = [F.col(k).try_cast("double") for k in keys if k in row.columns]
+    if weekly is not None and "cum_return_pct" in weekly.columns:
+        cum = F.col("cum_return_pct").try_cast("double")
+        have.append(weekly.agg(F.max_by(cum, F.when(cum.isNotNull(), F.col("week")))).scalar())
+    if weekly is not None and "week_return_pct" in weekly.columns:
+        ret = F.col("week_return_pct").try_cast("double")
+        have.append(weekly.agg(F.when(F.count(ret) > 0, (F.product(1 + ret / 100) - 1) * 100)).scalar())
     return row.select(F.coalesce(*have, F.lit(None).cast("double")).alias("overall_return_pct"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import log_ratio
-from ..spec import BarSpec
+from ..spec import ENGINE_HORIZONS, BarSpec
 from .layout import CHUNK_ROWS, lay_out
 
 
@@ -26,3 +26,8 @@ def forward_returns(
 def cache_targets(bars: DataFrame, spec: BarSpec, **kw) -> DataFrame:
     """Targets of the feature table: four hours for ``future_ret``, then the named horizons."""
     return forward_returns(bars, {"future_ret": spec.four_hour_bars, **spec.horizons}, **kw)
+
+
+def engine_targets(bars: DataFrame, **kw) -> DataFrame:
+    """Targets at fixed bar counts, whatever the length of a bar."""
+    return forward_returns(bars, ENGINE_HORIZONS, **kw)

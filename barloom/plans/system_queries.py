@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.scalars import r6
-from ..operators import models
+from ..operators import models, reports, targets
 from ..operators.features import FAMILIES
 from ..operators.resample import following_week
 from ..operators.weekly import last_rows
 from ..session import shared_folder, stage
+from ..spec import ENGINE_HORIZONS, target_plan
 from ..sources import bars as source
 from ..sources import runs as store
 from ..sources.fixtures import DAILY_SPEC, HOURLY_SPEC, daily_bars, hourly_bars, table
@@ -89,6 +90,91 @@ def live_features(spark, sf):
     return out.select("symbol", "ts", *[r6(c).alias(c) for c in ("ret_1h", "vol_ratio", "rvol_1d")])
 
 
+def symbol_files(spark, sf):
+    """Bars written as one folder of files whose time columns differ in name and kind."""
+    folder = _scratch(spark, "files")
+    bars = hourly_bars(spark, sf)
+    parts = {"timestamp": F.unix_millis(F.col("ts").cast("timestamp")), "time": F.col("ts"),
+             "Open_Time": F.unix_micros(F.col("ts").cast("timestamp")) * 1000}
+    out = None
+    for i, (name, value) in enumerate(parts.items()):
+        own = bars.where(F.substring("symbol", 2, 9).cast("int") % 3 == i)
+        own.select(value.alias(name), "symbol", *[F.col(c).alias(c.upper() if i else c) for c in source.PRICE_COLUMNS]) \
+            .write.parquet(f"{folder}/{i}")
+        back = source.clean_bars(spark.read.parquet(f"{folder}/{i}"))
+        out = back if out is None else out.unionByName(back)
+    return out
+
+
+def merged_symbol_files(spark, sf):
+    """One folder with several time columns: a row takes the one that is set; the file names the symbol."""
+    folder = _scratch(spark, "files")
+    bars = hourly_bars(spark, sf)
+    millis = F.unix_millis(F.col("ts").cast("timestamp"))
+    for i, name in enumerate(("timestamp", "open_time")):
+        bars.where(F.substring("symbol", 2, 9).cast("int") % 2 == i).select(millis.alias(name), *source.PRICE_COLUMNS) \
+            .repartition(1).write.mode("append").parquet(folder)
+    back = source.read_symbol_files(spark, folder)
+    return back.groupBy("ts").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("close")).alias("close"))
+
+
+def engine_targets(spark, sf):
+    out = targets.engine_targets(daily_bars(spark, sf))
+    return out.select("symbol", "ts", *[r6(c).alias(c) for c in ENGINE_HORIZONS])
+
+
+def chosen_target(spark, sf):
+    """The target a plan picks: the day-long one is there, the five-day one falls back."""
+    bars = targets.forward_returns(hourly_bars(spark, sf), {"future_ret": 4, "future_ret_1d": 24})
+    parts = []
+    for choice in ("1d", "5d"):
+        plan = target_plan(choice, bars.columns, HOURLY_SPEC)
+        parts.append(bars.select(F.lit(choice).alias("choice"), "symbol", "ts", r6(plan["column"]).alias("y"),
+                                 F.lit(plan["horizon"]).alias("horizon"), F.lit(plan["cv_gap"]).alias("cv_gap")))
+    return parts[0].unionByName(parts[1])
+
+
+def csv_roundtrip(spark, sf):
+    """A report table written as one file and read back."""
+    path = _scratch(spark, "report")
+    by = table(spark, sf, "orders").groupBy("o_orderpriority").agg(
+        F.count(F.lit(1)).alias("n"), F.min("o_totalprice").alias("low"))
+    store.write_csv(by, path)
+    return store.read_result(spark, path, "o_orderpriority string, n long, low double")
+
+
+def json_roundtrip(spark, sf):
+    path = _scratch(spark, "report")
+    by = table(spark, sf, "orders").agg(F.count(F.lit(1)).alias("n"), F.max("o_totalprice").alias("high"))
+    store.write_json_report(by, path)
+    return store.read_result(spark, path, "n long, high double", "json")
+
+
+def appended_log(spark, sf):
+    """Three appends to one log, one of them empty."""
+    path = _scratch(spark, "log")
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    for status in ("F", "X", "O"):
+        store.append_log(orders.where(F.col("o_orderstatus") == status), path)
+    return spark.read.parquet(path).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+
+
+def resolved_return(spark, sf):
+    """Overall return of three runs: by its key, by the newest running return, compounded."""
+    weekly = table(spark, sf, "events").groupBy(F.date_trunc("week", "ts").cast("timestamp_ntz").alias("week")).agg(
+        (F.avg("value") / 100).alias("week_return_pct")).withColumn("cum_return_pct", F.col("week_return_pct") * 3)
+    row = weekly.agg(F.max("week_return_pct").alias("total_return"), F.lit(None).cast("double").alias("overall_return_pct"))
+    keys = ("overall_return_pct", "total_return_pct", "overall_return", "total_return")
+    parts = {"key": reports.overall_return(row, keys, weekly),
+             "cumulative": reports.overall_return(row, keys[:3], weekly),
+             "compounded": reports.overall_return(row, keys[:3], weekly.drop("cum_return_pct"))}
+    out = None
+    for name, df in parts.items():
+        one = df.select(F.lit(name).alias("run"), r6("overall_return_pct").alias("overall_return_pct"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def latest_per_key(spark, sf):
     orders = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
     return store.latest_per_key(orders, ["o_custkey"], ["o_orderdate", "o_orderkey"]).select(
@@ -227,9 +313,19 @@ def _landed(spark, stream, mode="append"):
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def _newest(spark, stream, keys):
+    """What a windowed aggregate says in the end: in update mode each batch hands over the windows it
+    changed, and the newest row of a window counts. So the windows still open when the input ends
+    come out too."""
+    path = _scratch(spark, "windows")
+    live.run_batches(stream, _scratch(spark, "checkpoint"),
+                     lambda df, batch: df.withColumn("batch", F.lit(batch)).write.mode("append").parquet(path))
+    return store.latest_per_key(spark.read.parquet(path), keys, "batch").drop("batch")
+
+
 def stream_bars(spark, sf):
-    """Hourly bars from the event stream; the last hours stay open behind the watermark."""
-    out = _landed(spark, live.tumbling_bars(_event_stream(spark, sf), "1 hour", "2 hours", tie="event_id"))
+    """Hourly bars from the event stream."""
+    out = _newest(spark, live.tumbling_bars(_event_stream(spark, sf), "1 hour", "2 hours", tie="event_id"), ["symbol", "ts"])
     return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
@@ -248,7 +344,7 @@ def _hourly_stream(spark, sf):
 
 
 def stream_volume_alerts(spark, sf):
-    out = _landed(spark, live.volume_alerts(_hourly_stream(spark, sf), "1 day", "6 hours", "1 hour", 2.0))
+    out = _newest(spark, live.volume_alerts(_hourly_stream(spark, sf), "1 day", "6 hours", "1 hour", 2.0), ["symbol", "at"])
     return out.select("symbol", F.col("at").cast("timestamp_ntz").alias("at"), "n",
                       r6("volume_z").alias("volume_z"), "alert")
 
@@ -294,6 +390,14 @@ QUERIES = {
     "feature_store_loose": feature_store_loose,
     "source_klines": parsed_klines,
     "live_features": live_features,
+    "source_symbol_files": symbol_files,
+    "source_merged_files": merged_symbol_files,
+    "targets_engine": engine_targets,
+    "targets_chosen": chosen_target,
+    "sink_csv": csv_roundtrip,
+    "sink_json": json_roundtrip,
+    "sink_log": appended_log,
+    "overall_return": resolved_return,
     "latest_per_key": latest_per_key,
     "feature_ic_last_weeks": feature_ic_last_weeks,
     "run_list": run_list,
@@ -376,15 +480,27 @@ ORACLES = {
         union all select fold::int, 'val', fold * z + 24, fold * z + 24 + z, n, fold * z + 24 + z from f, s)
       select fold, part, count(*) as n, min(ts) as first, max(ts) as last from b join o on o.i >= b.lo and o.i < b.hi
       where last_needed <= b.n group by 1, 2""",
-    "stream_bars": f"""with {BARS_H} select * from bars_h
-      where ts + interval 1 hour <= (select max(ts)::timestamp from events) - interval 2 hour""",
+    "source_symbol_files": f"with {BARS_H} select * from bars_h",
+    "source_merged_files": f"with {BARS_H} select ts, count(*) as n, {r('sum(close)', 'close')} from bars_h group by 1",
+    "targets_engine": f"with {BARS_D} select symbol, ts, " + ", ".join(
+        r(f"ln(lead(close, {k}) over ({W}) / close)", n) for n, k in ENGINE_HORIZONS.items()) + " from bars_d",
+    "targets_chosen": f"""with {BARS_H} select '1d' as choice, symbol, ts, {r(f'ln(lead(close, 24) over ({W}) / close)', 'y')}, 24 as horizon, 24 as cv_gap from bars_h
+      union all select '5d', symbol, ts, {r(f'ln(lead(close, 4) over ({W}) / close)')}, 120, 120 from bars_h""",
+    "sink_csv": "select o_orderpriority, count(*) as n, min(o_totalprice) as low from orders group by 1",
+    "sink_json": "select count(*) as n, max(o_totalprice) as high from orders",
+    "sink_log": "select o_orderstatus, count(*) as n from orders where o_orderstatus in ('F', 'O') group by 1",
+    "overall_return": f"""with w as (select date_trunc('week', ts) as week, avg(value) / 100 as ret from events group by 1)
+      select 'key' as run, {r('max(ret)', 'overall_return_pct')} from w
+      union all select 'cumulative', {r('max_by(ret, week) * 3')} from w
+      union all select 'compounded', {r('(product(1 + ret / 100) - 1) * 100')} from w""",
+    "stream_bars": f"with {BARS_H} select * from bars_h",
     "stream_deduplicated": """select distinct concat('S', cast(user_id % 8 as varchar)) as symbol, date_trunc('hour', ts)::timestamp as ts from events""",
     "stream_volume_alerts": f"""with {BARS_H},
       w as (select symbol, ts, volume, unnest([0, 6, 12, 18]) as k, time_bucket(interval 6 hour, ts, timestamp '2000-01-01') as b from bars_h),
       g as (select symbol, b - to_hours(k) + interval 24 hour as "at", count(*) as n, avg(volume) as m, stddev_samp(volume) as s,
         max_by(volume, ts) as v from w group by 1, 2)
       select symbol, "at", n, {r('(v - m) / nullif(s, 0)', 'volume_z')}, coalesce((v - m) / nullif(s, 0) > 2.0, false) as alert from g
-      where n >= 6 and "at" <= (select max(ts) from bars_h) - interval 1 hour""",
+      where n >= 6""",
     "stream_online_averages": f"""with {BARS_H}, b0 as (select *, row_number() over ({W}) - 1 as pos, {lag('close')} as c1 from bars_h),
       b1 as (select *, case when c1 is not null then greatest(close - c1, 0) end as gain,
         case when c1 is not null then greatest(c1 - close, 0) end as loss from b0),

@@ -124,11 +124,11 @@ def pending_weeks(weeks: DataFrame, done: DataFrame) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str) -> None:
     """Report-sized table as one CSV file with a header."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    df.repartition(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_json_report(df: DataFrame, path: str) -> None:
-    df.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    df.select(F.to_json(F.struct("*")).alias("value")).repartition(1).write.mode("overwrite").text(path)
 
 
 def read_result(spark: SparkSession, path: str, schema: str, fmt: str = "csv") -> DataFrame:
