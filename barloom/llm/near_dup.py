@@ -1,10 +1,10 @@
 """Near-duplicates by an LSH forest: neighbours in several sorted orders of MinHash signatures.
 
 Each text becomes the set of its distinct 4-word shingles. Texts with equal sets are one class.
-A class has a signature of ``TREES * BASE`` minima; tree t sorts all classes by the signature
-rotated to start at its own BASE values. Classes that stand near each other in an order and share
-at least the BASE leading values are candidates; how deep their common prefix goes follows from how
-dense the region is. An estimate on one byte of each minimum drops hopeless candidates, full sets
+A class has a signature of ``TREES * BASE`` minima, two bytes of each; tree t sorts all classes by the
+signature rotated to start at its own BASE values. Classes that stand near each other in an order and
+share at least the BASE leading values are candidates; how deep their common prefix goes follows from
+how dense the region is. An estimate on four bits of each minimum drops hopeless candidates, full sets
 confirm the rest, and confirmed links are joined to components. Further rounds look, in every
 order, for the nearest neighbours of *other* components, until a round adds no link; so a crowded
 region costs a bounded number of comparisons for each member and no group is expanded into pairs.
@@ -99,35 +99,45 @@ def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return who, h
 
 
-SIGNED = "struct<n: long, key: binary, signature: binary>"
-_SIGNED_ARROW = pa.struct([("n", pa.int64()), ("key", pa.binary()), ("signature", pa.binary())])
+SIGNED = "struct<n: long, key: binary, signature: binary, sketch: binary>"
+_SIGNED_ARROW = pa.struct([("n", pa.int64()), ("key", pa.binary()), ("signature", pa.binary()), ("sketch", pa.binary())])
 
 
 def _sign():
     @F.arrow_udf(SIGNED)
     def signed(texts: pa.Array) -> pa.Array:
-        out = []
+        n_all, keys, signatures, sketches = [], [], [], []
         with np.errstate(over="ignore"):
             for part in text_parts(texts):
                 who, h = shingle_sets(part)
                 n = np.bincount(who, minlength=len(part))
                 full = np.flatnonzero(n)
-                rows = [{"n": 0, "key": None, "signature": None} for _ in part]
+                n_all.append(n)
+                own = [None] * len(part), [None] * len(part), [None] * len(part)
                 if len(full):
                     at = np.concatenate(([0], np.cumsum(n[full])))[:-1]
                     key = np.column_stack([np.add.reduceat(h, at), np.add.reduceat(_mix(h + np.uint64(77)), at)])
                     minima = np.column_stack([np.minimum.reduceat(((h ^ _FLIP[k]) * _TIMES[k]) >> np.uint64(32), at)
-                                              for k in range(VALUES)]).astype(">u4")
+                                              for k in range(VALUES)])
+                    order = (minima & np.uint64(0xFFFF)).astype(">u2")
+                    bits = (minima & np.uint64(15)).astype(np.uint8)
+                    sketch = bits[:, ::2] << 4 | bits[:, 1::2]
                     for i, t in enumerate(full):
-                        rows[t] = {"n": int(n[t]), "key": key[i].tobytes(), "signature": minima[i].tobytes()}
-                out += rows
-        return pa.array(out, type=_SIGNED_ARROW)
+                        own[0][t], own[1][t], own[2][t] = key[i].tobytes(), order[i].tobytes(), sketch[i].tobytes()
+                for out, add in zip((keys, signatures, sketches), own):
+                    out += add
+        return pa.StructArray.from_arrays(
+            [pa.array(np.concatenate(n_all) if n_all else [], pa.int64()), pa.array(keys, pa.binary()),
+             pa.array(signatures, pa.binary()), pa.array(sketches, pa.binary())], fields=list(_SIGNED_ARROW))
     return signed
 
 
-NEIGHBOUR = ("a binary, b binary, same double, tree int, order binary, sketch binary, key binary, part binary")
-_NEIGHBOUR_ARROW = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("same", pa.float64()), ("tree", pa.int32()),
-                              ("order", pa.binary()), ("sketch", pa.binary()), ("key", pa.binary()),
+# A row of an order is one binary value, so that it sorts as it stands: tree, leading minima, sketch, key.
+_TREE, _ORDER, _SKETCH, _KEY = 1, 2 * DEPTH, VALUES // 2, 16
+ROW = _TREE + _ORDER + _SKETCH + _KEY
+_ALIKE = np.array([[((x ^ y) & 240 == 0) + ((x ^ y) & 15 == 0) for y in range(256)] for x in range(256)], np.uint8)
+NEIGHBOUR = "a binary, b binary, same double, row binary, part binary"
+_NEIGHBOUR_ARROW = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("same", pa.float64()), ("row", pa.binary()),
                               ("part", pa.binary())])
 
 
@@ -141,36 +151,29 @@ def _neighbours(back: int, border: bool):
     A row is compared with the ``back`` rows before it, and with the nearest row of another
     component on either side.
     """
-    names = ["tree", "order", "sketch", "key", "part"]
-
     def near(batches):
         kept = head = None
         for batch in batches:
-            rows = pa.Table.from_batches([batch]).select(names)
+            rows = pa.Table.from_batches([batch]).select(["row", "part"])
             if head is None:
                 head = rows.slice(0, back)
             seen = 0 if kept is None else len(kept)
             rows = rows if kept is None else pa.concat_tables([kept, rows])
             n = len(rows)
+            part = _matrix(rows["part"], _KEY)
             if n > 1:
-                yield from _pairs(rows, seen, back)
+                yield from _pairs(_matrix(rows["row"], ROW), part, seen, back)
             # the last rows, and the last one of another component, for the next batch
-            parts = rows["part"].to_pylist()
-            last = [i for i in range(max(0, n - back), n)]
-            other = next((i for i in range(n - 1, -1, -1) if parts[i] != parts[-1]), None)
-            kept = rows.take(sorted({*last, *([other] if other is not None else [])}))
+            other = np.flatnonzero((part != part[-1]).any(1))[-1:]
+            kept = rows.take(sorted({*range(max(0, n - back), n), *other.tolist()})).combine_chunks()
         if border and head is not None:
             ends = pa.concat_tables([head, kept.slice(max(0, len(kept) - back))])
             nulls = {c: pa.nulls(len(ends), _NEIGHBOUR_ARROW.field(c).type) for c in ("a", "b", "same")}
-            yield from pa.table({**nulls, **{c: ends[c] for c in names}}, schema=_NEIGHBOUR_ARROW).to_batches()
+            yield from pa.table({**nulls, "row": ends["row"], "part": ends["part"]}, schema=_NEIGHBOUR_ARROW).to_batches()
 
-    def _pairs(rows, seen, back):
+    def _pairs(rows, part, seen, back):
         n = len(rows)
-        tree = np.asarray(rows["tree"])
-        order = _matrix(rows["order"], 4 * DEPTH)
-        sketch = _matrix(rows["sketch"], VALUES)
-        keys, part = rows["key"].to_pylist(), _matrix(rows["part"], 16)
-        base = np.column_stack([tree.view(np.uint8).reshape(n, -1), order[:, :4 * BASE]])
+        base = rows[:, :_TREE + 2 * BASE]
         change = np.concatenate(([True], (part[1:] != part[:-1]).any(1)))
         run = np.maximum.accumulate(np.where(change, np.arange(n), 0))        # first row of the run
         following = np.append(np.flatnonzero(change)[1:], n)[np.cumsum(change) - 1]  # first row after it
@@ -182,86 +185,75 @@ def _neighbours(back: int, border: bool):
         i, j = i[ok], j[ok]
         ok = ((i >= seen) | (j >= seen)) & (part[i] != part[j]).any(1) & (base[i] == base[j]).all(1)
         pairs = np.unique(np.column_stack([np.minimum(i[ok], j[ok]), np.maximum(i[ok], j[ok])]), axis=0)
-        for at in range(0, len(pairs), 1 << 15):
-            i, j = pairs[at:at + (1 << 15)].T
-            same = (sketch[i] == sketch[j]).mean(1)
+        sketch, key = rows[:, _TREE + _ORDER:-_KEY], rows[:, -_KEY:]
+        for at in range(0, len(pairs), 1 << 14):
+            i, j = pairs[at:at + (1 << 14)].T
+            alike = _ALIKE[sketch[i], sketch[j]].sum(1) / VALUES
+            same = (alike - 1 / 16) / (15 / 16)  # four bits agree by chance once in sixteen
             good = np.flatnonzero(same >= LEAST)
             if len(good):
-                ab = [sorted((keys[i[g]], keys[j[g]])) for g in good]
+                ab = [sorted((key[i[g]].tobytes(), key[j[g]].tobytes())) for g in good]
                 k = len(good)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x for x, _ in ab], pa.binary()), pa.array([y for _, y in ab], pa.binary()),
-                     pa.array(same[good]), *[pa.nulls(k, _NEIGHBOUR_ARROW.field(c).type) for c in names]],
-                    schema=_NEIGHBOUR_ARROW)
+                     pa.array(same[good]), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())], schema=_NEIGHBOUR_ARROW)
     return near
 
 
 def candidates(classes: DataFrame, part: str, back: int) -> DataFrame:
     """(a, b, same): keys of classes of different ``part`` that are neighbours in some order."""
-    turned = F.expr(f"concat(substring(signature, {4 * BASE} * tree + 1), substring(signature, 1, {4 * BASE} * tree))")
+    turned = F.expr(f"concat(substring(signature, {2 * BASE} * tree + 1), substring(signature, 1, {2 * BASE} * tree))")
+    tree = F.unhex(F.lpad(F.hex("tree"), 2, "0"))
     rows = (
         classes.select("key", F.col(part).alias("part"), "signature", "sketch",
                        F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-        .select("tree", F.substring(turned, 1, 4 * DEPTH).alias("order"), "sketch", "key", "part")
+        .select(F.concat(tree, F.substring(turned, 1, _ORDER), "sketch", "key").alias("row"), "part")
     )
-    columns = ["tree", "order", "key"]
-    found = stage(rows.repartitionByRange(*columns).sortWithinPartitions(*columns)
-                  .mapInArrow(_neighbours(back, True), NEIGHBOUR))
+    found = stage(rows.repartitionByRange("row").sortWithinPartitions("row").mapInArrow(_neighbours(back, True), NEIGHBOUR))
     # Where two partitions meet, their last and first rows are neighbours: a few rows of each partition.
-    seams = found.filter(F.col("key").isNotNull()).repartition(1).sortWithinPartitions(*columns) \
+    seams = found.filter(F.col("row").isNotNull()).repartition(1).sortWithinPartitions("row") \
         .mapInArrow(_neighbours(back, False), NEIGHBOUR)
     return found.filter(F.col("a").isNotNull()).select("a", "b", "same") \
         .unionByName(seams.select("a", "b", "same")).groupBy("a", "b").agg(F.max("same").alias("same"))
 
 
 def _set_of():
-    @F.arrow_udf("struct<key: binary, hashes: binary>")
+    @F.arrow_udf("struct<key: binary, hashes: array<long>>")
     def sets(texts: pa.Array) -> pa.Array:
-        out = []
+        keys, values, ends = [], [], [0]
         with np.errstate(over="ignore"):
             for part in text_parts(texts):
                 who, h = shingle_sets(part)
                 at = np.searchsorted(who, np.arange(len(part) + 1))
+                values.append(h.view(np.int64))
+                mixed = _mix(h + np.uint64(77))
                 for t in range(len(part)):
-                    own = h[at[t]:at[t + 1]]
-                    key = np.array([own.sum(), _mix(own + np.uint64(77)).sum()], np.uint64)
-                    out.append({"key": key.tobytes(), "hashes": own.tobytes()})
-        return pa.array(out, type=pa.struct([("key", pa.binary()), ("hashes", pa.binary())]))
+                    own = slice(at[t], at[t + 1])
+                    keys.append(np.array([h[own].sum(), mixed[own].sum()], np.uint64).tobytes())
+                ends += (ends[-1] + at[1:]).tolist()
+        hashes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values) if values else [], pa.int64()))
+        return pa.StructArray.from_arrays([pa.array(keys, pa.binary()), hashes], names=["key", "hashes"])
     return sets
 
 
-def _linked():
-    @F.arrow_udf("boolean")
-    def linked(left: pa.Array, right: pa.Array) -> pa.Array:
-        out = []
-        for a, b in zip(left, right):
-            x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (a, b))
-            small, large = (x, y) if len(x) < len(y) else (y, x)
-            if 100 * len(small) < NEED * len(large):
-                out.append(False)
-                continue
-            at = np.searchsorted(large, small)
-            both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-            out.append(100 * both >= NEED * (len(x) + len(y) - both))
-        return pa.array(out, type=pa.bool_())
-    return linked
-
-
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) whose full sets reach the similarity."""
     left = sets.select(F.col("key").alias("a"), F.col("hashes").alias("x"))
     right = sets.select(F.col("key").alias("b"), F.col("hashes").alias("y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").filter(_linked()("x", "y")).select("a", "b")
+    n, m = F.size("x"), F.size("y")
+    both = F.size(F.array_intersect("x", "y"))
+    close = F.least(n, m) * 100 >= F.greatest(n, m) * NEED  # else the sizes alone rule it out
+    return pairs.select("a", "b").join(left, "a").join(right, "b") \
+        .filter(F.when(close, both * 100 >= (n + m - both) * NEED).otherwise(False)).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of ``docs``."""
     texts = docs.select(F.col(doc_id).alias("doc_id"), text_bytes(text).alias("text"))
-    rows = stage(texts.withColumn("s", _sign()("text")).select("doc_id", "s.n", "s.key", "s.signature"))
+    rows = stage(texts.withColumn("s", _sign()("text")).select("doc_id", "s.n", "s.key", "s.signature", "s.sketch"))
     classes = rows.filter(F.col("key").isNotNull() & F.col("doc_id").isNotNull()) \
-        .groupBy("key", "signature").agg(F.min("doc_id").alias("rep"))
-    low = F.concat(*[F.substring("signature", 4 * k + 4, 1) for k in range(VALUES)])
-    classes = stage(classes.withColumn("sketch", low))
+        .groupBy("key", "signature", "sketch").agg(F.min("doc_id").alias("rep"))
+    classes = stage(classes)
 
     pairs = stage(candidates(classes, "key", BACK))
     alive = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
