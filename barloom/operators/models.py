@@ -116,13 +116,14 @@ def quality(scored: DataFrame, target: str, pred: str = "pred") -> dict:
     """Rank IC and R2 of scored rows."""
     ic = spearman(scored, pred, target, (), 10).first()
     err = F.pow(F.col(target) - F.col(pred), F.lit(2.0))
-    r2 = scored.agg((1 - F.sum(err) / (F.var_pop(target) * F.count(target))).alias("r2")).first()["r2"]
-    return {"ic": float(ic["ic"]) if ic else 0.0, "r2": float(r2 or 0.0), "n": int(ic["n_obs"]) if ic else 0}
+    fit = scored.agg((1 - F.sum(err) / (F.var_pop(target) * F.count(target))).alias("r2"), F.avg(err).alias("mse")).first()
+    return {"ic": float(ic["ic"]) if ic else 0.0, "r2": float(fit["r2"] or 0.0), "mse": float(fit["mse"] or 0.0),
+            "n": int(ic["n_obs"]) if ic else 0}
 
 
 def cross_validate(ordered: DataFrame, target: str, fit, k: int = 5, gap: int = 48,
                    reserve_gaps: bool = True) -> dict:
-    """Mean IC, ICIR and R2 over purged folds; ``fit(train) -> model``."""
+    """Mean IC, ICIR, R2 and squared error over purged folds; ``fit(train) -> model``."""
     scores = [
         quality(stage(predict(fit(train), val)), target)
         for train, val in folds(ordered, k, gap, reserve_gaps)
@@ -131,7 +132,8 @@ def cross_validate(ordered: DataFrame, target: str, fit, k: int = 5, gap: int =
     mean = sum(ics) / max(len(ics), 1)
     spread = (sum((i - mean) ** 2 for i in ics) / max(len(ics), 1)) ** 0.5
     return {"ic": mean, "icir": mean / spread if spread > 1e-10 else 0.0,
-            "r2": sum(s["r2"] for s in scores) / max(len(scores), 1), "folds": len(scores)}
+            "r2": sum(s["r2"] for s in scores) / max(len(scores), 1),
+            "mse": sum(s["mse"] for s in scores) / max(len(scores), 1), "folds": len(scores)}
 
 
 def train_trees(rows: DataFrame, features: Sequence[str], target: str, p: TreeParams = PRIMARY,
@@ -151,7 +153,10 @@ def train_elastic_net(rows: DataFrame, features: Sequence[str], target: str,
                       l1_shares: Sequence[float] = (0.5, 0.7, 0.9, 0.95, 0.99),
                       alphas: Sequence[float] | None = None, k: int = 5, gap: int = 48
                       ) -> tuple[PipelineModel, dict]:
-    """Best (l1 share, alpha) by mean fold IC, then one fit on everything."""
+    """(l1 share, alpha) with the smallest mean error over the folds, then one fit on everything.
+
+    The IC reported is that of the chosen point, not the best of the grid.
+    """
     ordered = ordered_rows(rows)
     alphas = list(alphas or alpha_grid(0.1))
     best = None
@@ -159,7 +164,7 @@ def train_elastic_net(rows: DataFrame, features: Sequence[str], target: str,
         for alpha in alphas:
             cv = cross_validate(
                 ordered, target, lambda t: fit_elastic_net(t, features, target, alpha, l1), k, gap)
-            if best is None or cv["ic"] > best["ic"]:
+            if best is None or cv["mse"] < best["mse"]:
                 best = {**cv, "alpha": alpha, "l1_share": l1}
     return fit_elastic_net(ordered, features, target, best["alpha"], best["l1_share"]), best
 
@@ -190,7 +195,7 @@ def train_confidence(rows: DataFrame, features: Sequence[str], target: str,
         "_right", (F.signum("pred") == F.signum(F.col(target))).cast("double")))
     if oos.count() < min_rows:
         return None
-    return fit_trees(oos.drop("_i"), [*features, "pred"], "_right", conf, classify=True)
+    return fit_trees(oos, [*features, "pred"], "_right", conf, classify=True)  # ``_i`` keeps the stop set
 
 
 def area_under_curve(scored: DataFrame, label: str, score: str = "pred") -> float:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stage
 from . import ic, portfolio
+from .models import sign_flipped
 from .regime import IC_GATED
 from .universe import complete_rows, training_window
 from .weekly import last_rows
@@ -26,6 +27,8 @@ class Schedule:
     score_rows: int = 12
     gate_weeks: int = 4
     gate_threshold: float = 0.0
+    gate_features: int = 4
+    invert: bool = False
 
 
 def least_squares(target: str, feature: str) -> Callable[[DataFrame], Column]:
@@ -64,18 +67,54 @@ def walk_forward_predictions(feats: DataFrame, features: Sequence[str], target:
         .groupBy("symbol", "week").agg(F.avg("pred").alias("pred"))
 
 
+def gates(live: DataFrame, plan: Schedule = Schedule(), history: DataFrame | None = None) -> DataFrame:
+    """(week, poor, gated) for the weeks of ``live`` (week, ic).
+
+    ``poor``: the live ICs of the last ``gate_weeks`` weeks average below the threshold. A week is gated
+    if it is poor and none of those weeks was gated itself, or if the newest ICs of at least
+    ``gate_features`` features (``history``: week, feature, ic) average below the threshold. Whether a
+    week is gated depends on earlier decisions, so the week table, one row a week, is folded in order.
+    """
+    table = ic.ic_gate(live, plan.gate_threshold, plan.gate_weeks).select("week", F.col("gated").alias("poor"))
+    if history is None:
+        table = table.withColumn("weak", F.lit(False))
+    else:
+        before = Window.partitionBy("feature").orderBy("week").rowsBetween(Window.unboundedPreceding, -1)
+        newest = history.withColumn("_prev", F.last("ic", ignorenulls=True).over(before)).groupBy("week").agg(
+            ((F.count("_prev") >= plan.gate_features) & (F.avg("_prev") < plan.gate_threshold)).alias("weak"))
+        table = table.join(newest, "week", "left").withColumn("weak", F.coalesce("weak", F.lit(False)))
+    packed = table.agg(F.sort_array(F.collect_list(F.struct("week", "poor", "weak"))).alias("_w"))
+    start = F.struct(F.lit(0).alias("left"), F.array().cast("array<timestamp_ntz>").alias("gated"))
+
+    def step(acc: Column, row: Column) -> Column:
+        shut = row["weak"] | (row["poor"] & (acc["left"] == 0))
+        left = F.when(shut, F.lit(plan.gate_weeks)).otherwise(F.greatest(acc["left"] - 1, F.lit(0)))
+        return F.struct(left.alias("left"), F.when(
+            shut, F.array_append(acc["gated"], row["week"])).otherwise(acc["gated"]).alias("gated"))
+
+    shut = packed.select(F.explode(F.aggregate("_w", start, step, lambda acc: acc["gated"])).alias("week"))
+    return table.join(shut.withColumn("gated", F.lit(True)), "week", "left").select(
+        "week", "poor", F.coalesce("gated", F.lit(False)).alias("gated"))
+
+
 def gated_run(preds: DataFrame, rets: DataFrame, regimes: DataFrame, rvol: DataFrame,
-              rules: portfolio.Rules = portfolio.Rules(), plan: Schedule = Schedule()) -> tuple[DataFrame, DataFrame]:
-    """(trades, weekly metrics) of predictions; weeks after poor live ICs are not traded.
+              rules: portfolio.Rules = portfolio.Rules(), plan: Schedule = Schedule(),
+              history: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(trades, weekly metrics) of predictions; gated weeks are not traded.
 
-    A week whose last ``gate_weeks`` ICs average below the threshold keeps its row, with the marker
-    in place of the regime, no trades and a zero return; the book before it counts as held.
+    A gated week keeps its row, with the marker in place of the regime, no trades and a zero return;
+    the book before it counts as held. With ``invert`` nothing is gated: predictions of weeks with
+    poor live ICs change their sign instead.
     """
     preds = stage(preds)
     live = stage(ic.model_ic(preds, rets))
-    gate = stage(ic.ic_gate(live, plan.gate_threshold, plan.gate_weeks))
-    closed = gate.where("gated").select("week")
-    picks = stage(portfolio.pick(preds.join(closed, "week", "left_anti"), regimes, rules))
+    gate = stage(gates(live, plan, history))
+    closed = gate.where(F.col("gated") & F.lit(not plan.invert)).select("week")
+    traded = preds.join(closed, "week", "left_anti")
+    if plan.invert:
+        traded = sign_flipped(preds.join(gate.select("week", "poor"), "week", "left"),
+                              F.coalesce("poor", F.lit(False))).drop("poor")
+    picks = stage(portfolio.pick(traded, regimes, rules))
     trades = stage(portfolio.trades(picks, rets, rvol, rules.fee))
     weekly = portfolio.weekly_metrics(
         preds.select("week").distinct(), portfolio.week_results(trades), live, portfolio.turnover(picks), regimes,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -55,14 +56,15 @@ def _weekly(spark, sf):
 WALK = walkforward.Schedule(train_weeks=104, retrain_every=26, embargo_minutes=14_400)
 
 
-def _walk(spark, sf):
+def _walk(spark, sf, gate_features=True, invert=False):
     bars, feats = daily_features(spark, sf)
     feats = stage(forward_returns(feats, {"future_ret": 5}))
     preds = walkforward.walk_forward_predictions(
         feats, ["rev_1d"], "future_ret", walkforward.least_squares("future_ret", "rev_1d"), WALK)
     regimes = regime_by_week(market_proxy(bars, ("L5",)), DAILY_SPEC, MIN_VOL_OBS)
     rvol = snapshots(feats, ["rvol_1d"]).withColumnRenamed("rvol_1d", "rvol")
-    return preds, walkforward.gated_run(preds, weekly_returns(bars), regimes, rvol, RULES, WALK)
+    history = ic.weekly_feature_ic(feats, bars, FEATS) if gate_features else None
+    return preds, walkforward.gated_run(preds, weekly_returns(bars), regimes, rvol, RULES, replace(WALK, invert=invert), history)
 
 
 def walk_forward_predictions(spark, sf):
@@ -83,6 +85,12 @@ def walk_forward_regimes(spark, sf):
         "regime", "n_weeks", *[r6(c).alias(c) for c in ("mean_ret", "total_ret", "mean_ic", "win_rate_pct")])
 
 
+def walk_forward_inverted(spark, sf):
+    """Poor weeks trade against their predictions instead of not at all."""
+    _, (_, weekly) = _walk(spark, sf, False, True)
+    return weekly.select("week", "n_trades", "regime", *[r6(c).alias(c) for c in ("week_ret", "cum_ret")])
+
+
 def portfolio_picks(spark, sf):
     _, preds, _, regimes, _ = _inputs(spark, sf)
     return portfolio.pick(preds, regimes, RULES).select(
@@ -366,6 +374,7 @@ QUERIES = {
     "walk_forward_predictions": walk_forward_predictions,
     "walk_forward_weekly": walk_forward_weekly,
     "walk_forward_regimes": walk_forward_regimes,
+    "walk_forward_inverted": walk_forward_inverted,
     "pause_states": pause_states,
     "capped_weights": capped_weights,
     "mark_to_market": mark_to_market,
@@ -433,12 +442,26 @@ _FITTED = f"""wks as (select week, row_number() over (order by week) - 1 as i fr
    where rev_1d is not null group by 1, 2),
  jg as (select week, symbol, pred, ret from preds join wret using (symbol, week)),
  {spearman_cte('gic', 'jg', 'pred', 'ret', 'week', 10)},
- gt as (select week, avg(ic) over w < 0 and count(ic) over w >= 4 as gated from gic window w as (order by week rows between 4 preceding and 1 preceding)),
+ g0 as (select week, avg(ic) over w < 0 and count(ic) over w >= 4 as poor from gic window w as (order by week rows between 4 preceding and 1 preceding)),
+ jf as (select snap.*, wret.ret from snap join wret using (symbol, week)),
+ lf as ({melt_sql('jf', 'week, symbol, ret', FEATS)}),
+ {spearman_cte('ffi', 'lf', 'value', 'ret', 'week, feature', 10)},
+ fl as (select week, feature, lag(ic) over (partition by feature order by week) as prev from ffi),
+ fw as (select week, count(prev) >= 4 and avg(prev) < 0 as weak from fl group by 1),
+ g1 as materialized (select week, coalesce(poor, false) as poor, coalesce(weak, false) as weak, row_number() over (order by week) as i
+   from g0 left join fw using (week)),
+ gt(week, i, gated, closed) as (select week, i, weak or poor, case when weak or poor then 4 else 0 end from g1 where i = 1
+   union all select g1.week, g1.i, weak or (poor and closed = 0),
+     case when weak or (poor and closed = 0) then 4 else greatest(closed - 1, 0) end from gt join g1 on g1.i = gt.i + 1),
  po as (select * from preds where week not in (select week from gt where gated))"""
 _WALKED = _WEEKLY.replace(LASTK, LASTK[:LASTK.index("preds as (")] + _FITTED).replace(
     "from preds p left join reg", "from po p left join reg").replace(
     "coalesce(regime, 'LOW_VOL_GRIND') as regime\n   from (select week, count(*)",
     "case when week in (select week from gt where gated) then 'IC_GATED' else coalesce(regime, 'LOW_VOL_GRIND') end as regime\n   from (select week, count(*)")
+_WALKED = _WALKED.replace("with ", "with recursive ", 1)
+_INVERTED = _WALKED.replace("po as (select * from preds where week not in (select week from gt where gated))",
+                            "po as (select symbol, week, case when week in (select week from g1 where poor) then -pred else pred end as pred from preds)") \
+    .replace("case when week in (select week from gt where gated) then 'IC_GATED' else coalesce(regime, 'LOW_VOL_GRIND') end", "coalesce(regime, 'LOW_VOL_GRIND')")
 _HIST = f"""with {FEAT_D}, {WEEKLY_RET}, {LASTK}, {_REG},
  j as (select snap.*, wret.ret from snap join wret using (symbol, week)),
  l as ({melt_sql('j', 'week, symbol, ret', FEATS)}),
@@ -489,6 +512,7 @@ ORACLES = {
     "walk_forward_regimes": f"""{_WALKED} select regime, count(*) as n_weeks, {r('avg(week_ret)', 'mean_ret')}, {r('sum(week_ret)', 'total_ret')},
       {r('avg(ic)', 'mean_ic')}, {r('avg(case when week_ret > 0 then 1.0 else 0.0 end) * 100', 'win_rate_pct')}
       from wm where regime <> 'IC_GATED' group by 1""",
+    "walk_forward_inverted": f"""{_INVERTED} select week, n_trades, regime, {_cols('week_ret', 'cum_ret')} from wm""",
     "performance_report": f"""{_WEEKLY} select count(*) as n_weeks, {r('product(1 + week_ret) - 1', 'total_return')},
       {r(f'avg(week_ret) / stddev_pop(week_ret) * {_SQUARE_ROOT_52}', 'sharpe')}, {r('min(drawdown)', 'max_drawdown')},
       {r('avg(ic)', 'ic_mean')}, {r('avg(ic) / (stddev_samp(ic) + 1e-8)', 'icir')},
