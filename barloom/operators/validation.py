@@ -26,13 +26,14 @@ from .weekly import sampled_times
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _solve_normal(cov: pd.Series, cov_y: pd.Series, sd: pd.Series) -> pd.Series:
     """Least-squares coefficients of z-scored columns from their (co)variances; minimum norm."""
-    out = []
-    for c, cy, s in zip(cov, cov_y, sd):
-        s = np.where(np.asarray(s, dtype=float) == 0, 1.0, s)
-        k = len(s)
-        gram = np.asarray(c, dtype=float).reshape(k, k) / np.outer(s, s)
-        out.append(np.linalg.pinv(gram, hermitian=True) @ (np.asarray(cy, dtype=float) / s))
-    return pd.Series(out)
+    if not len(cov):
+        return pd.Series([], dtype=object)
+    s = np.array(sd.tolist(), dtype=float)
+    s = np.where(s == 0, 1.0, s)
+    k = s.shape[1]
+    gram = np.array(cov.tolist(), dtype=float).reshape(-1, k, k) / (s[:, :, None] * s[:, None, :])
+    right = np.array(cov_y.tolist(), dtype=float) / s
+    return pd.Series(list((np.linalg.pinv(gram, hermitian=True) @ right[:, :, None])[:, :, 0]))
 
 
 def cross_section_betas(rows: DataFrame, features: Sequence[str], target: str,

@@ -11,10 +11,10 @@ from ..functions.scalars import r6
 from ..operators import ic, portfolio, reports, stability, walkforward
 from ..operators.features import build_features
 from ..operators.regime import regime_by_week
-from ..operators.resample import following_week, week_grid
+from ..operators.resample import week_grid
 from ..operators.targets import forward_returns
 from ..operators.universe import market_proxy
-from ..operators.weekly import snapshots, week_of, weekly_returns
+from ..operators.weekly import snapshots, weekly_returns
 from ..session import stage
 from ..sources.fixtures import DAILY_SPEC, daily_bars, hourly_bars, table
 from .research_queries import MIN_VOL_OBS, _REGIME

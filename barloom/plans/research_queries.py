@@ -14,7 +14,7 @@ from ..operators.targets import forward_returns
 from ..operators.universe import market_proxy
 from ..operators.weekly import snapshots, weekly_returns
 from ..session import stage
-from ..sources.fixtures import DAILY_SPEC, HOURLY_SPEC, daily_bars, hourly_bars
+from ..sources.fixtures import DAILY_SPEC, daily_bars, hourly_bars
 from .sql import BARS_D, BARS_H, W, lag, r, roll, spearman_cte
 from .weekly_queries import (
     FEAT_D, FEATS, MATRIX_H, SNAP, WEEKLY_RET, _MATRIX_NAMES, _complete_matrix, _hourly_matrix,

@@ -9,16 +9,15 @@ from pyspark.sql import functions as F
 from ..functions.scalars import r6
 from ..operators import models, reports, targets
 from ..operators.features import FAMILIES
-from ..operators.resample import following_week
 from ..operators.weekly import last_rows
 from ..session import shared_folder, stage
 from ..spec import ENGINE_HORIZONS, target_plan
 from ..sources import bars as source
 from ..sources import runs as store
-from ..sources.fixtures import DAILY_SPEC, HOURLY_SPEC, daily_bars, hourly_bars, table
+from ..sources.fixtures import HOURLY_SPEC, daily_bars, hourly_bars, table
 from ..streaming import live
-from .sql import BARS_D, BARS_H, W, lag, r, roll
-from .weekly_queries import FEATS, MATRIX_H, SNAP, FEAT_D, _MATRIX_NAMES, _complete_matrix, daily_features
+from .sql import BARS_D, BARS_H, W, lag, r
+from .weekly_queries import FEATS, MATRIX_H, _complete_matrix, daily_features
 
 
 def _scratch(spark, name):
