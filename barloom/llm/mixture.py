@@ -18,6 +18,8 @@ and share what the budget leaves there; a zero weight takes nothing; an empty ta
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,7 +102,7 @@ def _place(seed: int, epoch: Column, doc_id: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit(""))))
 
 
-def _cuts(rows: DataFrame, plan: DataFrame) -> DataFrame:
+def _cuts(rows: DataFrame, plan: DataFrame, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Where the last epoch of each leaf ends: place, and tokens of each row that stands there."""
     high = F.conv(F.substring("place", 1, 8), 16, 10).cast("long")
     ranges = F.ceil(F.col("rows") / RANGE_ROWS)
@@ -109,7 +111,7 @@ def _cuts(rows: DataFrame, plan: DataFrame) -> DataFrame:
     end = F.sum("sum").over(Window.partitionBy(*LEAF).orderBy("range").rowsBetween(Window.unboundedPreceding, 0))
     cut = sums.withColumn("end", end).filter((F.col("end") > F.col("part")) & (F.col("end") - F.col("sum") <= F.col("part"))) \
         .select(*LEAF, "range", (F.col("part") - F.col("end") + F.col("sum")).alias("room"))
-    near = placed.join(cut, [*LEAF, "range"]).groupBy(*LEAF, "place") \
+    near = placed.join(small(cut), [*LEAF, "range"]).groupBy(*LEAF, "place") \
         .agg(F.sum("tokens").alias("sum"), F.count(F.lit(1)).alias("copies"), F.max("room").alias("room"))
     end = F.sum("sum").over(Window.partitionBy(*LEAF).orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
     found = near.withColumn("end", end).filter((F.col("end") > F.col("room")) & (F.col("end") - F.col("sum") <= F.col("room")))
@@ -145,7 +147,7 @@ def mix(docs: DataFrame, *, budget_tokens: int | None = None, share: float = 0.5
     few = plan.count() <= BROADCAST_LEAVES
     small = F.broadcast if few else (lambda df: df)
     placed = rows.join(small(plan), LEAF).withColumn("place", _place(seed, F.col("whole") + 1, F.col("id")))
-    cuts = stage(_cuts(placed, plan).select(
+    cuts = stage(_cuts(placed, plan, small).select(
         F.struct(*LEAF).alias("leaf"), F.struct("whole", "part", "cut", "each").alias("cut")))
 
     cut = free_name(docs, "mix_cut")
