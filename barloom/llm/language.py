@@ -102,7 +102,7 @@ def text_evidence(model: np.ndarray, docs: DataFrame, weight: float, most: int):
             for part in text_parts(texts):
                 code, owner = _grams(part)
                 n = np.bincount(owner, minlength=len(part))
-                ll = np.column_stack([np.bincount(owner, weights=row[code], minlength=len(part)) for row in table])
+                ll = np.column_stack([np.bincount(owner, weights=row[code], minlength=len(part)) for row in table]).astype(np.float64)
                 ll *= (weight * np.minimum(n, most) / np.maximum(n, 1))[:, None]
                 out += ll.tolist()
         return pa.array(out, type=pa.list_(pa.float64()))
