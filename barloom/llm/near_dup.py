@@ -6,8 +6,12 @@ signature rotated to start at its own BASE values. Classes that stand near each
 share at least the BASE leading values are candidates; how deep their common prefix goes follows from
 how dense the region is. An estimate on four bits of each minimum drops hopeless candidates, full sets
 confirm the rest, and confirmed links are joined to components. Further rounds look, in every
-order, for the nearest neighbours of *other* components, until a round adds no link; so a crowded
-region costs a bounded number of comparisons for each member and no group is expanded into pairs.
+order, for the nearest neighbours of *other* components, until a round adds no link; so what is alike
+in a crowded region comes together at a bounded number of comparisons for each member.
+
+Where more classes share leading minima than the first round compares, and not all are of one
+component by then, an exact join follows: two sets that reach the similarity share one of their rarest
+shingles, so only classes of different components that do so are compared.
 
 Orders are range-partitioned by their full sort key, so equal prefixes do not meet in one task.
 
@@ -247,6 +251,51 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         .filter(F.when(close, both * 100 >= (n + m - both) * NEED).otherwise(False)).select("a", "b")
 
 
+def _sets_of(texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, hashes), staged: the full set of each of these classes, from the text of its ``rep``."""
+    reps = classes.select(F.col("rep").alias("doc_id")).distinct()
+    if reps.count() <= BROADCAST_ROWS:
+        reps = F.broadcast(reps)
+    return stage(texts.join(reps, "doc_id", "left_semi").select(_set_of()("text").alias("s")).select("s.*")
+                 .groupBy("key").agg(F.any_value("hashes").alias("hashes")).join(classes.select("key"), "key", "left_semi"))
+
+
+def crowded(classes: DataFrame) -> DataFrame:
+    """Classes (with ``part``) that share leading minima with more than BACK others, of several parts."""
+    trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
+    rows = classes.select("key", "part", "signature", trees) \
+        .select("key", "part", "tree", F.expr(f"substring(signature, {2 * BASE} * tree + 1, {2 * BASE})").alias("base"))
+    groups = rows.groupBy("tree", "base").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("lo"), F.max("part").alias("hi")) \
+        .filter((F.col("n") > BACK + 1) & (F.col("lo") != F.col("hi"))).select("tree", "base")
+    keys = rows.join(groups, ["tree", "base"], "left_semi").select("key").distinct()
+    return classes.join(keys, "key", "left_semi")
+
+
+def sharing_rare(sets: DataFrame) -> DataFrame:
+    """(a, b): all pairs of different ``part`` that can reach the similarity, by prefix filter.
+
+    All shingles have one order: first those that occur in one part only, then by rising number of
+    sets. Of n shingles at least k are in the intersection, so one of the first n - k + 1 is; k follows
+    from the least size of the other set, which for the smaller set of a pair is its own size.
+    """
+    rows = sets.select("key", "part", F.size("hashes").alias("n"), F.explode("hashes").alias("hash"))
+    live = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("many"), F.min("part").alias("lo"), F.max("part").alias("hi")) \
+        .filter(F.col("lo") != F.col("hi")).select("hash", "many")
+    own = rows.join(live, "hash").groupBy("key", "part", "n") \
+        .agg(F.array_sort(F.collect_list(F.struct("many", "hash"))).alias("live"))
+    lone = F.col("n") - F.size("live")
+    larger = F.col("n") - F.ceil(F.col("n") * NEED / 100) + 1 - lone
+    smaller = F.col("n") - F.ceil(F.col("n") * 2 * NEED / (100 + NEED)) + 1 - lone
+    first = stage(own.withColumn("smaller", smaller).withColumn("larger", larger).filter("larger > 0")
+                  .select("key", "part", "n", "smaller", F.posexplode(F.slice("live", F.lit(1), F.col("larger").cast("int"))).alias("at", "s"))
+                  .select("key", "part", "n", "s.hash", (F.col("at") < F.col("smaller")).alias("short")))
+    x = first.filter("short").select("hash", F.col("key").alias("a"), F.col("part").alias("pa"), F.col("n").alias("na"))
+    y = first.select("hash", F.col("key").alias("b"), F.col("part").alias("pb"), F.col("n").alias("nb"))
+    ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    near = F.col("na") * 100 >= F.col("nb") * NEED
+    return x.join(y, (x["hash"] == y["hash"]) & (F.col("pa") != F.col("pb")) & ordered & near).select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of ``docs``."""
     texts = docs.select(F.col(doc_id).alias("doc_id"), text_bytes(text).alias("text"))
@@ -258,11 +307,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     pairs = stage(candidates(classes, "key", BACK))
     alive = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
     alive = stage(classes.join(alive, "key", "left_semi"))
-    reps = alive.select(F.col("rep").alias("doc_id")).distinct()
-    if reps.count() <= BROADCAST_ROWS:
-        reps = F.broadcast(reps)
-    sets = stage(texts.join(reps, "doc_id", "left_semi").select(_set_of()("text").alias("s")).select("s.*")
-                 .groupBy("key").agg(F.any_value("hashes").alias("hashes")).join(alive.select("key"), "key", "left_semi"))
+    sets = _sets_of(texts, alive)
 
     # First the best candidate of each class, then all that still lie in different components.
     first = pairs.groupBy("a").agg(F.max_by("b", F.struct("same", "b")).alias("b")).unionByName(
@@ -278,8 +323,17 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
             break
         roots = merge_roots(roots, new)
         tried, todo = tried.unionByName(todo), todo.filter("false")
-    members = classes.select("key", "rep").join(roots.withColumnRenamed("node", "key"), "key", "left") \
-        .withColumn("root", F.coalesce("root", "key"))
+
+    # What the orders cannot bring together in crowds.
+    roots = stage(classes.select(F.col("key").alias("node")).join(roots, "node", "left")
+                  .select("node", F.coalesce("root", "node").alias("root")))
+    crowd = stage(crowded(classes.join(roots.select(F.col("node").alias("key"), F.col("root").alias("part")), "key"))
+                  .select("key", "rep", "part"))
+    if not crowd.isEmpty():
+        sets = _sets_of(texts, crowd)
+        pairs = stage(sharing_rare(sets.join(crowd.select("key", F.xxhash64("part").alias("part")), "key")))
+        roots = merge_roots(roots, stage(confirmed(pairs, sets)))
+    members = classes.select("key", "rep").join(roots.withColumnRenamed("node", "key"), "key")
     smallest = members.groupBy("root").agg(F.min("rep").alias("least"))
     named = members.join(smallest, "root").select("key", F.col("least").alias("component_id"))
     return (
