@@ -214,8 +214,9 @@ def candidates(classes: DataFrame, part: str, back: int) -> DataFrame:
         .select(F.concat(tree, F.substring(turned, 1, _ORDER), "sketch", "key").alias("row"), "part")
     )
     found = stage(rows.repartitionByRange("row").sortWithinPartitions("row").mapInArrow(_neighbours(back, True), NEIGHBOUR))
-    # Where two partitions meet, their last and first rows are neighbours: a few rows of each partition.
-    seams = found.filter(F.col("row").isNotNull()).repartition(1).sortWithinPartitions("row") \
+    # Where two partitions meet, their last and first rows are neighbours: a few rows of each partition,
+    # once each, as a repeated row would take the place of a neighbour.
+    seams = found.filter(F.col("row").isNotNull()).select("row", "part").distinct().repartition(1).sortWithinPartitions("row") \
         .mapInArrow(_neighbours(back, False), NEIGHBOUR)
     return found.filter(F.col("a").isNotNull()).select("a", "b", "same") \
         .unionByName(seams.select("a", "b", "same")).groupBy("a", "b").agg(F.max("same").alias("same"))

@@ -2,8 +2,6 @@
 
 import random
 
-import pytest
-
 from barloom.llm import near_dup
 
 from test_text_operators import components, docs_frame
@@ -29,3 +27,19 @@ def test_pairs_within_a_crowd_are_found(spark):
     assert sum(c != i for i, (_, c) in want.items()) == 12
     got = near_dup.near_duplicates(docs_frame(spark, rows)).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
+def test_pairs_across_a_partition_border(spark, monkeypatch):
+    """Four classes share leading minima in one order, three of them in one partition and one in the next."""
+    classes = spark.createDataFrame(
+        [(bytes([i]) * 16, bytes([i]) * 16, bytes(6) + bytes([0, i]) * (near_dup.VALUES - 3), bytes(near_dup.VALUES // 2)) for i in range(4)],
+        "key binary, part binary, signature binary, sketch binary")
+    monkeypatch.setattr(near_dup, "TREES", 1)
+    frame = type(classes)
+
+    def three_and_one(self, *columns):
+        return self.repartition(1).sortWithinPartitions("row").rdd.zipWithIndex().map(lambda x: (int(x[1] == 3), x[0])) \
+            .partitionBy(2, lambda k: k).map(lambda x: x[1]).toDF(self.schema)
+
+    monkeypatch.setattr(frame, "repartitionByRange", three_and_one)
+    assert near_dup.candidates(classes, "part", near_dup.BACK).count() == 6
