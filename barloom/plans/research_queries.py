@@ -104,12 +104,17 @@ def _daily_matrix_rows(spark, sf):
     return forward_returns(feats, {"future_ret": H})
 
 
-def training_matrix(spark, sf):
+def training_matrix(spark, sf, max_rows: int | None = 1500):
     out = matrix.rolling_matrix(_daily_matrix_rows(spark, sf), FEATS, "future_ret", TRAIN_END, 104,
-                                60, step=5, min_rows=55, max_rows=1500, seed=7)
+                                60, step=5, min_rows=55, max_rows=max_rows, seed=7)
     return out.select("symbol", "ts", *[r6(c).alias(c) for c in [*FEATS, "y_raw", "y_neutral"]])
 
 
+def training_matrix_all(spark, sf):
+    """All rows of the window; the check SQL of ``matrix_rolling`` samples 1,500 of them."""
+    return training_matrix(spark, sf, None)
+
+
 def training_matrix_expanding(spark, sf):
     out = matrix.expanding_matrix(_daily_matrix_rows(spark, sf), FEATS, "future_ret",
                                   dt.datetime(1995, 1, 2), TRAIN_END, step=5, min_rows=55,
@@ -262,6 +267,7 @@ QUERIES = {
     "matrix_winsorised": winsorised,
     "matrix_rank_normalised": rank_normalised,
     "matrix_rolling": training_matrix,
+    "matrix_rolling_all": training_matrix_all,
     "matrix_expanding": training_matrix_expanding,
     "matrix_collinear_pairs": collinear_pairs,
     "matrix_row_positions": fold_bounds_positions,
@@ -549,3 +555,4 @@ ORACLES = {
       {r('corr(a.ret, b.ret)', 'value')} from wret a join wret b on a.week = b.week and substr(a.symbol, 2)::int <= substr(b.symbol, 2)::int
       group by 1, 2 having count(*) >= 5""",
 }
+ORACLES["matrix_rolling_all"] = ORACLES["matrix_rolling"].replace(f" order by {_KEY7} limit 1500", "")
