@@ -43,3 +43,27 @@ def test_pairs_across_a_partition_border(spark, monkeypatch):
 
     monkeypatch.setattr(frame, "repartitionByRange", three_and_one)
     assert near_dup.candidates(classes, "part", near_dup.BACK).count() == 6
+
+
+def test_partner_deep_in_a_large_component(spark):
+    """Over 50 partitions, in batches of 2 rows: documents near to one single member of a large component."""
+    rng = random.Random(5)
+    base = [f"t{i}" for i in range(300)]
+
+    def changed(words, n):
+        at = rng.randrange(10, len(words) - n - 10)
+        return words[:at] + [f"c{rng.randrange(10 ** 9)}" for _ in range(n)] + words[at + n:]
+
+    copies = [changed(base, 5) for _ in range(120)]
+    rows = [(i, " ".join(w)) for i, w in enumerate([*copies, *(changed(w, 25) for w in copies[:20])])]
+    conf = {"spark.sql.shuffle.partitions": "50", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+            "spark.sql.execution.arrow.maxRecordsPerBatch": "2"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = near_dup.near_duplicates(docs_frame(spark, rows)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == components(rows)
