@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (chat, decontaminate, html_text, language, license_scan, mixture, near_dup, neighbours, quality,
-               url_filter)
+from . import (centroids, chat, collocations, decontaminate, html_text, language, license_scan, mixture, near_dup, neighbours,
+               quality, token_files, url_filter)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -225,6 +225,67 @@ select doc_id, coalesce(n, 0) as n_shingles, coalesce(root, doc_id) as component
  doc_id = coalesce(root, doc_id) as kept
 from documents left join n using (doc_id) left join c using (doc_id)"""
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_files.read_documents(token_files.write(docs, public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def _op12_sql(k: int = 8, rounds: int = 10, size: int = 64) -> str:
+    def nearest(c: str) -> str:
+        # The nearest of the centroids of table c, ties to the smaller number.
+        return f"""select row, any_value(vec_id) as vec_id, any_value(v) as v, min_by(cluster, (d, cluster)) as cluster, min(d) as distance
+ from (select w.row, w.vec_id, w.v, cluster, list_sum(list_transform(list_zip(w.v, {c}.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) as d from w, {c}) group by row"""
+
+    steps = "".join(f"""
+a{n} as materialized ({nearest(f"c{n}")}),
+c{n + 1} as materialized (select cluster, coalesce(m.v, c{n}.v) as v from c{n} left join (
+  select cluster, list(cast(q - case when s < q * n then 1 else 0 end as bigint) order by d) as v from (
+    select cluster, d, sum(x) as s, count(*) as n, sum(x) // count(*) as q from (
+      select cluster, unnest(v) as x, unnest(range({size})) as d from a{n}) group by all) group by cluster) m using (cluster)),"""
+                    for n in range(rounds))
+    return f"""
+with w as materialized (select row_number() over () as row, vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v
+ from embeddings where len(embedding) = {size} and len(list_filter(embedding, lambda x: isfinite(x))) = {size}),
+c0 as materialized (select cast(row_number() over (order by h) - 1 as integer) as cluster, v from (
+ select sha256(concat('3:', vec_id)) as h, v from w where vec_id is not null order by h limit {k})),{steps}
+z as materialized ({nearest(f"c{rounds}")})
+select vec_id, z.cluster, cast(distance as bigint) as distance, cast(sum(distance) over (partition by z.cluster) as bigint) as cluster_inertia,
+ cast(sum(distance) over () as bigint) as inertia, sha256(array_to_string(c{rounds}.v, ',')) as centroid_sha256
+from z join c{rounds} using (cluster)"""
+
+
+OP12_SQL = _op12_sql()
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+OP13_SQL = r"""
+with p as materialized (select row_number() over () as piece, lang, regexp_extract_all(t, '[^\x20\x09]+') as w from (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+   'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as t from documents)),
+g as materialized (select lang, k as words, array_to_string(w[s:s + k - 1], ' ') as phrase, count(*) as f from (
+  select lang, w, k, unnest(range(1, len(w) - k + 2)) as s from p, (select unnest([1, 2, 3]) as k) where len(w) >= k) group by all),
+n as (select lang, sum(f) as n from g where words = 1 group by lang),
+f as materialized (select *, string_split(phrase, ' ') as w from g where f >= 10),
+c as (select lang, phrase, words, f as a, k, array_to_string(w[1:k], ' ') as head, array_to_string(w[k + 1:], ' ') as tail
+  from (select *, unnest(range(1, words)) as k from f where words > 1)),
+s as (select c.*, x.f as l, y.f as r, cast((1000000::hugeint * a * a) // (x.f::hugeint * y.f) as bigint) as score
+  from c join f x on x.lang = c.lang and x.phrase = head join f y on y.lang = c.lang and y.phrase = tail),
+b as (select * from s qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+i as (select lang, part, max(a) as longer from (
+  select lang, f as a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) as part from f where words = 3) group by all)
+select b.lang, row_number() over (partition by b.lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, cast(n as bigint) as n, score
+from b left join i on b.lang = i.lang and b.phrase = i.part join n on n.lang = b.lang
+where longer is null or 100 * longer < 50 * a
+qualify row_number() over (partition by b.lang order by score desc, a desc, phrase) <= 2000"""
+
 QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_mixture": op2_mixture,
@@ -237,6 +298,9 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_decontamination": op9_decontamination,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_token_files": op11_token_files,
+    "op12_centroids": op12_centroids,
+    "op13_collocations": op13_collocations,
 }
 ORACLES = {
     "op2_mixture": OP2_SQL,
@@ -244,4 +308,6 @@ ORACLES = {
     "op7_url_filter": OP7_SQL,
     "op9_decontamination": OP9_SQL,
     "op10_near_duplicates": OP10_SQL,
+    "op12_centroids": OP12_SQL,
+    "op13_collocations": OP13_SQL,
 }
