@@ -1,11 +1,12 @@
-"""Phrase collocations by Rabin-Karp fingerprints, counted level by level.
+"""Phrase collocations by Rabin-Karp fingerprints.
 
 A task hashes the words of its texts from prefix polynomials over bytes, and every n-gram from prefix
-polynomials over its words: a 64-bit fingerprint and an independent 64-bit check. It adds up equal
-fingerprints and ships (fingerprint, count, smallest and largest check, pointer to one occurrence). The
-shuffle adds these up; a fingerprint seen often enough is frequent. An n-gram can only be frequent if both
-its (n-1)-grams are, so the frequent fingerprints of one level prune the next through a bit table of a
-fixed size (what the table lets through in excess is counted and dropped, so its size only costs shuffle).
+polynomials over its words: a 64-bit fingerprint and an independent 64-bit check. Two passes find what is
+frequent. The first ships leading bits of fingerprints with their counts, sorted and packed by ranges (four to
+five bytes each); those seen often enough mark a bit table. The second adds up the n-grams that the table
+lets through and ships (fingerprint, count, check, pointer to one occurrence), which the shuffle adds up
+exactly. The table lets some rare n-grams through as well; they are counted and dropped, so its size costs
+shuffle only.
 
 Only frequent fingerprints become text, from their pointers. Where smallest and largest check differ,
 different phrases share a fingerprint: those n-grams are read again and counted by their text.
@@ -18,6 +19,7 @@ that a task needs memory for a slice, the text itself and ``HELD`` counters. Fur
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +30,10 @@ from ..session import stage
 from .words import text_bytes, text_parts
 
 SLICE = 1 << 20           # bytes hashed at once
-HELD = 1 << 21            # fingerprints a task holds before it ships them
-TABLE_BITS = 25           # log2 of the bits of the pruning table: 4 MB
+HELD = 1 << 19            # counters a task gathers before it adds them up, or ships them
+LEADING = 48              # bits of a fingerprint that the first pass counts
+RANGE_BYTES = 4 << 20     # text for each range of fingerprints
+TABLE_BITS = (20, 27)     # log2 of the least and most bits of the table: at most 16 MB
 BROADCAST_ROWS = 1_000_000
 UNKNOWN = "und"
 
@@ -43,8 +47,9 @@ _KIND[[*b".,;:!?", 10, 11, 12, 13]] = 2
 _LOWER = bytes(range(256)).lower()
 _ALL = (1 << 64) - 1
 
-COUNTED = "lang string, fp long, lo long, hi long, n long, row long, place long"
-_COUNTED_ARROW = pa.schema([("lang", pa.string()), *((c, pa.int64()) for c in ("fp", "lo", "hi", "n", "row", "place"))])
+COUNTED = "lang string, fp long, check long, n long, row long, place long"
+_COUNTED_ARROW = pa.schema([("lang", pa.string()), *((c, pa.int64()) for c in ("fp", "check", "n", "row", "place"))])
+_PACKED_ARROW = pa.schema([("range", pa.int32()), ("packed", pa.binary())])
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -109,34 +114,38 @@ def _hashed(words: np.ndarray, base: int, first: np.ndarray, size: int, salt: np
     return _mix((value ^ salt) * np.uint64(2 * size + 1)) & np.uint64(mask)
 
 
-def _grams(texts: list[bytes], salts: np.ndarray, n: int, mask: int):
-    """n-grams of whole texts, slice by slice: text number, begin and end in the text, fingerprint, check
-    and the fingerprints of the first and the last n - 1 words."""
+def _grams(texts: list[bytes], salts: np.ndarray, longest: int, mask: int):
+    """n-grams of whole texts, slice by slice, n from 1 to ``longest``: n, text number, begin and end in the
+    text, fingerprint and check."""
     data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
     begins = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))[:-1]
-    held = None
+    held = [np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64)]
     for found in words_of(data):
-        if held is not None:
-            found = [np.concatenate((a[len(a) - min(len(a), n - 1):], b)) for a, b in zip(held, found)]
-        held = found
-        begin, end, piece, fp, check = found
-        m = max(0, len(begin) - n + 1)
-        first = np.flatnonzero(piece[:m] == piece[n - 1:n - 1 + m])
-        if not len(first):
+        old = min(len(held[0]), longest - 1)
+        begin, end, piece, fp, check = held = [np.concatenate((a[len(a) - old:], b)) for a, b in zip(held, found)]
+        if len(begin) == old:
             continue
-        owner = np.searchsorted(begins, begin[first], side="right") - 1
-        salt = salts[owner]
-        parts = [_hashed(fp, _BASES[0], first + k, n - 1, salt, mask) for k in (0, 1)] if n > 1 else []
-        yield (owner, begin[first] - begins[owner], end[first + n - 1] - begins[owner],
-               _hashed(fp, _BASES[0], first, n, salt, mask), _hashed(check, _BASES[1], first, n, salt), parts)
+        owner = np.searchsorted(begins, begin, side="right") - 1
+        for n in range(1, longest + 1):
+            first = np.arange(max(0, old - n + 1), len(begin) - n + 1)  # those that end in a new word
+            first = first[piece[first] == piece[first + n - 1]]
+            if len(first):
+                text = owner[first]
+                yield (n, text, begin[first] - begins[text], end[first + n - 1] - begins[text],
+                       _hashed(fp, _BASES[0], first, n, salts[text], mask), _hashed(check, _BASES[1], first, n, salts[text]))
 
 
 def _in_table(table: np.ndarray, fp: np.ndarray) -> np.ndarray:
     """Which fingerprints may be in a bit table."""
-    place = _mix(fp) >> np.uint64(64 - TABLE_BITS)
+    place = _place(fp, len(table).bit_length() + 2)
     return (table[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
+def _place(fp: np.ndarray, bits: int) -> np.ndarray:
+    """Bit of a table of 2^bits bits, from the leading bits of a fingerprint alone."""
+    return _mix(fp >> np.uint64(64 - LEADING)) >> np.uint64(64 - bits)
+
+
 def _salt(lang: str) -> int:
     return int.from_bytes(hashlib.blake2b(lang.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
 
@@ -149,21 +158,95 @@ def _parts_of(batch: pa.RecordBatch):
         at += len(texts)
 
 
+def _summed(fp: np.ndarray, n: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct fingerprints in order and their counts, not above ``most``."""
+    order = np.argsort(fp, kind="stable")
+    fp = fp[order]
+    at = np.flatnonzero(np.concatenate(([True], fp[1:] != fp[:-1])))
+    return fp[at], np.minimum(np.add.reduceat(n[order].astype(np.int64), at), most).astype(np.uint32)
+
+
+def pack(fp: np.ndarray, n: np.ndarray) -> bytes:
+    """Sorted numbers as gaps, with counts, both in as few bytes as the largest needs."""
+    gaps = np.diff(fp, prepend=np.uint64(0))
+    kinds = [next(k for k in ("<u1", "<u2", "<u4", "<u8") if int(x.max()) <= np.iinfo(k).max) for x in (gaps, n)]
+    return b"".join((kinds[0][1:].encode(), kinds[1][1:].encode(), gaps.astype(kinds[0]).tobytes(), n.astype(kinds[1]).tobytes()))
+
+
+def unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    kinds = "<" + packed[:2].decode(), "<" + packed[2:4].decode()
+    size = (len(packed) - 4) // sum(np.dtype(k).itemsize for k in kinds)
+    gaps = np.frombuffer(packed, kinds[0], size, 4)
+    return np.cumsum(gaps.astype(np.uint64)), np.frombuffer(packed, kinds[1], size, 4 + gaps.nbytes)
+
+
+def _sketcher(longest: int, mask: int, least: int, ranges: int):
+    """Task function: leading bits of the fingerprints of all n-grams, packed for each range of them.
+
+    Counts stop at ``least``: a task that saw a fingerprint so often has made it frequent.
+    """
+    def sketch(batches):
+        held, new, size = (np.zeros(0, np.uint64), np.zeros(0, np.uint32)), [], 0
+
+        def merged():
+            fp = np.concatenate([held[0], *new])
+            return _summed(fp, np.concatenate((held[1], np.ones(len(fp) - len(held[1]), np.uint32))), least) if len(fp) else held
+
+        def shipped():
+            shift = np.uint64(LEADING - ranges)
+            part = (held[0] >> shift).astype(np.int64)
+            for fp, n, k in ((held[0][a:b], held[1][a:b], int(part[a])) for a, b in _runs(part)):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pack(fp - (np.uint64(k) << shift), n)], pa.binary())],
+                                                 schema=_PACKED_ARROW)
+
+        for batch in batches:
+            for texts, langs, _ in _parts_of(batch):
+                for _, _, _, _, fp, _ in _grams(texts, np.array([_salt(x) for x in langs], np.uint64), longest, mask):
+                    new.append(fp >> np.uint64(64 - LEADING))
+                    size += len(fp)
+                    if size >= HELD:
+                        held, new, size = merged(), [], 0
+                        if len(held[0]) >= 8 * HELD:
+                            yield from shipped()
+                            held = held[0][:0], held[1][:0]
+        held = merged()
+        if len(held[0]):
+            yield from shipped()
+    return sketch
+
+
+def _runs(part: np.ndarray):
+    edge = np.flatnonzero(np.diff(part)) + 1
+    return zip([0, *edge.tolist()], [*edge.tolist(), len(part)])
+
+
+def _frequent_of(least: int, ranges: int):
+    """Group function: the leading bits of a range that were seen ``least`` times, over all tasks."""
+    def frequent(key, table):
+        fp, n = zip(*(unpack(x.as_py()) for x in table.column("packed")))
+        fp, n = _summed(np.concatenate(fp), np.concatenate(n), least)
+        base = np.uint64(key[0].as_py()) << np.uint64(LEADING - ranges)
+        fp = (fp[n >= least] + base) << np.uint64(64 - LEADING)
+        return pa.table({"fp": fp.view(np.int64)})
+    return frequent
+
+
 def _added_up(held: list[np.ndarray]) -> list[np.ndarray]:
-    """Counters (lang, fp, lo, hi, n, row, place) with equal (lang, fp) made one."""
-    lang, fp, lo, hi, n, row, place = held
-    order = np.lexsort((fp, lang))
-    lang, fp = lang[order], fp[order]
-    at = np.flatnonzero(np.concatenate(([True], (fp[1:] != fp[:-1]) | (lang[1:] != lang[:-1]))))
-    return [lang[at], fp[at], np.minimum.reduceat(lo[order], at), np.maximum.reduceat(hi[order], at),
-            np.add.reduceat(n[order], at), row[order][at], place[order][at]]
+    """Counters (lang, fp, check, n, row, place) with equal (lang, fp, check) made one."""
+    lang, fp, check, n, row, place = held
+    order = np.lexsort((check, fp, lang))
+    lang, fp, check = lang[order], fp[order], check[order]
+    at = np.flatnonzero(np.concatenate(([True], (fp[1:] != fp[:-1]) | (lang[1:] != lang[:-1]) | (check[1:] != check[:-1]))))
+    return [lang[at], fp[at], check[at], np.add.reduceat(n[order], at), row[order][at], place[order][at]]
 
 
-def _counter(n: int, mask: int, table):
-    """Task function: texts to counters of their n-grams, pruned by the table of the level below."""
+def _counter(longest: int, mask: int, table):
+    """Task function: texts to counters of the n-grams the table lets through; a null fingerprint counts all
+    words of a language."""
     def count(batches):
-        bits = np.frombuffer(table.value, np.uint8) if table is not None else None
+        bits = np.frombuffer(table.value, np.uint8)
         codes: dict[str, int] = {}
+        words: Counter = Counter()
         held, new, size = None, [], 0
 
         def merged():
@@ -181,15 +264,16 @@ def _counter(n: int, mask: int, table):
             for texts, langs, rows in _parts_of(batch):
                 own = np.array([codes.setdefault(x, len(codes)) for x in langs])
                 salts = np.array([_salt(x) for x in langs], np.uint64)
-                for owner, begin, end, fp, check, parts in _grams(texts, salts, n, mask):
-                    if bits is not None:
-                        kept = np.flatnonzero(_in_table(bits, parts[0]) & _in_table(bits, parts[1]))
-                        owner, begin, end, fp, check = (x[kept] for x in (owner, begin, end, fp, check))
-                    if not len(fp):
+                for n, owner, begin, end, fp, check in _grams(texts, salts, longest, mask):
+                    if n == 1:
+                        words.update(dict(enumerate(np.bincount(own[owner]).tolist())))
+                    kept = np.flatnonzero(_in_table(bits, fp))
+                    if not len(kept):
                         continue
-                    check = check.view(np.int64)
-                    new.append([own[owner], fp, check, check, np.ones(len(fp), np.int64), rows[owner], begin << 31 | end - begin])
-                    size += len(fp)
+                    owner, begin = owner[kept], begin[kept]
+                    new.append([own[owner], fp[kept], check[kept].view(np.int64), np.ones(len(kept), np.int64), rows[owner],
+                                begin << 31 | end[kept] - begin])
+                    size += len(kept)
                     if size >= HELD:
                         held, new, size = merged(), [], 0
                         if len(held[0]) >= HELD:
@@ -198,10 +282,14 @@ def _counter(n: int, mask: int, table):
         held = merged()
         if held:
             yield from shipped(held)
+        if codes:
+            nulls = pa.nulls(len(codes), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([*codes], pa.string()), nulls, nulls, pa.array([words[c] for c in codes.values()], pa.int64()),
+                                              nulls, nulls], schema=_COUNTED_ARROW)
     return count
 
 
-def _reader(n: int, mask: int, table):
+def _reader(longest: int, mask: int, table):
     """Task function: the n-grams as text whose fingerprint may be in the table."""
     schema = pa.schema([("lang", pa.string()), ("fp", pa.int64()), ("phrase", pa.string())])
 
@@ -209,7 +297,7 @@ def _reader(n: int, mask: int, table):
         bits = np.frombuffer(table.value, np.uint8)
         for batch in batches:
             for texts, langs, _ in _parts_of(batch):
-                for owner, begin, end, fp, _, _ in _grams(texts, np.array([_salt(x) for x in langs], np.uint64), n, mask):
+                for _, owner, begin, end, fp, _ in _grams(texts, np.array([_salt(x) for x in langs], np.uint64), longest, mask):
                     hit = np.flatnonzero(_in_table(bits, fp))
                     for at in range(0, len(hit), 1 << 14):
                         some = hit[at:at + (1 << 14)]
@@ -220,19 +308,21 @@ def _reader(n: int, mask: int, table):
     return read
 
 
-def _bit_table(frequent: DataFrame):
-    """Broadcast bit table of fixed size over the fingerprints; the driver gets 2^19 numbers at most."""
-    spark = frequent.sparkSession
+def _bit_table(marked: DataFrame):
+    """Broadcast bit table over fingerprints, 16 bits for each within ``TABLE_BITS``; the driver gets its words."""
+    spark = marked.sparkSession
+    bits = min(max(marked.count() * 16, 1).bit_length(), TABLE_BITS[1])
+    bits = max(bits, TABLE_BITS[0])
 
     def word_and_bit(batches):
         for batch in batches:
-            place = _mix(batch.column(0).to_numpy().view(np.uint64)) >> np.uint64(64 - TABLE_BITS)
+            place = _place(batch.column(0).to_numpy().view(np.uint64), bits)
             yield pa.RecordBatch.from_arrays([pa.array((place >> np.uint64(6)).view(np.int64)),
                                               pa.array((np.uint64(1) << (place & np.uint64(63))).view(np.int64))], names=["word", "bit"])
 
-    words = frequent.select("fp").mapInArrow(word_and_bit, "word long, bit long") \
+    words = marked.select("fp").mapInArrow(word_and_bit, "word long, bit long") \
         .groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    table = np.zeros(1 << (TABLE_BITS - 6), np.int64)
+    table = np.zeros(1 << (bits - 6), np.int64)
     table[words["word"].to_numpy()] = words["bits"].to_numpy()
     return spark.sparkContext.broadcast(table.tobytes())
 
@@ -252,43 +342,34 @@ def _as_text(frequent: DataFrame, texts: DataFrame) -> DataFrame:
 def frequent_phrases(docs: DataFrame, *, text: str = "text", lang: str = "lang", longest: int = 3, least: int = 10,
                      hash_bits: int = 64) -> tuple[DataFrame, DataFrame]:
     """((lang, words, phrase, f) of phrases of up to ``longest`` words seen ``least`` times or more,
-    (lang, n) with all words), both staged.
+    (lang, n) with all words), both from staged tables.
 
     ``hash_bits`` narrows the fingerprints, for tests of collisions.
     """
-    mask = (1 << hash_bits) - 1
+    mask = (1 << hash_bits) - 1 << 64 - hash_bits
     texts = stage(docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), text_bytes(text).alias("text"),
                               F.monotonically_increasing_id().alias("row")))
-    levels, totals, table = [], None, None
-    for n in range(1, longest + 1):
-        counted = texts.mapInArrow(_counter(n, mask, table), COUNTED).groupBy("lang", "fp").agg(
-            F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"),
-            F.min_by("place", "row").alias("place"), F.min("row").alias("row"))
-        if n == 1:  # all words are needed for the totals
-            counted = stage(counted)
-            totals = stage(counted.groupBy("lang").agg(F.sum("n").alias("n")))
-            frequent = counted.filter(F.col("n") >= least)
-        else:
-            frequent = stage(counted.filter(F.col("n") >= least))
-        if table is not None:
-            table.destroy()
-            table = None
-        if n < longest:
-            table = _bit_table(frequent)
-        same = F.col("lo") == F.col("hi")
-        phrases = _as_text(frequent.filter(same), texts)
-        shared = frequent.filter(~same).select("lang", "fp")
-        if not shared.isEmpty():
-            own = _bit_table(shared)
-            phrases = stage(phrases.unionByName(
-                texts.mapInArrow(_reader(n, mask, own), "lang string, fp long, phrase string").join(shared, ["lang", "fp"], "left_semi")
-                .groupBy("lang", "phrase").agg(F.count(F.lit(1)).alias("f")).filter(F.col("f") >= least)))
-            own.destroy()
-        levels.append(phrases.withColumn("words", F.lit(n)))
-    every = levels[0]
-    for level in levels[1:]:
-        every = every.unionByName(level)
-    return stage(every.select("lang", "words", "phrase", "f")), totals
+    size = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    ranges = min(30, (size // RANGE_BYTES).bit_length())
+    marked = stage(texts.mapInArrow(_sketcher(longest, mask, least, ranges), "range int, packed binary")
+                   .groupBy("range").applyInArrow(_frequent_of(least, ranges), "fp long"))
+    table = _bit_table(marked)
+    counted = texts.mapInArrow(_counter(longest, mask, table), COUNTED).groupBy("lang", "fp").agg(
+        F.min("check").alias("lo"), F.max("check").alias("hi"), F.sum("n").alias("n"),
+        F.min_by("place", "row").alias("place"), F.min("row").alias("row"))
+    counted = stage(counted.filter(F.col("fp").isNull() | (F.col("n") >= least)))
+    table.destroy()
+    frequent, same = counted.filter(F.col("fp").isNotNull()), F.col("lo") == F.col("hi")
+    phrases = _as_text(frequent.filter(same), texts)
+    shared = frequent.filter(~same).select("lang", "fp")
+    if not shared.isEmpty():
+        table = _bit_table(shared)
+        phrases = stage(phrases.unionByName(
+            texts.mapInArrow(_reader(longest, mask, table), "lang string, fp long, phrase string").join(shared, ["lang", "fp"], "left_semi")
+            .groupBy("lang", "phrase").agg(F.count(F.lit(1)).alias("f")).filter(F.col("f") >= least)))
+        table.destroy()
+    return (stage(phrases.select("lang", F.size(F.split("phrase", " ")).alias("words"), "phrase", "f")),
+            counted.filter(F.col("fp").isNull()).select("lang", "n"))
 
 
 def collocations(docs: DataFrame, *, text: str = "text", lang: str = "lang", longest: int = 3, least: int = 10,
