@@ -47,6 +47,7 @@ PAIRS = 8192          # pairs replaced in a round
 PIECES = 1_500_000    # encoded pieces a task remembers, about
 PART = 1 << 20        # bytes of text encoded at once
 TOKENIZER_BYTES = 64 << 20
+READERS = 20_000      # tasks that read files back, at most
 _HEAD, _TAIL = "<4sIIIIII", "<4sII"
 _VISIBLE = np.zeros(256, bool)    # ASCII
 _VISIBLE[33:127] = True
@@ -506,5 +507,7 @@ def read_documents(manifest: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[at:at + (1 << 14)])],
                                                      names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return manifest.select("path", "start").repartition("path") \
+    # A row stands for a whole file: a stated number of partitions is not merged for its few bytes.
+    files = max(1, min(manifest.count(), READERS))
+    return manifest.select("path", "start").repartition(files, "path") \
         .mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
