@@ -14,6 +14,7 @@ from ..operators.regime import regime_by_week
 from ..operators.resample import week_grid
 from ..operators.targets import forward_returns
 from ..operators.universe import market_proxy
+from ..operators.walkrun import RunData
 from ..operators.weekly import snapshots, weekly_returns
 from ..session import stage
 from ..sources.fixtures import DAILY_SPEC, daily_bars, hourly_bars, table
@@ -53,42 +54,61 @@ def _weekly(spark, sf):
     return stage(weekly), trades
 
 
-WALK = walkforward.Schedule(train_weeks=104, retrain_every=26, embargo_minutes=14_400)
+WALK = walkforward.Schedule(train_weeks=104, retrain_every=26, embargo_minutes=14_400, gate_threshold=-0.05)
 
 
-def _walk(spark, sf, gate_features=True, invert=False):
+def _walk_data(spark, sf):
     bars, feats = daily_features(spark, sf)
     feats = stage(forward_returns(feats, {"future_ret": 5}))
-    preds = walkforward.walk_forward_predictions(
-        feats, ["rev_1d"], "future_ret", walkforward.least_squares("future_ret", "rev_1d"), WALK)
     regimes = regime_by_week(market_proxy(bars, ("L5",)), DAILY_SPEC, MIN_VOL_OBS)
     rvol = snapshots(feats, ["rvol_1d"]).withColumnRenamed("rvol_1d", "rvol")
-    history = ic.weekly_feature_ic(feats, bars, FEATS) if gate_features else None
-    return preds, walkforward.gated_run(preds, weekly_returns(bars), regimes, rvol, RULES, replace(WALK, invert=invert), history)
+    return RunData(feats, "future_ret", weekly_returns(bars), regimes, rvol, ic.weekly_feature_ic(feats, bars, FEATS))
+
+
+def _walk_preds(data):
+    return walkforward.walk_forward_predictions(
+        data.feats, ["rev_1d"], "future_ret", walkforward.least_squares("future_ret", "rev_1d"), WALK)
+
+
+def _walk(spark, sf, **changes):
+    data = _walk_data(spark, sf)
+    return walkforward.gated_run(_walk_preds(data), data.rets, data.regimes, data.rvol, RULES, replace(WALK, **changes), data.history)
 
 
 def walk_forward_predictions(spark, sf):
-    preds, _ = _walk(spark, sf)
+    preds = _walk_preds(_walk_data(spark, sf))
     return preds.select("week", "symbol", r6("pred", 8).alias("pred"))
 
 
 def walk_forward_weekly(spark, sf):
-    _, (_, weekly) = _walk(spark, sf)
+    _, weekly = _walk(spark, sf)
     return weekly.select("week", "n_symbols", "n_trades", "regime", *[r6(c).alias(c) for c in (
         "week_ret", "long_ret", "short_ret", "ic", "turnover_pct", "cum_ret", "drawdown", "max_drawdown")])
 
 
 def walk_forward_regimes(spark, sf):
     """Regimes of a gated run: its marker weeks are left out."""
-    _, (_, weekly) = _walk(spark, sf)
+    _, weekly = _walk(spark, sf)
     return reports.regime_breakdown(weekly).select(
         "regime", "n_weeks", *[r6(c).alias(c) for c in ("mean_ret", "total_ret", "mean_ic", "win_rate_pct")])
 
 
 def walk_forward_inverted(spark, sf):
-    """Poor weeks trade against their predictions instead of not at all."""
-    _, (_, weekly) = _walk(spark, sf, False, True)
-    return weekly.select("week", "n_trades", "regime", *[r6(c).alias(c) for c in ("week_ret", "cum_ret")])
+    """Gate at its default, so that weeks after poor ones trade against their predictions."""
+    _, weekly = _walk(spark, sf, gate_threshold=-1.0, invert=True)
+    return weekly.select("week", "n_trades", "regime", *[r6(c).alias(c) for c in ("week_ret", "ic", "cum_ret")])
+
+
+def walk_forward_gated_inverted(spark, sf):
+    """Gate and inversion at once, each with its threshold."""
+    _, weekly = _walk(spark, sf, invert=True)
+    return weekly.select("week", "n_symbols", "n_trades", "regime", *[r6(c).alias(c) for c in ("week_ret", "ic", "turnover_pct", "cum_ret")])
+
+
+def walk_forward_forced(spark, sf):
+    """Every week against its predictions; the features gate at zero."""
+    _, weekly = _walk(spark, sf, gate_threshold=0.0, force_invert=True)
+    return weekly.select("week", "n_symbols", "n_trades", "regime", *[r6(c).alias(c) for c in ("week_ret", "ic", "turnover_pct", "cum_ret")])
 
 
 def portfolio_picks(spark, sf):
@@ -375,6 +395,8 @@ QUERIES = {
     "walk_forward_weekly": walk_forward_weekly,
     "walk_forward_regimes": walk_forward_regimes,
     "walk_forward_inverted": walk_forward_inverted,
+    "walk_forward_gated_inverted": walk_forward_gated_inverted,
+    "walk_forward_forced": walk_forward_forced,
     "pause_states": pause_states,
     "capped_weights": capped_weights,
     "mark_to_market": mark_to_market,
@@ -439,29 +461,50 @@ _FITTED = f"""wks as (select week, row_number() over (order by week) - 1 as i fr
    where y is not null and rev_1d is not null group by 1 having count(*) >= 100),
  fit as (select *, lead(rw) over (order by rw) as nx from fits),
  preds as (select symbol, week, avg(a + b * rev_1d) as pred from lastk join fit on week >= rw and (nx is null or week < nx)
-   where rev_1d is not null group by 1, 2),
- jg as (select week, symbol, pred, ret from preds join wret using (symbol, week)),
- {spearman_cte('gic', 'jg', 'pred', 'ret', 'week', 10)},
- g0 as (select week, avg(ic) over w < 0 and count(ic) over w >= 4 as poor from gic window w as (order by week rows between 4 preceding and 1 preceding)),
+   where rev_1d is not null group by 1, 2)"""
+
+
+def _decided(gate: float, invert: float | None, force: bool = False) -> str:
+    """Gate and inversion over ``preds``, week by week: the state is the live ICs of the last four weeks, null
+    where gated. ``po`` are the predictions as traded."""
+    full = "len(live) = 4 and len(list_filter(live, lambda x: x is null)) = 0"
+    mean = "(live[1] + live[2] + live[3] + live[4]) / 4"
+    flip = "true" if force else "false" if invert is None else f"({full} and {mean} < {invert})"
+    shut = f"((n_features >= 4 and feature_ic < {gate}) or ({full} and {mean} < {gate}))"
+    return f"""jg as (select week, symbol, pred, ret from preds join wret using (symbol, week)),
+ {spearman_cte('gic', 'jg', 'pred', 'ret', 'week', 2)},
  jf as (select snap.*, wret.ret from snap join wret using (symbol, week)),
  lf as ({melt_sql('jf', 'week, symbol, ret', FEATS)}),
  {spearman_cte('ffi', 'lf', 'value', 'ret', 'week, feature', 10)},
  fl as (select week, feature, lag(ic) over (partition by feature order by week) as prev from ffi),
- fw as (select week, count(prev) >= 4 and avg(prev) < 0 as weak from fl group by 1),
- g1 as materialized (select week, coalesce(poor, false) as poor, coalesce(weak, false) as weak, row_number() over (order by week) as i
-   from g0 left join fw using (week)),
- gt(week, i, gated, closed) as (select week, i, weak or poor, case when weak or poor then 4 else 0 end from g1 where i = 1
-   union all select g1.week, g1.i, weak or (poor and closed = 0),
-     case when weak or (poor and closed = 0) then 4 else greatest(closed - 1, 0) end from gt join g1 on g1.i = gt.i + 1),
- po as (select * from preds where week not in (select week from gt where gated))"""
-_WALKED = _WEEKLY.replace(LASTK, LASTK[:LASTK.index("preds as (")] + _FITTED).replace(
-    "from preds p left join reg", "from po p left join reg").replace(
-    "coalesce(regime, 'LOW_VOL_GRIND') as regime\n   from (select week, count(*)",
-    "case when week in (select week from gt where gated) then 'IC_GATED' else coalesce(regime, 'LOW_VOL_GRIND') end as regime\n   from (select week, count(*)")
-_WALKED = _WALKED.replace("with ", "with recursive ", 1)
-_INVERTED = _WALKED.replace("po as (select * from preds where week not in (select week from gt where gated))",
-                            "po as (select symbol, week, case when week in (select week from g1 where poor) then -pred else pred end as pred from preds)") \
-    .replace("case when week in (select week from gt where gated) then 'IC_GATED' else coalesce(regime, 'LOW_VOL_GRIND') end", "coalesce(regime, 'LOW_VOL_GRIND')")
+ fw as (select week, count(prev) as n_features, coalesce(avg(prev), 0) as feature_ic from fl group by 1),
+ g1 as materialized (select week, case when n_obs >= greatest(5, least(10, n // 2)) then ic else 0 end as ic, coalesce(n_features, 0) as n_features,
+   coalesce(feature_ic, 0) as feature_ic, row_number() over (order by week) as i
+   from (select week, count(*) as n from preds group by 1) left join gic using (week) left join fw using (week) where n >= 5),
+ gt(i, week, gated, flipped, ic, live) as (select 0::bigint, null::timestamp, false, false, 0.0::double, []::double[]
+   union all select i, week, gated, flipped, case when gated then feature_ic when flipped then -ic else ic end,
+     list_append(live, case when gated then null when flipped then -round(ic, 5) else round(ic, 5) end)[-4:] from (
+     select *, not gated and {flip} as flipped from (
+       select g1.*, gt.live, {shut} as gated from gt join g1 on g1.i = gt.i + 1))),
+ gd as materialized (select week, gated, flipped, ic from gt where i > 0),
+ po as (select symbol, week, case when flipped then -pred else pred end as pred from preds join gd using (week) where not gated)"""
+
+
+def _walked(fitted: str, decided: str) -> str:
+    """_WEEKLY with other predictions, and the marker rows of gated weeks."""
+    text = _WEEKLY.replace(LASTK, LASTK[:LASTK.index("preds as (")] + fitted + ", " + decided).replace("with ", "with recursive ", 1)
+    text = text.replace("from preds p left join reg", "from po p left join reg")
+    text = text.replace("w.n_symbols, coalesce(n_trades", "case when gated then 0 else w.n_symbols end as n_symbols, coalesce(n_trades")
+    text = text.replace("coalesce(ic, 0) as ic,\n   coalesce(turnover_pct, 100)", "gd.ic as ic,\n   case when gated then 0 else coalesce(turnover_pct, 100) end")
+    text = text.replace("coalesce(regime, 'LOW_VOL_GRIND') as regime\n   from (select week, count(*)",
+                        "case when gated then 'IC_GATED' else coalesce(regime, 'LOW_VOL_GRIND') end as regime\n   from (select week, count(*)")
+    return text.replace("group by 1) w left join wr using (week)\n   left join mic using (week)", "group by 1) w join gd using (week) left join wr using (week)\n  ")
+
+
+_WALKED = _walked(_FITTED, _decided(-0.05, None))
+_INVERTED = _walked(_FITTED, _decided(-1.0, 0.0))
+_GATED_INVERTED = _walked(_FITTED, _decided(-0.05, 0.0))
+_FORCED = _walked(_FITTED, _decided(0.0, None, True))
 _HIST = f"""with {FEAT_D}, {WEEKLY_RET}, {LASTK}, {_REG},
  j as (select snap.*, wret.ret from snap join wret using (symbol, week)),
  l as ({melt_sql('j', 'week, symbol, ret', FEATS)}),
@@ -512,7 +555,9 @@ ORACLES = {
     "walk_forward_regimes": f"""{_WALKED} select regime, count(*) as n_weeks, {r('avg(week_ret)', 'mean_ret')}, {r('sum(week_ret)', 'total_ret')},
       {r('avg(ic)', 'mean_ic')}, {r('avg(case when week_ret > 0 then 1.0 else 0.0 end) * 100', 'win_rate_pct')}
       from wm where regime <> 'IC_GATED' group by 1""",
-    "walk_forward_inverted": f"""{_INVERTED} select week, n_trades, regime, {_cols('week_ret', 'cum_ret')} from wm""",
+    "walk_forward_inverted": f"""{_INVERTED} select week, n_trades, regime, {_cols('week_ret', 'ic', 'cum_ret')} from wm""",
+    "walk_forward_gated_inverted": f"""{_GATED_INVERTED} select week, n_symbols, n_trades, regime, {_cols('week_ret', 'ic', 'turnover_pct', 'cum_ret')} from wm""",
+    "walk_forward_forced": f"""{_FORCED} select week, n_symbols, n_trades, regime, {_cols('week_ret', 'ic', 'turnover_pct', 'cum_ret')} from wm""",
     "performance_report": f"""{_WEEKLY} select count(*) as n_weeks, {r('product(1 + week_ret) - 1', 'total_return')},
       {r(f'avg(week_ret) / stddev_pop(week_ret) * {_SQUARE_ROOT_52}', 'sharpe')}, {r('min(drawdown)', 'max_drawdown')},
       {r('avg(ic)', 'ic_mean')}, {r('avg(ic) / (stddev_samp(ic) + 1e-8)', 'icir')},
