@@ -1,15 +1,13 @@
 """Phrase collocations by Rabin-Karp fingerprints.
 
 A task hashes the words of its texts from prefix polynomials over bytes, and every n-gram from prefix
-polynomials over its words: a 64-bit fingerprint and an independent 64-bit check. Two passes find what is
-frequent. The first ships leading bits of fingerprints with their counts, sorted and packed by ranges (four to
-five bytes each); those seen often enough mark a bit table. The second adds up the n-grams that the table
-lets through and ships (fingerprint, count, check, pointer to one occurrence), which the shuffle adds up
-exactly. The table lets some rare n-grams through as well; they are counted and dropped, so its size costs
-shuffle only.
+polynomials over its words: a fingerprint of 56 bits and an independent check of 24. It adds up equal ones and ships
+(fingerprint, count, check, pointer to the row of one occurrence), sorted and packed by ranges of
+fingerprints: about ten bytes each. One task adds up a range over all tasks; only what was seen often enough
+becomes a row.
 
-Only frequent fingerprints become text, from their pointers. Where smallest and largest check differ,
-different phrases share a fingerprint: those n-grams are read again and counted by their text.
+Only frequent fingerprints become text: the rows their pointers name are read again, once. Where checks
+differ, different phrases share a fingerprint: those n-grams are read everywhere and counted by their text.
 
 Defined cases: a null or empty text has no words; a null language is ``und``; repeated rows count each
 time; an empty table gives an empty result; a text of any length is hashed in slices of ``SLICE`` bytes, so
@@ -31,9 +29,10 @@ from .words import text_bytes, text_parts
 
 SLICE = 1 << 20           # bytes hashed at once
 HELD = 1 << 19            # counters a task gathers before it adds them up, or ships them
-LEADING = 48              # bits of a fingerprint that the first pass counts
+FP_BITS, CHECK_BITS = 56, 24
 RANGE_BYTES = 4 << 20     # text for each range of fingerprints
-TABLE_BITS = (20, 27)     # log2 of the least and most bits of the table: at most 16 MB
+BLOCK_ROWS = 1 << 16      # rows that a packed pointer tells apart
+TABLE_BITS = (20, 27)     # log2 of the least and most bits of the table of shared fingerprints
 BROADCAST_ROWS = 1_000_000
 UNKNOWN = "und"
 
@@ -45,11 +44,10 @@ _KIND = np.zeros(256, np.uint8)                                     # 0 word, 1
 _KIND[[9, 32]] = 1
 _KIND[[*b".,;:!?", 10, 11, 12, 13]] = 2
 _LOWER = bytes(range(256)).lower()
-_ALL = (1 << 64) - 1
 
-COUNTED = "lang string, fp long, check long, n long, row long, place long"
-_COUNTED_ARROW = pa.schema([("lang", pa.string()), *((c, pa.int64()) for c in ("fp", "check", "n", "row", "place"))])
-_PACKED_ARROW = pa.schema([("range", pa.int32()), ("packed", pa.binary())])
+_PACKED_ARROW = pa.schema([("range", pa.int32()), ("base", pa.int64()), ("packed", pa.binary())])
+PHRASES = "lang string, phrase string, f long"
+_PHRASES_ARROW = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -106,15 +104,15 @@ def words_of(data: np.ndarray):
                *((end - p[:done]) * f[:done] for end, (p, f) in zip(at_end, at_start)))
 
 
-def _hashed(words: np.ndarray, base: int, first: np.ndarray, size: int, salt: np.ndarray, mask: int = _ALL) -> np.ndarray:
+def _hashed(words: np.ndarray, base: int, first: np.ndarray, size: int, salt: np.ndarray, bits: int) -> np.ndarray:
     """Hash of ``size`` words from each of ``first``, by prefix polynomials over the words."""
     n = len(words)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mix(words) * _powers(base, n))))
     value = (sums[first + size] - sums[first]) * _powers(pow(base, -1, 1 << 64), n)[first]
-    return _mix((value ^ salt) * np.uint64(2 * size + 1)) & np.uint64(mask)
+    return (_mix((value ^ salt) * np.uint64(2 * size + 1)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _grams(texts: list[bytes], salts: np.ndarray, longest: int, mask: int):
+def _grams(texts: list[bytes], salts: np.ndarray, longest: int, bits: int):
     """n-grams of whole texts, slice by slice, n from 1 to ``longest``: n, text number, begin and end in the
     text, fingerprint and check."""
     data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
@@ -132,18 +130,7 @@ def _grams(texts: list[bytes], salts: np.ndarray, longest: int, mask: int):
             if len(first):
                 text = owner[first]
                 yield (n, text, begin[first] - begins[text], end[first + n - 1] - begins[text],
-                       _hashed(fp, _BASES[0], first, n, salts[text], mask), _hashed(check, _BASES[1], first, n, salts[text]))
-
-
-def _in_table(table: np.ndarray, fp: np.ndarray) -> np.ndarray:
-    """Which fingerprints may be in a bit table."""
-    place = _place(fp, len(table).bit_length() + 2)
-    return (table[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
-
-def _place(fp: np.ndarray, bits: int) -> np.ndarray:
-    """Bit of a table of 2^bits bits, from the leading bits of a fingerprint alone."""
-    return _mix(fp >> np.uint64(64 - LEADING)) >> np.uint64(64 - bits)
+                       _hashed(fp, _BASES[0], first, n, salts[text], bits), _hashed(check, _BASES[1], first, n, salts[text], CHECK_BITS))
 
 
 def _salt(lang: str) -> int:
@@ -158,167 +145,177 @@ def _parts_of(batch: pa.RecordBatch):
         at += len(texts)
 
 
-def _summed(fp: np.ndarray, n: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct fingerprints in order and their counts, not above ``most``."""
-    order = np.argsort(fp, kind="stable")
-    fp = fp[order]
-    at = np.flatnonzero(np.concatenate(([True], fp[1:] != fp[:-1])))
-    return fp[at], np.minimum(np.add.reduceat(n[order].astype(np.int64), at), most).astype(np.uint32)
+def _added_up(fp: np.ndarray, check: np.ndarray, n: np.ndarray, row: np.ndarray) -> list[np.ndarray]:
+    """Counters in order of fingerprint and check, equal ones made one with their smallest row."""
+    order = np.lexsort((row, check, fp))
+    fp, check = fp[order], check[order]
+    at = np.flatnonzero(np.concatenate(([True], (fp[1:] != fp[:-1]) | (check[1:] != check[:-1]))))
+    return [fp[at], check[at], np.add.reduceat(n[order], at), row[order][at]]
 
 
-def pack(fp: np.ndarray, n: np.ndarray) -> bytes:
-    """Sorted numbers as gaps, with counts, both in as few bytes as the largest needs."""
-    gaps = np.diff(fp, prepend=np.uint64(0))
-    kinds = [next(k for k in ("<u1", "<u2", "<u4", "<u8") if int(x.max()) <= np.iinfo(k).max) for x in (gaps, n)]
-    return b"".join((kinds[0][1:].encode(), kinds[1][1:].encode(), gaps.astype(kinds[0]).tobytes(), n.astype(kinds[1]).tobytes()))
+def _bytes(numbers: np.ndarray) -> bytes:
+    """Numbers in as few bytes as the largest needs, all their first bytes, then all their second bytes, ..."""
+    width = max(1, (int(numbers.max()).bit_length() + 7) // 8)
+    return bytes([width]) + numbers.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
 
-def unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
-    kinds = "<" + packed[:2].decode(), "<" + packed[2:4].decode()
-    size = (len(packed) - 4) // sum(np.dtype(k).itemsize for k in kinds)
-    gaps = np.frombuffer(packed, kinds[0], size, 4)
-    return np.cumsum(gaps.astype(np.uint64)), np.frombuffer(packed, kinds[1], size, 4 + gaps.nbytes)
+def pack(columns: list[np.ndarray]) -> bytes:
+    """Columns of natural numbers of one length; the first, which rises, as gaps."""
+    first, *rest = columns
+    return len(first).to_bytes(4, "little") + b"".join(map(_bytes, (np.diff(first, prepend=0), *rest)))
 
 
-def _sketcher(longest: int, mask: int, least: int, ranges: int):
-    """Task function: leading bits of the fingerprints of all n-grams, packed for each range of them.
+def unpack(packed: bytes) -> list[np.ndarray]:
+    size, at, out = int.from_bytes(packed[:4], "little"), 4, []
+    while at < len(packed):
+        width = packed[at]
+        wide = np.zeros((size, 8), np.uint8)
+        wide[:, :width] = np.frombuffer(packed, np.uint8, size * width, at + 1).reshape(width, size).T
+        out.append(wide.view("<i8").ravel())
+        at += 1 + size * width
+    return [np.cumsum(out[0]), *out[1:]]
 
-    Counts stop at ``least``: a task that saw a fingerprint so often has made it frequent.
-    """
-    def sketch(batches):
-        held, new, size = (np.zeros(0, np.uint64), np.zeros(0, np.uint32)), [], 0
+
+def _counter(longest: int, bits: int, ranges: int):
+    """Task function: n-grams of whole texts to packed counters, one block for each range of fingerprints."""
+    def count(batches):
+        held, new, size, base = None, [], 0, 0
 
         def merged():
-            fp = np.concatenate([held[0], *new])
-            return _summed(fp, np.concatenate((held[1], np.ones(len(fp) - len(held[1]), np.uint32))), least) if len(fp) else held
+            parts = ([held] if held else []) + new
+            return _added_up(*(np.concatenate(x) for x in zip(*parts))) if parts else None
 
         def shipped():
-            shift = np.uint64(LEADING - ranges)
-            part = (held[0] >> shift).astype(np.int64)
-            for fp, n, k in ((held[0][a:b], held[1][a:b], int(part[a])) for a, b in _runs(part)):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pack(fp - (np.uint64(k) << shift), n)], pa.binary())],
-                                                 schema=_PACKED_ARROW)
+            part = held[0] >> (bits - ranges)
+            edge = (np.flatnonzero(np.diff(part)) + 1).tolist()
+            for a, b in zip([0, *edge], [*edge, len(part)]):
+                k = int(part[a])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k], pa.int32()), pa.array([base]),
+                     pa.array([pack([held[0][a:b] - (k << bits - ranges), *(c[a:b] for c in held[1:])])], pa.binary())], schema=_PACKED_ARROW)
 
         for batch in batches:
-            for texts, langs, _ in _parts_of(batch):
-                for _, _, _, _, fp, _ in _grams(texts, np.array([_salt(x) for x in langs], np.uint64), longest, mask):
-                    new.append(fp >> np.uint64(64 - LEADING))
-                    size += len(fp)
-                    if size >= HELD:
+            for texts, langs, rows in _parts_of(batch):
+                # A pointer is the place in a block of rows: the parts end with a block.
+                place = rows - rows % BLOCK_ROWS
+                edge = (np.flatnonzero(np.diff(place)) + 1).tolist()
+                for a, b in zip([0, *edge], [*edge, len(texts)]):
+                    if place[a] != base:
                         held, new, size = merged(), [], 0
-                        if len(held[0]) >= 8 * HELD:
+                        if held:
                             yield from shipped()
-                            held = held[0][:0], held[1][:0]
+                        held, base = None, int(place[a])
+                    for _, owner, _, _, fp, check in _grams(texts[a:b], np.array([_salt(x) for x in langs[a:b]], np.uint64), longest, bits):
+                        new.append([fp, check, np.ones(len(fp), np.int64), rows[a:b][owner] - base])
+                        size += len(fp)
+                        if size >= HELD:
+                            held, new, size = merged(), [], 0
+                            if len(held[0]) >= 5 * HELD:
+                                yield from shipped()
+                                held = None
         held = merged()
-        if len(held[0]):
+        if held:
             yield from shipped()
-    return sketch
-
-
-def _runs(part: np.ndarray):
-    edge = np.flatnonzero(np.diff(part)) + 1
-    return zip([0, *edge.tolist()], [*edge.tolist(), len(part)])
+    return count
 
 
-def _frequent_of(least: int, ranges: int):
-    """Group function: the leading bits of a range that were seen ``least`` times, over all tasks."""
+def _frequent_of(least: int, bits: int, ranges: int):
+    """Group function: the fingerprints of a range that were seen ``least`` times over all tasks, with their
+    count, one row that holds them, and whether their checks differ."""
     def frequent(key, table):
-        fp, n = zip(*(unpack(x.as_py()) for x in table.column("packed")))
-        fp, n = _summed(np.concatenate(fp), np.concatenate(n), least)
-        base = np.uint64(key[0].as_py()) << np.uint64(LEADING - ranges)
-        fp = (fp[n >= least] + base) << np.uint64(64 - LEADING)
-        return pa.table({"fp": fp.view(np.int64)})
+        blocks = []
+        for base, packed in zip(table.column("base").to_pylist(), table.column("packed")):
+            *rest, row = unpack(packed.as_py())
+            blocks.append((*rest, row + base))
+        fp, check, n, row = _added_up(*map(np.concatenate, zip(*blocks)))
+        at = np.flatnonzero(np.concatenate(([True], fp[1:] != fp[:-1])))
+        total, differ = np.add.reduceat(n, at), np.diff(np.append(at, len(fp))) > 1
+        kept = total >= least
+        return pa.table({"fp": fp[at][kept] + (key[0].as_py() << bits - ranges), "n": total[kept], "row": row[at][kept], "shared": differ[kept]})
     return frequent
 
 
-def _added_up(held: list[np.ndarray]) -> list[np.ndarray]:
-    """Counters (lang, fp, check, n, row, place) with equal (lang, fp, check) made one."""
-    lang, fp, check, n, row, place = held
-    order = np.lexsort((check, fp, lang))
-    lang, fp, check = lang[order], fp[order], check[order]
-    at = np.flatnonzero(np.concatenate(([True], (fp[1:] != fp[:-1]) | (lang[1:] != lang[:-1]) | (check[1:] != check[:-1]))))
-    return [lang[at], fp[at], check[at], np.add.reduceat(n[order], at), row[order][at], place[order][at]]
+def _word_counts(batches):
+    """Words of each language, one row for each language of a task."""
+    words: Counter = Counter()
+    for batch in batches:
+        for texts, langs, _ in _parts_of(batch):
+            data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+            start = np.flatnonzero((_KIND[data] == 0) & (_KIND[np.concatenate((data[-1:], data[:-1]))] != 0))
+            ends = np.cumsum([len(t) + 1 for t in texts])
+            for lang, n in zip(langs, np.diff(np.searchsorted(start, ends), prepend=0).tolist()):
+                words[lang] += n
+    yield pa.RecordBatch.from_arrays([pa.array([*words], pa.string()), pa.array([*words.values()], pa.int64())], names=["lang", "n"])
 
 
-def _counter(longest: int, mask: int, table):
-    """Task function: texts to counters of the n-grams the table lets through; a null fingerprint counts all
-    words of a language."""
-    def count(batches):
-        bits = np.frombuffer(table.value, np.uint8)
-        codes: dict[str, int] = {}
-        words: Counter = Counter()
-        held, new, size = None, [], 0
-
-        def merged():
-            parts = ([held] if held else []) + new
-            return _added_up([np.concatenate(x) for x in zip(*parts)]) if parts else None
+def _phrase(text: bytes, begin: int, end: int) -> str:
+    return b" ".join(text[begin:end].translate(_LOWER).split()).decode("utf-8", "replace")
 
-        def shipped(cols):
-            names = np.array([*codes], object)
-            for at in range(0, len(cols[0]), 1 << 16):
-                lang, *numbers = (c[at:at + (1 << 16)] for c in cols)
-                yield pa.RecordBatch.from_arrays([pa.array(names[lang], pa.string()), *(pa.array(c.view(np.int64)) for c in numbers)],
-                                                 schema=_COUNTED_ARROW)
 
+def _finder(longest: int, bits: int):
+    """Task function: texts with the fingerprints that point to them, to (lang, phrase, f)."""
+    def find(batches):
         for batch in batches:
+            wanted, at = batch.column("wanted"), 0
             for texts, langs, rows in _parts_of(batch):
-                own = np.array([codes.setdefault(x, len(codes)) for x in langs])
-                salts = np.array([_salt(x) for x in langs], np.uint64)
-                for n, owner, begin, end, fp, check in _grams(texts, salts, longest, mask):
-                    if n == 1:
-                        words.update(dict(enumerate(np.bincount(own[owner]).tolist())))
-                    kept = np.flatnonzero(_in_table(bits, fp))
-                    if not len(kept):
-                        continue
-                    owner, begin = owner[kept], begin[kept]
-                    new.append([own[owner], fp[kept], check[kept].view(np.int64), np.ones(len(kept), np.int64), rows[owner],
-                                begin << 31 | end[kept] - begin])
-                    size += len(kept)
-                    if size >= HELD:
-                        held, new, size = merged(), [], 0
-                        if len(held[0]) >= HELD:
-                            yield from shipped(held)
-                            held = None
-        held = merged()
-        if held:
-            yield from shipped(held)
-        if codes:
-            nulls = pa.nulls(len(codes), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([*codes], pa.string()), nulls, nulls, pa.array([words[c] for c in codes.values()], pa.int64()),
-                                              nulls, nulls], schema=_COUNTED_ARROW)
-    return count
-
-
-def _reader(longest: int, mask: int, table):
+                own = wanted.slice(at, len(texts))
+                at += len(texts)
+                items = own.flatten()
+                fps, counts = (items.field(c).to_numpy() for c in ("fp", "n"))
+                where = np.repeat(np.arange(len(texts)), own.value_lengths().to_numpy())
+                order = np.argsort(fps)
+                fps, counts, where = fps[order], counts[order], where[order]
+                left = np.ones(len(fps), bool)
+                for _, owner, begin, end, fp, _ in _grams(texts, np.array([_salt(x) for x in langs], np.uint64), longest, bits):
+                    place = np.minimum(np.searchsorted(fps, fp), len(fps) - 1)
+                    hit = np.flatnonzero((fps[place] == fp) & (where[place] == owner) & left[place])
+                    place, first = np.unique(place[hit], return_index=True)
+                    hit = hit[first]
+                    left[place] = False
+                    if len(hit):
+                        phrases = [_phrase(texts[o], b, e) for o, b, e in zip(owner[hit].tolist(), begin[hit].tolist(), end[hit].tolist())]
+                        yield pa.RecordBatch.from_arrays([pa.array([langs[o] for o in owner[hit]], pa.string()), pa.array(phrases, pa.string()),
+                                                          pa.array(counts[place])], schema=_PHRASES_ARROW)
+    return find
+
+
+def _reader(longest: int, bits: int, table):
     """Task function: the n-grams as text whose fingerprint may be in the table."""
-    schema = pa.schema([("lang", pa.string()), ("fp", pa.int64()), ("phrase", pa.string())])
+    schema = pa.schema([("fp", pa.int64()), ("lang", pa.string()), ("phrase", pa.string())])
 
     def read(batches):
-        bits = np.frombuffer(table.value, np.uint8)
+        known = np.frombuffer(table.value, np.uint8)
         for batch in batches:
             for texts, langs, _ in _parts_of(batch):
-                for _, owner, begin, end, fp, _ in _grams(texts, np.array([_salt(x) for x in langs], np.uint64), longest, mask):
-                    hit = np.flatnonzero(_in_table(bits, fp))
+                for _, owner, begin, end, fp, _ in _grams(texts, np.array([_salt(x) for x in langs], np.uint64), longest, bits):
+                    place = _place(fp, len(known).bit_length() + 2)
+                    hit = np.flatnonzero((known[place >> 3] >> (place & 7).astype(np.uint8)) & 1)
                     for at in range(0, len(hit), 1 << 14):
                         some = hit[at:at + (1 << 14)]
-                        phrases = [b" ".join(texts[o][b:e].translate(_LOWER).split()).decode("utf-8", "replace")
-                                   for o, b, e in zip(owner[some], begin[some], end[some])]
-                        yield pa.RecordBatch.from_arrays([pa.array([langs[o] for o in owner[some]], pa.string()),
-                                                          pa.array(fp[some].view(np.int64)), pa.array(phrases, pa.string())], schema=schema)
+                        phrases = [_phrase(texts[o], b, e) for o, b, e in zip(owner[some], begin[some], end[some])]
+                        yield pa.RecordBatch.from_arrays([pa.array(fp[some]), pa.array([langs[o] for o in owner[some]], pa.string()),
+                                                          pa.array(phrases, pa.string())], schema=schema)
     return read
 
 
+def _place(fp: np.ndarray, bits: int) -> np.ndarray:
+    """Bit of a fingerprint in a table of 2^bits bits."""
+    return (_mix(fp.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
 def _bit_table(marked: DataFrame):
-    """Broadcast bit table over fingerprints, 16 bits for each within ``TABLE_BITS``; the driver gets its words."""
+    """Broadcast bit table over fingerprints, 16 bits for each within ``TABLE_BITS``; the driver gets its words.
+
+    What it lets through in excess is dropped by a join, so its size costs shuffle only.
+    """
     spark = marked.sparkSession
-    bits = min(max(marked.count() * 16, 1).bit_length(), TABLE_BITS[1])
-    bits = max(bits, TABLE_BITS[0])
+    bits = max(TABLE_BITS[0], min((marked.count() * 16).bit_length(), TABLE_BITS[1]))
 
     def word_and_bit(batches):
         for batch in batches:
-            place = _place(batch.column(0).to_numpy().view(np.uint64), bits)
-            yield pa.RecordBatch.from_arrays([pa.array((place >> np.uint64(6)).view(np.int64)),
-                                              pa.array((np.uint64(1) << (place & np.uint64(63))).view(np.int64))], names=["word", "bit"])
+            place = _place(batch.column(0).to_numpy(), bits)
+            yield pa.RecordBatch.from_arrays([pa.array(place >> 6), pa.array((np.uint64(1) << (place & 63).astype(np.uint64)).view(np.int64))],
+                                             names=["word", "bit"])
 
     words = marked.select("fp").mapInArrow(word_and_bit, "word long, bit long") \
         .groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
@@ -327,60 +324,45 @@ def _bit_table(marked: DataFrame):
     return spark.sparkContext.broadcast(table.tobytes())
 
 
-def _as_text(frequent: DataFrame, texts: DataFrame) -> DataFrame:
-    """(lang, phrase, f) of counters, cut out of the texts their pointers name."""
-    rows = frequent.select("row").distinct()
-    if rows.count() <= BROADCAST_ROWS:
-        texts = texts.join(F.broadcast(rows), "row", "left_semi")
-    begin, size = F.shiftright("place", 31).cast("int"), F.col("place").bitwiseAND((1 << 31) - 1).cast("int")
-    cut = F.col("text").substr(begin + 1, size).cast("string")
-    low = F.translate(cut, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return frequent.join(texts.select("row", "text"), "row") \
-        .select("lang", F.regexp_replace(low, "[\t ]+", " ").alias("phrase"), F.col("n").alias("f"))
-
-
 def frequent_phrases(docs: DataFrame, *, text: str = "text", lang: str = "lang", longest: int = 3, least: int = 10,
-                     hash_bits: int = 64) -> tuple[DataFrame, DataFrame]:
+                     hash_bits: int = FP_BITS) -> tuple[DataFrame, DataFrame]:
     """((lang, words, phrase, f) of phrases of up to ``longest`` words seen ``least`` times or more,
-    (lang, n) with all words), both from staged tables.
+    (lang, n) with all words).
 
     ``hash_bits`` narrows the fingerprints, for tests of collisions.
     """
-    mask = (1 << hash_bits) - 1 << 64 - hash_bits
     texts = stage(docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), text_bytes(text).alias("text"),
                               F.monotonically_increasing_id().alias("row")))
     size = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    ranges = min(30, (size // RANGE_BYTES).bit_length())
-    marked = stage(texts.mapInArrow(_sketcher(longest, mask, least, ranges), "range int, packed binary")
-                   .groupBy("range").applyInArrow(_frequent_of(least, ranges), "fp long"))
-    table = _bit_table(marked)
-    counted = texts.mapInArrow(_counter(longest, mask, table), COUNTED).groupBy("lang", "fp").agg(
-        F.min("check").alias("lo"), F.max("check").alias("hi"), F.sum("n").alias("n"),
-        F.min_by("place", "row").alias("place"), F.min("row").alias("row"))
-    counted = stage(counted.filter(F.col("fp").isNull() | (F.col("n") >= least)))
-    table.destroy()
-    frequent, same = counted.filter(F.col("fp").isNotNull()), F.col("lo") == F.col("hi")
-    phrases = _as_text(frequent.filter(same), texts)
-    shared = frequent.filter(~same).select("lang", "fp")
+    ranges = min(30, hash_bits, (size // RANGE_BYTES).bit_length())
+    frequent = stage(texts.mapInArrow(_counter(longest, hash_bits, ranges), "range int, base long, packed binary")
+                     .groupBy("range").applyInArrow(_frequent_of(least, hash_bits, ranges), "fp long, n long, row long, shared boolean"))
+    wanted = frequent.filter("not shared").groupBy("row").agg(F.collect_list(F.struct("fp", "n")).alias("wanted"))
+    named = texts
+    rows = wanted.select("row")
+    if rows.count() <= BROADCAST_ROWS:
+        named = texts.join(F.broadcast(rows), "row", "left_semi")
+    phrases = named.join(wanted, "row").select("lang", "text", "row", "wanted").mapInArrow(_finder(longest, hash_bits), PHRASES)
+    shared = frequent.filter("shared").select("fp")
     if not shared.isEmpty():
         table = _bit_table(shared)
         phrases = stage(phrases.unionByName(
-            texts.mapInArrow(_reader(longest, mask, table), "lang string, fp long, phrase string").join(shared, ["lang", "fp"], "left_semi")
+            texts.mapInArrow(_reader(longest, hash_bits, table), "fp long, lang string, phrase string").join(shared, "fp", "left_semi")
             .groupBy("lang", "phrase").agg(F.count(F.lit(1)).alias("f")).filter(F.col("f") >= least)))
         table.destroy()
-    return (stage(phrases.select("lang", F.size(F.split("phrase", " ")).alias("words"), "phrase", "f")),
-            counted.filter(F.col("fp").isNull()).select("lang", "n"))
+    totals = texts.mapInArrow(_word_counts, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n"))
+    return stage(phrases.withColumn("words", F.size(F.split("phrase", " ")))), totals
 
 
 def collocations(docs: DataFrame, *, text: str = "text", lang: str = "lang", longest: int = 3, least: int = 10,
-                 share: int = 50, top: int = 2000, hash_bits: int = 64) -> DataFrame:
+                 share: int = 50, top: int = 2000, hash_bits: int = FP_BITS) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's best phrases of 2 to ``longest`` words.
 
     a, l and r count the phrase, its first part and the rest; the score is floor(10^6 a^2 / (l r)) at the
     cut where it is lowest. A phrase goes if a longer one that holds it has ``share`` percent of its count.
     """
     phrases, totals = frequent_phrases(docs, text=text, lang=lang, longest=longest, least=least, hash_bits=hash_bits)
-    found = phrases.filter("words > 1").withColumnRenamed("f", "a")
+    found = phrases.select("lang", "words", "phrase", "f").filter("words > 1").withColumnRenamed("f", "a")
     words = F.split("phrase", " ")
 
     def joined(first, size):

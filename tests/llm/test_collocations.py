@@ -61,6 +61,7 @@ def test_phrases_equal_plain_counting(spark, monkeypatch, rows, slice_bytes):
 
 def test_full_counters_are_shipped_early(spark, monkeypatch, rows):
     monkeypatch.setattr(c, "HELD", 40)
+    monkeypatch.setattr(c, "BLOCK_ROWS", 7)
     monkeypatch.setattr(c, "RANGE_BYTES", 100)
     assert mined(spark, rows, longest=4, least=4, share=80, top=25) == plain(rows, 4, 4, 80, 25)
 
