@@ -89,15 +89,20 @@ class Live:
     recent: list = field(default_factory=list)
 
 
-def decide(week: Mapping, live: Live, plan: Schedule) -> tuple[bool, bool, float] | None:
+def decide(week: Mapping, live: Live, plan: Schedule, paused: bool = False) -> tuple[bool, bool, float] | None:
     """(gated, flipped, ic) of one week, or None if it has too few predictions; ``live`` moves on.
 
+    A week that is paused for another reason is neither, and its IC counts as 0.
+
     ``week`` holds ``n_symbols``, the plain ``ic`` of its predictions, and mean and number of the newest ICs
     of features before it. A week is gated if the features' mean, or the mean live IC of the last
     ``gate_weeks`` weeks, is below the gate; its IC is then the features' mean. Otherwise it is flipped if
     the live mean is below the inversion threshold; the live IC is that of the predictions as traded, so it
     changes sign with them. A gated week among the last ones leaves the live mean undefined.
     """
+    if paused:
+        live.recent = [*live.recent, 0.0][-plan.gate_weeks:]
+        return False, False, 0.0
     mean = sum(live.recent) / len(live.recent) if len(live.recent) == plan.gate_weeks and None not in live.recent else None
     weak = week["n_features"] >= plan.gate_features and week["feature_ic"] < plan.gate_threshold
     if weak or (mean is not None and mean < plan.gate_threshold):
@@ -124,8 +129,12 @@ def week_inputs(preds: DataFrame, rets: DataFrame, history: DataFrame | None = N
         "week", "n_symbols", F.when(F.col("n_obs") >= need, F.coalesce("ic", F.lit(0.0))).otherwise(0.0).alias("ic"))
     if history is None:
         return table.withColumns({"feature_ic": F.lit(0.0), "n_features": F.lit(0).cast("long")})
+    names = [r["feature"] for r in history.select("feature").distinct().collect()]  # one row a feature
+    every = history.select("week").union(counts.select("week")).distinct() \
+        .select("week", F.explode(F.array(*[F.lit(n) for n in names]).cast("array<string>")).alias("feature"))
     before = Window.partitionBy("feature").orderBy("week").rowsBetween(Window.unboundedPreceding, -1)
-    newest = history.withColumn("_prev", F.last("ic", ignorenulls=True).over(before)).groupBy("week").agg(
+    newest = every.join(history.select("week", "feature", "ic"), ["week", "feature"], "left") \
+        .withColumn("_prev", F.last("ic", ignorenulls=True).over(before)).groupBy("week").agg(
         F.avg("_prev").alias("feature_ic"), F.count("_prev").alias("n_features"))
     return table.join(newest, "week", "left").na.fill(0.0, ["feature_ic"]).na.fill(0, ["n_features"])
 

@@ -8,9 +8,8 @@ what it would have given in one go: a block depends on data, the plan and the co
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Mapping, Sequence
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 from typing import Protocol
 
 from pyspark.ml import PipelineModel
@@ -165,6 +164,7 @@ def walk_forward_run(data: RunData, plan: RunPlan, learner: Learner, ledger: Led
     blocks = [weeks[i:i + s.retrain_every] for i in range(0, len(weeks), s.retrain_every)]
     every = data.feats.sparkSession.createDataFrame(
         [(w, i) for i, w in enumerate(weeks)], "week timestamp_ntz, _n int")
+    data = replace(data, feats=rows, **{c: stage(getattr(data, c)) for c in ("rets", "regimes", "rvol")})
     history = stage(data.history.join(every, "week").where(F.col("_n") % plan.ic_every == 0).drop("_n"))
     done, saved = ledger.last(run_id)
     state = State(**saved) if saved else State(list(plan.active))
@@ -201,40 +201,36 @@ def _block(data, plan, learner, ledger, attempt, rows, scored, history, weeks, s
 
     mine = scored.where(F.col("week").between(*[F.lit(w).cast("timestamp_ntz") for w in (weeks[0], weeks[-1])]))
     preds = stage(learner.score(state.model, mine, "pred").groupBy("symbol", "week").agg(F.avg("pred").alias("pred")))
-    live, found = Live(list(state.recent)), []
-    for row in week_inputs(preds, data.rets, history).orderBy("week").collect():  # one row a week
-        decided = decide(row.asDict(), live, s)
-        if decided is not None:
-            found.append((row["week"], *decided))
-    state.recent = live.recent
-    if not found:
-        return state
-    gate = attempt.write("decisions", preds.sparkSession.createDataFrame(found, "week timestamp_ntz, gated boolean, flipped boolean, ic double"))
-    traded = sign_flipped(preds.join(gate.where(~F.col("gated")).select("week", "flipped"), "week"), F.col("flipped")).drop("flipped")
-    picks = stage(portfolio.pick(traded, data.regimes, plan.rules))
+    facts = [r.asDict() for r in week_inputs(preds, data.rets, history).orderBy("week").collect()]  # one row a week
     book = _book(ledger, attempt, state)
-    # A pause takes weeks out of the book that later weeks hold, so the block is traded again after each trip.
+    start = F.lit(weeks[0]).cast("timestamp_ntz")
+    # A pause changes what later weeks decide and hold, so the block is gone through again after each trip.
     shut: set = set()
     while True:
-        open_picks = picks.where(~F.col("week").isin([F.lit(w) for w in shut])) if shut else picks
-        held = functools.reduce(DataFrame.unionByName, [open_picks] if book is None else [open_picks, book])
-        trades = portfolio.trades(held, data.rets, data.rvol, plan.rules.fee).where(F.col("week") >= F.lit(weeks[0]).cast("timestamp_ntz"))
-        trades = stage(trades)
+        live = Live(list(state.recent))
+        found = [(w["week"], *d) for w in facts if (d := decide(w, live, s, w["week"] in shut)) is not None]
+        gate = preds.sparkSession.createDataFrame(found, "week timestamp_ntz, gated boolean, flipped boolean, ic double")
+        stopped = F.col("week").isin([F.lit(w).cast("timestamp_ntz") for w in shut]) if shut else F.lit(False)
+        traded = sign_flipped(preds.join(gate.where(~F.col("gated") & ~stopped).select("week", "flipped"), "week"), F.col("flipped")).drop("flipped")
+        picks = stage(portfolio.pick(traded, data.regimes, plan.rules))
+        held = picks if book is None else picks.unionByName(book)
+        trades = stage(portfolio.trades(held, data.rets, data.rvol, plan.rules.fee).where(F.col("week") >= start))
         results = {r["week"]: r["week_ret"] for r in portfolio.week_results(trades).collect()}  # one row a week
         closed, end = _paused([w for w, *_ in found], results, plan, state)
         if closed <= shut:
             break
         shut |= closed
+    end.recent = live.recent
+    if not found:
+        return end
+    attempt.write("decisions", gate)
     attempt.write("trades", trades)
-    book = attempt.write("picks", open_picks)
-    if not book.isEmpty():
+    if not attempt.write("picks", picks).isEmpty():
         end.book_block = attempt.block
-    turnover = portfolio.turnover(held).where(F.col("week") >= F.lit(weeks[0]).cast("timestamp_ntz"))
-    weekly = marked_metrics(gate, traded, trades, turnover, data.regimes)
-    stopped = F.col("week").isin([F.lit(w) for w in shut]) if shut else F.lit(False)
+    weekly = marked_metrics(gate, traded, trades, portfolio.turnover(held).where(F.col("week") >= start), data.regimes)
     attempt.write("weekly", weekly.drop("cum_ret", "drawdown", "max_drawdown", "annualised").withColumns({
         "regime": F.when(stopped, F.lit(KILL_SWITCH)).otherwise(F.col("regime")),
-        **{c: F.when(stopped, F.lit(0).cast(dict(weekly.dtypes)[c])).otherwise(F.col(c)) for c in ("n_symbols", "ic", "turnover_pct")}}))
+        "turnover_pct": F.when(stopped, F.lit(0.0)).otherwise(F.col("turnover_pct"))}))
     return end
 
 
@@ -247,8 +243,12 @@ def _book(ledger: Ledger, attempt: Attempt, state: State) -> DataFrame | None:
 
 
 def _paused(weeks: Sequence, results: Mapping, plan: RunPlan, state: State) -> tuple[set, State]:
-    """Weeks of the block that fall into a pause up to its first new trip, and the state after the block."""
-    state, out, tripped = State(**asdict(state)), set(), False
+    """Weeks of the block that fall into a pause, by these results, and the state after the block.
+
+    Up to the end of the first pause that the results do not know of yet they are right; later trips show
+    in the next round.
+    """
+    state, out = State(**asdict(state)), set()
     for week in weeks:
         fall = state.cum / state.peak - 1 if state.peak > 0 else 0.0
         if not state.paused and fall < plan.kill:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import functions as F
@@ -14,9 +15,10 @@ from ..operators.regime import regime_by_week
 from ..operators.resample import week_grid
 from ..operators.targets import forward_returns
 from ..operators.universe import market_proxy
-from ..operators.walkrun import RunData
+from ..operators.walkrun import LineLearner, RunData, RunPlan, walk_forward_run, weekly_of
 from ..operators.weekly import snapshots, weekly_returns
-from ..session import stage
+from ..session import shared_folder, stage
+from ..sources.ledger import Ledger
 from ..sources.fixtures import DAILY_SPEC, daily_bars, hourly_bars, table
 from .research_queries import MIN_VOL_OBS, _REGIME
 from .sql import BARS_D, BARS_H, r, spearman_cte
@@ -111,6 +113,33 @@ def walk_forward_forced(spark, sf):
     return weekly.select("week", "n_symbols", "n_trades", "regime", *[r6(c).alias(c) for c in ("week_ret", "ic", "turnover_pct", "cum_ret")])
 
 
+RUN = RunPlan(active=("ret_1h", "rev_1d"), core=("rev_1d",), candidates=("rvol_1d", "vol_ratio"),
+              schedule=replace(WALK, invert=True), rules=RULES, max_turnover=1, ic_threshold=0.02, min_features=2)
+
+
+def _resumed(spark, sf):
+    """A run that is killed after its third block, in the middle of the fourth, and goes on."""
+    data, ledger = _walk_data(spark, sf), Ledger(spark, f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}")
+    done = walk_forward_run(data, RUN, LineLearner(), ledger, "run", stop_after=3)
+    torn = ledger.attempt("run", done)  # what a lost driver leaves: tables without a commit
+    torn.write("weekly", ledger.read("run", "weekly").drop("block"))
+    walk_forward_run(data, RUN, LineLearner(), ledger, "run")
+    return ledger
+
+
+def walk_forward_run_weekly(spark, sf):
+    """Weekly metrics of a resumed run: updates of the feature set, pre-filter, rival models, gate, kill switch."""
+    return weekly_of(_resumed(spark, sf), "run").select(
+        "week", "n_symbols", "n_trades", "regime", "block", *[r6(c).alias(c) for c in ("week_ret", "ic", "turnover_pct", "cum_ret", "drawdown")])
+
+
+def walk_forward_run_features(spark, sf):
+    """What each retrain of a resumed run did to the feature set, and what its pre-filter kept."""
+    ledger = _resumed(spark, sf)
+    kept = ledger.read("run", "training").select("block", "feature", r6("ic").alias("ic"), "selected")
+    return ledger.read("run", "features").select("block", "feature", "status").join(kept, ["block", "feature"], "left")
+
+
 def portfolio_picks(spark, sf):
     _, preds, _, regimes, _ = _inputs(spark, sf)
     return portfolio.pick(preds, regimes, RULES).select(
@@ -397,6 +426,8 @@ QUERIES = {
     "walk_forward_inverted": walk_forward_inverted,
     "walk_forward_gated_inverted": walk_forward_gated_inverted,
     "walk_forward_forced": walk_forward_forced,
+    "walk_forward_run_weekly": walk_forward_run_weekly,
+    "walk_forward_run_features": walk_forward_run_features,
     "pause_states": pause_states,
     "capped_weights": capped_weights,
     "mark_to_market": mark_to_market,
@@ -476,7 +507,9 @@ def _decided(gate: float, invert: float | None, force: bool = False) -> str:
  jf as (select snap.*, wret.ret from snap join wret using (symbol, week)),
  lf as ({melt_sql('jf', 'week, symbol, ret', FEATS)}),
  {spearman_cte('ffi', 'lf', 'value', 'ret', 'week, feature', 10)},
- fl as (select week, feature, lag(ic) over (partition by feature order by week) as prev from ffi),
+ fl as (select week, feature, last_value(ic ignore nulls) over (partition by feature order by week rows between unbounded preceding
+   and 1 preceding) as prev from (select week from ffi union select week from preds) cross join (select distinct feature from ffi)
+   left join (select week, feature, ic from ffi) using (week, feature)),
  fw as (select week, count(prev) as n_features, coalesce(avg(prev), 0) as feature_ic from fl group by 1),
  g1 as materialized (select week, case when n_obs >= greatest(5, least(10, n // 2)) then ic else 0 end as ic, coalesce(n_features, 0) as n_features,
    coalesce(feature_ic, 0) as feature_ic, row_number() over (order by week) as i
@@ -505,6 +538,94 @@ _WALKED = _walked(_FITTED, _decided(-0.05, None))
 _INVERTED = _walked(_FITTED, _decided(-1.0, 0.0))
 _GATED_INVERTED = _walked(_FITTED, _decided(-0.05, 0.0))
 _FORCED = _walked(_FITTED, _decided(0.0, None, True))
+_LIVE_4 = "len(live) = 4 and len(list_filter(live, lambda x: x is null)) = 0"
+_LIVE_MEAN = "(live[1] + live[2] + live[3] + live[4]) / 4"
+# A whole run in one statement: sets of features and gates are recursions over blocks and weeks.
+_RUN = f"""{_PANEL[:_PANEL.index("preds as (")].replace('with ', 'with recursive ', 1)} {_REG},
+ fine as (select * from lastk where ret_1h is not null and rev_1d is not null and rvol_1d is not null and vol_ratio is not null),
+ wks as (select week, row_number() over (order by week) - 1 as i from (select distinct week from fine)),
+ blk as (select i // 26 as b, min(week) as rw from wks group by 1),
+ jf as (select snap.*, wret.ret from snap join wret using (symbol, week)),
+ lf as ({melt_sql('jf', 'week, symbol, ret', FEATS)}),
+ {spearman_cte('ffi', 'lf', 'value', 'ret', 'week, feature', 10)},
+ hs as (select week, feature, ic from ffi join wks using (week) where i % 2 = 0),
+ pool as (select unnest(['rev_1d', 'ret_1h', 'rvol_1d', 'vol_ratio']) as feature, unnest([0, 1, 2, 3]) as place),
+ st as materialized (select b, feature, place, count(ic) as seen, count(*) filter (where ic < 0) as neg, count(*) filter (where ic > 0) as pos,
+   coalesce(avg(ic), 0) as m from (select b, feature, place, ic, row_number() over (partition by b, feature order by week desc nulls last) as rn
+     from (select b, rw, feature, place from blk, pool) left join (select hs.* from hs join reg using (week)) h using (feature)
+     where b > 0 and (h.week is null or h.week < rw)) where rn <= 4 group by all),
+ act(b, active, said) as (select 0::bigint, ['rev_1d', 'ret_1h'], []::struct(feature varchar, status varchar)[]
+   union all select b, list(feature) filter (where status in ('CORE', 'ADDED', 'KEPT')), list(struct_pack(feature := feature, status := status)) from (
+     select b, feature, case when feature = 'rev_1d' then 'CORE' when ad and row_number() over (partition by b order by ad desc, m desc, place)
+        <= 1 - least(1, sum(case when rm then 1 else 0 end) over (partition by b)) then 'ADDED'
+       when rm and row_number() over (partition by b order by rm desc, place) <= 1 then 'REMOVED' when isin then 'KEPT' else 'OUT' end as status
+     from (select *, feature in ('rvol_1d', 'vol_ratio') and (not isin or rm) and seen >= 2 and pos >= 2 as ad
+       from (select st.*, list_contains(active, feature) as isin, list_contains(active, feature) and feature <> 'rev_1d' and seen >= 3 and neg >= 3 as rm
+         from act join st on st.b = act.b + 1 where feature <> 'ret_1h' or list_contains(active, feature)))) group by b),
+ tg as (select *, ln(lead(close, 5) over (partition by symbol order by ts) / close) as y from feat_d),
+ tr0 as (select b, symbol, ts, ret_1h, rev_1d, rvol_1d, vol_ratio, y from blk join tg on ts >= rw - interval 728 day and ts < rw - interval 10 day
+   where y is not null and ret_1h is not null and rev_1d is not null and rvol_1d is not null and vol_ratio is not null),
+ tr as materialized (select *, ts > max(ts) over (partition by b) - interval 182 day as late from tr0 qualify count(*) over (partition by b) >= 100),
+ lt as materialized ({melt_sql('tr', 'b, symbol, ts, y, late', FEATS)}),
+ {spearman_cte('pic', 'lt', 'value', 'y', 'b, feature', 50)},
+ sel as materialized (select b, feature, ic, case when count(*) filter (where abs(ic) >= 0.02) over (partition by b) < 2
+    then row_number() over (partition by b order by abs(ic) desc, feature) <= 2 else abs(ic) >= 0.02 end as kept
+   from pic join act using (b) where list_contains(active, feature)),
+ ch as materialized (select *, row_number() over (partition by b order by abs(ic) desc, feature) = 1 as top, count(*) over (partition by b) as n from sel where kept),
+ ln as materialized (select b, feature, top, n, regr_intercept(y, value) as a, regr_slope(y, value) as s,
+   regr_intercept(y, value) filter (where not late) as ea, regr_slope(y, value) filter (where not late) as es
+   from lt join ch using (b, feature) group by all),
+ cv as (select b, symbol, ts, y, sum(case when top then ea + es * value end) as p1, avg(ea + es * value) as p2
+   from lt join ln using (b, feature) where late group by all),
+ {spearman_cte('ca', 'cv', 'p1', 'y', 'b', 10)},
+ {spearman_cte('cb', 'cv', 'p2', 'y', 'b', 10)},
+ won as (select b, cb.ic > ca.ic + 0.005 as everyone, case when cb.ic > ca.ic + 0.005 then cb.ic else ca.ic end as ic from ca join cb using (b)),
+ wl as (select b, feature, case when everyone then a / n else a end as a, case when everyone then s / n else s end as s
+   from ln join won using (b) where won.ic > 0 and (everyone or top)),
+ mb as (select blk.b, max(wl.b) as mb from blk join wl on wl.b <= blk.b group by 1),
+ fx as ({melt_sql('fine', 'symbol, week, ts', FEATS)}),
+ preds as materialized (select symbol, week, avg(p) as pred from (select symbol, week, ts, sum(a + s * value) as p from fx join wks using (week)
+   join mb on mb.b = wks.i // 26 join wl on wl.b = mb.mb and wl.feature = fx.feature group by 1, 2, 3) group by 1, 2),
+ jg as (select week, symbol, pred, ret from preds join wret using (symbol, week)),
+ {spearman_cte('gic', 'jg', 'pred', 'ret', 'week', 2)},
+ fl as (select week, feature, last_value(ic ignore nulls) over (partition by feature order by week rows between unbounded preceding
+   and 1 preceding) as prev from (select week from hs union select week from preds) cross join (select distinct feature from hs)
+   left join (select week, feature, ic from hs) using (week, feature)),
+ fw as (select week, count(prev) as n_features, coalesce(avg(prev), 0) as feature_ic from fl group by 1),
+ el as (select p.*, coalesce(regime, 'LOW_VOL_GRIND') as regime, least(3, count(*) over (partition by flip, week) // 2) as n,
+   count(*) over (partition by flip, week) as total from (select symbol, week, case when flip then -pred else pred end as pred, flip
+     from preds, (select unnest([false, true]) as flip)) p left join reg using (week)),
+ e2 as (select *, regime in ('BULL_TREND', 'LOW_VOL_GRIND') and pred > 0 as cl,
+   regime in ('BEAR_TREND', 'HIGH_VOL_LATERAL', 'LOW_VOL_GRIND') as cs,
+   case when regime in ('BULL_TREND', 'HIGH_VOL_LATERAL') then 0.5::double else 1.0::double end as base_scale from el where total >= 5),
+ e3 as (select *, row_number() over (partition by flip, week, cl order by pred desc, symbol) as rb,
+   row_number() over (partition by flip, week order by pred, symbol desc) as rw from e2),
+ pk as (select flip, week, symbol, base_scale, 'BUY' as side from e3 where cl and rb <= n
+   union all select flip, week, symbol, base_scale, 'SELL' from e3 where cs and rw <= n),
+ it as (select flip, week, list(struct_pack(name := concat(symbol, side), r := case when side = 'BUY' then coalesce(ret, 0) else -coalesce(ret, 0) end,
+    scale := case when side = 'BUY' then least(case when rvol_1d is not null then base_scale / greatest(rvol_1d, 0.01) else base_scale end, 1.0)
+      else base_scale end)) as items
+   from pk left join wret using (week, symbol) left join snap using (week, symbol) group by 1, 2),
+ g1 as materialized (select week, n, case when n_obs >= greatest(5, least(10, n // 2)) then gic.ic else 0 end as ic, coalesce(n_features, 0) as n_features,
+   coalesce(feature_ic, 0) as feature_ic, row_number() over (order by week) as i, coalesce(regime, 'LOW_VOL_GRIND') as regime, x.items as plain, y.items as turned
+   from (select week, count(*) as n from preds group by 1) left join gic using (week) left join fw using (week) left join reg using (week)
+   left join (select * from it where not flip) x using (week) left join (select * from it where flip) y using (week) where n >= 5),
+ k(i, week, n_symbols, n_trades, regime, week_ret, ic, turnover, live, book, cum, peak, lft) as (
+   select 0::bigint, null::timestamp, 0::bigint, 0::bigint, '', 0.0::double, 0.0::double, 0.0::double, []::double[], []::varchar[], 1.0::double, 0.0::double, 0
+   union all
+   select i, week, case when shut then 0 else n end, coalesce(len(items), 0), case when l0 > 0 then 'KILL_SWITCH' when gated then 'IC_GATED' else regime end,
+     ret, live_ic, case when shut then 0 when items is null then 100 else list_avg(list_transform(items, lambda x: case when list_contains(book, x.name) then 0.0 else 100.0 end)) end,
+     list_append(live, case when gated then null else round(live_ic, 5) end)[-4:],
+     case when items is null then book else list_transform(items, lambda x: x.name) end,
+     cum * (1 + ret), case when l0 = 1 then cum else greatest(peak, cum * (1 + ret)) end, greatest(l0 - 1, 0)
+   from (select *, coalesce(list_avg(list_transform(items, lambda x: greatest((x.r - case when list_contains(book, x.name) then 0 else 0.002 end) * x.scale, -1))), 0) as ret
+     from (select *, l0 > 0 or gated as shut, case when l0 > 0 then 0 when gated then feature_ic when flipped then -ic else ic end as live_ic,
+         case when l0 > 0 or gated then null when flipped then turned else plain end as items
+       from (select *, l0 = 0 and not gated and {_LIVE_4} and {_LIVE_MEAN} < 0 as flipped
+         from (select *, l0 = 0 and ((n_features >= 4 and feature_ic < -0.05) or ({_LIVE_4} and {_LIVE_MEAN} < -0.05)) as gated
+           from (select g1.*, k.live, k.book, k.cum, k.peak, case when k.lft = 0 and k.peak > 0 and k.cum / k.peak - 1 < -0.2 then 4 else k.lft end as l0
+             from k join g1 on g1.i = k.i + 1)))))),
+ wm as (select *, cum - 1 as cum_ret, cum / max(cum) over (order by i rows unbounded preceding) - 1 as drawdown from k where i > 0)"""
 _HIST = f"""with {FEAT_D}, {WEEKLY_RET}, {LASTK}, {_REG},
  j as (select snap.*, wret.ret from snap join wret using (symbol, week)),
  l as ({melt_sql('j', 'week, symbol, ret', FEATS)}),
@@ -558,6 +679,10 @@ ORACLES = {
     "walk_forward_inverted": f"""{_INVERTED} select week, n_trades, regime, {_cols('week_ret', 'ic', 'cum_ret')} from wm""",
     "walk_forward_gated_inverted": f"""{_GATED_INVERTED} select week, n_symbols, n_trades, regime, {_cols('week_ret', 'ic', 'turnover_pct', 'cum_ret')} from wm""",
     "walk_forward_forced": f"""{_FORCED} select week, n_symbols, n_trades, regime, {_cols('week_ret', 'ic', 'turnover_pct', 'cum_ret')} from wm""",
+    "walk_forward_run_weekly": f"""{_RUN} select week, n_symbols, n_trades, wm.regime, cast(wks.i // 26 as integer) as block, {_cols('week_ret', 'ic')},
+      {r('turnover', 'turnover_pct')}, {_cols('cum_ret', 'drawdown')} from wm join wks using (week)""",
+    "walk_forward_run_features": f"""{_RUN} select cast(b as integer) as block, feature, status, {r('ic', 'ic')}, kept as selected
+      from (select b, said.feature, said.status from (select b, unnest(said) as said from act)) left join sel using (b, feature)""",
     "performance_report": f"""{_WEEKLY} select count(*) as n_weeks, {r('product(1 + week_ret) - 1', 'total_return')},
       {r(f'avg(week_ret) / stddev_pop(week_ret) * {_SQUARE_ROOT_52}', 'sharpe')}, {r('min(drawdown)', 'max_drawdown')},
       {r('avg(ic)', 'ic_mean')}, {r('avg(ic) / (stddev_samp(ic) + 1e-8)', 'icir')},
