@@ -28,7 +28,7 @@ from ..session import stage
 from .words import text_bytes, text_parts
 
 SLICE = 1 << 20           # bytes hashed at once
-HELD = 1 << 19            # counters a task gathers before it adds them up, or ships them
+HELD = 1 << 18            # counters a task gathers before it adds them up; it ships 11 times as many
 FP_BITS, CHECK_BITS = 56, 24
 RANGE_BYTES = 4 << 20     # text for each range of fingerprints
 BLOCK_ROWS = 1 << 16      # rows that a packed pointer tells apart
@@ -147,10 +147,15 @@ def _parts_of(batch: pa.RecordBatch):
 
 def _added_up(fp: np.ndarray, check: np.ndarray, n: np.ndarray, row: np.ndarray) -> list[np.ndarray]:
     """Counters in order of fingerprint and check, equal ones made one with their smallest row."""
-    order = np.lexsort((row, check, fp))
+    order = np.argsort(fp)
+    whole = fp, check
     fp, check = fp[order], check[order]
-    at = np.flatnonzero(np.concatenate(([True], (fp[1:] != fp[:-1]) | (check[1:] != check[:-1]))))
-    return [fp[at], check[at], np.add.reduceat(n[order], at), row[order][at]]
+    at = np.flatnonzero(np.concatenate(([True], fp[1:] != fp[:-1])))
+    if (np.minimum.reduceat(check, at) != np.maximum.reduceat(check, at)).any():  # hardly ever
+        order = np.lexsort(whole[::-1])
+        fp, check = whole[0][order], whole[1][order]
+        at = np.flatnonzero(np.concatenate(([True], (fp[1:] != fp[:-1]) | (check[1:] != check[:-1]))))
+    return [fp[at], check[at], np.add.reduceat(n[order], at), np.minimum.reduceat(row[order], at)]
 
 
 def _bytes(numbers: np.ndarray) -> bytes:
@@ -179,13 +184,15 @@ def unpack(packed: bytes) -> list[np.ndarray]:
 def _counter(longest: int, bits: int, ranges: int):
     """Task function: n-grams of whole texts to packed counters, one block for each range of fingerprints."""
     def count(batches):
-        held, new, size, base = None, [], 0, 0
+        new, runs, base = [], [], 0  # counters as they come; sorted runs of distinct ones
 
-        def merged():
-            parts = ([held] if held else []) + new
-            return _added_up(*(np.concatenate(x) for x in zip(*parts))) if parts else None
+        def added(parts):
+            return [_added_up(*(np.concatenate(x) for x in zip(*parts)))] if parts else []
 
-        def shipped():
+        def size(parts):
+            return sum(len(x[0]) for x in parts)
+
+        def shipped(held):
             part = held[0] >> (bits - ranges)
             edge = (np.flatnonzero(np.diff(part)) + 1).tolist()
             for a, b in zip([0, *edge], [*edge, len(part)]):
@@ -201,21 +208,19 @@ def _counter(longest: int, bits: int, ranges: int):
                 edge = (np.flatnonzero(np.diff(place)) + 1).tolist()
                 for a, b in zip([0, *edge], [*edge, len(texts)]):
                     if place[a] != base:
-                        held, new, size = merged(), [], 0
-                        if held:
-                            yield from shipped()
-                        held, base = None, int(place[a])
+                        for held in added(runs + added(new)):
+                            yield from shipped(held)
+                        new, runs, base = [], [], int(place[a])
                     for _, owner, _, _, fp, check in _grams(texts[a:b], np.array([_salt(x) for x in langs[a:b]], np.uint64), longest, bits):
-                        new.append([fp, check, np.ones(len(fp), np.int64), rows[a:b][owner] - base])
-                        size += len(fp)
-                        if size >= HELD:
-                            held, new, size = merged(), [], 0
-                            if len(held[0]) >= 5 * HELD:
-                                yield from shipped()
-                                held = None
-        held = merged()
-        if held:
-            yield from shipped()
+                        new.append((fp, check.astype(np.int32), np.ones(len(fp), np.int32), (rows[a:b][owner] - base).astype(np.uint16)))
+                        if size(new) >= HELD:
+                            runs, new = runs + added(new), []
+                            if size(runs) >= 16 * HELD:
+                                runs = added(runs)
+                                if size(runs) >= 11 * HELD:
+                                    yield from shipped(runs.pop())
+        for held in added(runs + added(new)):
+            yield from shipped(held)
     return count
 
 
