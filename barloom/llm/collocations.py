@@ -28,7 +28,7 @@ from ..session import stage
 from .words import text_bytes, text_parts
 
 SLICE = 1 << 20           # bytes hashed at once
-HELD = 1 << 18            # counters a task gathers before it adds them up; it ships 11 times as many
+HELD = 1 << 17            # counters a task gathers before it adds them up; it ships 11 times as many
 FP_BITS, CHECK_BITS = 56, 24
 RANGE_BYTES = 4 << 20     # text for each range of fingerprints
 BLOCK_ROWS = 1 << 16      # rows that a packed pointer tells apart
