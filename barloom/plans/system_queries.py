@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from ..functions.scalars import r6
 from ..operators import models, reports, targets
 from ..operators.features import FAMILIES
+from ..operators.moments import ElasticPath
+from ..operators.targets import forward_returns
 from ..operators.weekly import last_rows
 from ..session import shared_folder, stage
 from ..spec import ENGINE_HORIZONS, target_plan
@@ -17,7 +19,7 @@ from ..sources import runs as store
 from ..sources.fixtures import HOURLY_SPEC, daily_bars, hourly_bars, table
 from ..streaming import live
 from .sql import BARS_D, BARS_H, W, lag, r
-from .weekly_queries import FEATS, MATRIX_H, _complete_matrix, daily_features
+from .weekly_queries import FEAT_D, FEATS, MATRIX_H, _complete_matrix, daily_features
 
 
 def _scratch(spark, name):
@@ -270,10 +272,35 @@ def model_trees(spark, sf):
 
 def model_elastic_net(spark, sf):
     names, rows = _complete_matrix(spark, sf)
-    model, best = models.train_elastic_net(rows, names, "future_ret_1h", (0.5,), (0.01, 0.001), 2, 24)
+    model, best = models.train_elastic_net(rows, names, "future_ret_1h")
     return models.importances(model, names)
 
 
+def model_elastic_path(spark, sf):
+    """Errors on the held-out parts of the default 5 x 20 penalties over 5 folds, and which point is chosen."""
+    names, rows = _complete_matrix(spark, sf)
+    ordered = models.ordered_rows(rows)
+    path = ElasticPath(ordered, names, "future_ret_1h", models.fold_bounds(ordered.count(), 5, 48),
+                       (0.5, 0.7, 0.9, 0.95, 0.99), models.alpha_grid(0.1))
+    return spark.createDataFrame([(s, a, e, (s, a) == path.best()) for (s, a), e in path.errors.items()],
+                                 "l1_share double, alpha double, mse double, chosen boolean")
+
+
+def model_moment_fits(spark, sf):
+    """Unpenalised lines of two features on each fold, and their errors on its held-out rows, from moments."""
+    bars, feats = daily_features(spark, sf)
+    rows = forward_returns(feats, {"y": 5}).na.drop(how="any", subset=["rev_1d", "rvol_1d", "y"])
+    ordered = models.ordered_rows(rows.select("symbol", "ts", "rev_1d", "rvol_1d", "y"))
+    path = ElasticPath(ordered, ["rev_1d", "rvol_1d"], "y", models.fold_bounds(ordered.count(), 5, 48), (0.5,), (0.0,))
+    out = []
+    for f in range(5):
+        b, a = path.fits[0.5, 0.0, f]
+        out.append((f, float(a - b @ path.shift[:-1]), *b.tolist()))
+    lines = spark.createDataFrame(out, "fold int, a double, b1 double, b2 double")
+    mse = path.held_out(ordered, (0.5, 0.0)).groupBy("fold").agg(F.count(F.lit(1)).alias("n_held"), F.avg(F.pow(F.col("y") - F.col("pred"), F.lit(2))).alias("mse"))
+    return lines.join(mse, "fold").select("fold", "n_held", *[r6(c).alias(c) for c in ("a", "b1", "b2", "mse")])
+
+
 def model_confidence(spark, sf):
     names, rows = _complete_matrix(spark, sf)
     base = models.fit_trees(rows, names, "future_ret_1h", _SMALL)
@@ -289,7 +316,6 @@ def model_permutation_importance(spark, sf):
 
 
 def model_weekly_scores(spark, sf):
-    from ..operators.targets import forward_returns
     bars, feats = daily_features(spark, sf)
     feats = stage(forward_returns(feats, {"future_ret": 5}))
     train = feats.na.drop(how="any", subset=[*FEATS, "future_ret"])
@@ -408,6 +434,8 @@ QUERIES = {
     "model_folds": model_folds,
     "model_trees": model_trees,
     "model_elastic_net": model_elastic_net,
+    "model_elastic_path": model_elastic_path,
+    "model_moment_fits": model_moment_fits,
     "model_confidence": model_confidence,
     "model_permutation_importance": model_permutation_importance,
     "model_weekly_scores": model_weekly_scores,
@@ -479,6 +507,16 @@ ORACLES = {
         union all select fold::int, 'val', fold * z + 24, fold * z + 24 + z, n, fold * z + 24 + z from f, s)
       select fold, part, count(*) as n, min(ts) as first, max(ts) as last from b join o on o.i >= b.lo and o.i < b.hi
       where last_needed <= b.n group by 1, 2""",
+    "model_moment_fits": f"""with {FEAT_D}, t as (select *, ln(lead(close, 5) over (partition by symbol order by ts) / close) as y from feat_d),
+      o as materialized (select symbol, ts, rev_1d as x1, rvol_1d as x2, y, row_number() over (order by ts, symbol) - 1 as i from t
+        where rev_1d is not null and rvol_1d is not null and y is not null),
+      z as (select (count(*) - 480) // 6 as z from o),
+      f as (select fold, (fold + 1) * z as hi, (fold + 1) * z + 48 as lo, (fold + 2) * z + 48 as last from z, (select unnest(range(5))::int as fold)),
+      m as (select fold, avg(x1) as m1, avg(x2) as m2, avg(y) as my, var_pop(x1) as s11, var_pop(x2) as s22, covar_pop(x1, x2) as s12,
+        covar_pop(x1, y) as s1, covar_pop(x2, y) as s2 from f join o on o.i < f.hi group by 1),
+      b as (select *, (s1 * s22 - s2 * s12) / (s11 * s22 - s12 * s12) as b1, (s2 * s11 - s1 * s12) / (s11 * s22 - s12 * s12) as b2 from m)
+      select fold, count(*) as n_held, {r('any_value(my - b1 * m1 - b2 * m2)', 'a')}, {r('any_value(b1)', 'b1')}, {r('any_value(b2)', 'b2')},
+        {r('avg(pow(y - (my + b1 * (x1 - m1) + b2 * (x2 - m2)), 2))', 'mse')} from f join b using (fold) join o on o.i >= f.lo and o.i < f.last group by 1""",
     "source_symbol_files": f"with {BARS_H} select * from bars_h",
     "source_merged_files": f"with {BARS_H} select ts, count(*) as n, {r('sum(close)', 'close')} from bars_h group by 1",
     "targets_engine": f"with {BARS_D} select symbol, ts, " + ", ".join(
