@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 from ..session import stage
 from .words import text_bytes, text_parts
 
-SLICE = 1 << 20           # bytes hashed at once
-HELD = 1 << 17            # counters a task gathers before it adds them up; it ships 11 times as many
+SLICE = 1 << 18           # bytes hashed at once
+HELD = 1 << 16            # counters a task gathers before it adds them up; it ships 11 times as many
 FP_BITS, CHECK_BITS = 56, 24
-RANGE_BYTES = 4 << 20     # text for each range of fingerprints
+RANGE_BYTES = 2 << 20     # text for each range of fingerprints
 BLOCK_ROWS = 1 << 16      # rows that a packed pointer tells apart
 TABLE_BITS = (20, 27)     # log2 of the least and most bits of the table of shared fingerprints
 BROADCAST_ROWS = 1_000_000

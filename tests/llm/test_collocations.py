@@ -51,7 +51,7 @@ def rows():
     return texts + [(None, "en"), ("", None), ("new york " * 4000, "en"), (" .. ;", "de")] + [("copied text of some words", "en")] * 300
 
 
-@pytest.mark.parametrize("slice_bytes", [1 << 20, 64])
+@pytest.mark.parametrize("slice_bytes", [1 << 18, 64])
 def test_phrases_equal_plain_counting(spark, monkeypatch, rows, slice_bytes):
     monkeypatch.setattr(c, "SLICE", slice_bytes)
     for name in ("_POWERS", "_INVERSES"):
