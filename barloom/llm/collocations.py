@@ -1,7 +1,7 @@
 """Phrase collocations by Rabin-Karp fingerprints.
 
 A task hashes the words of its texts from prefix polynomials over bytes, and every n-gram from prefix
-polynomials over its words: a fingerprint of 56 bits and an independent check of 24. It adds up equal ones and ships
+polynomials over its words: a fingerprint of 50 bits and an independent check of 24. It adds up equal ones and ships
 (fingerprint, count, check, pointer to the row of one occurrence), sorted and packed by ranges of
 fingerprints: about ten bytes each. One task adds up a range over all tasks; only what was seen often enough
 becomes a row.
@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import stage
+from ..session import discard, stage
 from .words import text_bytes, text_parts
 
 SLICE = 1 << 18           # bytes hashed at once
 HELD = 1 << 16            # counters a task gathers before it adds them up; it ships 11 times as many
-FP_BITS, CHECK_BITS = 56, 24
+FP_BITS, CHECK_BITS = 50, 24
 RANGE_BYTES = 2 << 20     # text for each range of fingerprints
 BLOCK_ROWS = 1 << 16      # rows that a packed pointer tells apart
 TABLE_BITS = (20, 27)     # log2 of the least and most bits of the table of shared fingerprints
@@ -355,8 +355,10 @@ def frequent_phrases(docs: DataFrame, *, text: str = "text", lang: str = "lang",
             texts.mapInArrow(_reader(longest, hash_bits, table), "fp long, lang string, phrase string").join(shared, "fp", "left_semi")
             .groupBy("lang", "phrase").agg(F.count(F.lit(1)).alias("f")).filter(F.col("f") >= least)))
         table.destroy()
-    totals = texts.mapInArrow(_word_counts, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n"))
-    return stage(phrases.withColumn("words", F.size(F.split("phrase", " ")))), totals
+    totals = stage(texts.mapInArrow(_word_counts, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n")))
+    phrases = stage(phrases.withColumn("words", F.size(F.split("phrase", " "))))
+    discard(texts)
+    return phrases, totals
 
 
 def collocations(docs: DataFrame, *, text: str = "text", lang: str = "lang", longest: int = 3, least: int = 10,

@@ -38,6 +38,7 @@ DEPTH = 6           # minima that an order sorts by
 BACK = 3            # neighbours looked at in the first round
 NEED = 80           # percent of the union that the intersection must reach
 LEAST = 0.55        # estimated similarity below which a candidate is dropped
+CROWD, DEEPEST = 8, 5  # members of a bucket of rare shingles that are paired there; shingles that name a bucket
 BROADCAST_ROWS = 1_000_000
 
 _RANDOM = np.random.default_rng(20_240_229)
@@ -273,11 +274,14 @@ def crowded(classes: DataFrame) -> DataFrame:
 
 
 def sharing_rare(sets: DataFrame) -> DataFrame:
-    """(a, b): all pairs of different ``part`` that can reach the similarity, by prefix filter.
+    """(a, b): pairs of different ``part`` that can reach the similarity, by prefixes of adaptive depth.
 
     All shingles have one order: first those that occur in one part only, then by rising number of
-    sets. Of n shingles at least k are in the intersection, so one of the first n - k + 1 is; k follows
-    from the least size of the other set, which for the smaller set of a pair is its own size.
+    sets. Two sets with at least k shingles in common, of n in the one, have their d-th common shingle among its
+    first n - k + d; k follows from the least size of the other set, which for the smaller set of a pair is
+    its own size. So sets meet in the bucket of their first common shingle. A bucket that holds more than
+    ``CROWD`` of the smaller kind is not paired: its members go on to the buckets of their first two common
+    shingles, then three, ... down to ``DEEPEST``, where what one passage brought together has parted.
     """
     rows = sets.select("key", "part", F.size("hashes").alias("n"), F.explode("hashes").alias("hash"))
     live = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("many"), F.min("part").alias("lo"), F.max("part").alias("hi")) \
@@ -285,16 +289,32 @@ def sharing_rare(sets: DataFrame) -> DataFrame:
     own = rows.join(live, "hash").groupBy("key", "part", "n") \
         .agg(F.array_sort(F.collect_list(F.struct("many", "hash"))).alias("live"))
     lone = F.col("n") - F.size("live")
-    larger = F.col("n") - F.ceil(F.col("n") * NEED / 100) + 1 - lone
-    smaller = F.col("n") - F.ceil(F.col("n") * 2 * NEED / (100 + NEED)) + 1 - lone
-    first = stage(own.withColumn("smaller", smaller).withColumn("larger", larger).filter("larger > 0")
-                  .select("key", "part", "n", "smaller", F.posexplode(F.slice("live", F.lit(1), F.col("larger").cast("int"))).alias("at", "s"))
-                  .select("key", "part", "n", "s.hash", (F.col("at") < F.col("smaller")).alias("short")))
-    x = first.filter("short").select("hash", F.col("key").alias("a"), F.col("part").alias("pa"), F.col("n").alias("na"))
-    y = first.select("hash", F.col("key").alias("b"), F.col("part").alias("pb"), F.col("n").alias("nb"))
-    ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    near = F.col("na") * 100 >= F.col("nb") * NEED
-    return x.join(y, (x["hash"] == y["hash"]) & (F.col("pa") != F.col("pb")) & ordered & near).select("a", "b").distinct()
+    own = stage(own.select("key", "part", "n", F.transform("live", lambda x: x["hash"]).alias("live"),
+                           (F.col("n") - F.ceil(F.col("n") * NEED / 100) - lone).cast("int").alias("larger"),
+                           (F.col("n") - F.ceil(F.col("n") * 2 * NEED / (100 + NEED)) - lone).cast("int").alias("smaller")))
+    members = own.withColumns({"bucket": F.lit(0).cast("long"), "at": F.lit(-1), "short": F.lit(True)})
+    found = None
+    for depth in range(1, DEEPEST + 1):
+        end = F.least(F.size("live"), F.col("larger") + depth)
+        deeper = members.filter(F.col("at") + 1 < end) \
+            .select("key", "part", "n", "bucket", "smaller", "short", "live", F.explode(F.sequence(F.col("at") + 1, end - 1)).alias("at"))
+        rows = stage(deeper.select("key", "part", "n", "at", F.xxhash64("bucket", F.get("live", F.col("at"))).alias("bucket"),
+                                   (F.col("short") & (F.col("at") < F.col("smaller") + depth)).alias("short")))
+        buckets = rows.groupBy("bucket").agg(F.count_if("short").alias("many"), F.min("part").alias("lo"), F.max("part").alias("hi")) \
+            .filter((F.col("lo") != F.col("hi")) & (F.col("many") > 0)).select("bucket", "many")
+        buckets = stage(buckets)
+        here = buckets if depth == DEEPEST else buckets.filter(F.col("many") <= CROWD)
+        y = rows.join(here.select("bucket"), "bucket")
+        x = y.filter("short").select("bucket", F.col("key").alias("a"), F.col("part").alias("pa"), F.col("n").alias("na"))
+        y = y.select("bucket", F.col("key").alias("b"), F.col("part").alias("pb"), F.col("n").alias("nb"))
+        ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+        pairs = stage(x.join(y, (x["bucket"] == y["bucket"]) & (F.col("pa") != F.col("pb")) & ordered & (F.col("na") * 100 >= F.col("nb") * NEED))
+                      .select("a", "b").distinct())
+        found = pairs if found is None else found.unionByName(pairs)
+        crowds = buckets.filter(F.col("many") > CROWD).select("bucket")
+        if depth == DEEPEST or crowds.isEmpty():
+            return found.distinct()
+        members = rows.join(crowds, "bucket").join(own.select("key", "live", "larger", "smaller"), "key")
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
