@@ -38,7 +38,7 @@ DEPTH = 6           # minima that an order sorts by
 BACK = 3            # neighbours looked at in the first round
 NEED = 80           # percent of the union that the intersection must reach
 LEAST = 0.55        # estimated similarity below which a candidate is dropped
-CROWD, DEEPEST = 8, 5  # members of a bucket of rare shingles that are paired there; shingles that name a bucket
+CROWD, DEEPEST = 8, 5  # members of a bucket of rare shingles that are always paired there; shingles that name a bucket
 BROADCAST_ROWS = 1_000_000
 
 _RANDOM = np.random.default_rng(20_240_229)
@@ -279,9 +279,10 @@ def sharing_rare(sets: DataFrame) -> DataFrame:
     All shingles have one order: first those that occur in one part only, then by rising number of
     sets. Two sets with at least k shingles in common, of n in the one, have their d-th common shingle among its
     first n - k + d; k follows from the least size of the other set, which for the smaller set of a pair is
-    its own size. So sets meet in the bucket of their first common shingle. A bucket that holds more than
-    ``CROWD`` of the smaller kind is not paired: its members go on to the buckets of their first two common
-    shingles, then three, ... down to ``DEEPEST``, where what one passage brought together has parted.
+    its own size. So sets meet in the bucket of their first common shingle. A crowded bucket that would give
+    more pairs than its members have shingles left in their prefixes is not paired: its members go on to the buckets
+    of their first two common shingles, then three, ... down to ``DEEPEST``, where what one passage brought
+    together has parted. So a bucket never costs more than its members times their prefixes.
     """
     rows = sets.select("key", "part", F.size("hashes").alias("n"), F.explode("hashes").alias("hash"))
     live = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("many"), F.min("part").alias("lo"), F.max("part").alias("hi")) \
@@ -296,14 +297,16 @@ def sharing_rare(sets: DataFrame) -> DataFrame:
     found = None
     for depth in range(1, DEEPEST + 1):
         end = F.least(F.size("live"), F.col("larger") + depth)
-        deeper = members.filter(F.col("at") + 1 < end) \
-            .select("key", "part", "n", "bucket", "smaller", "short", "live", F.explode(F.sequence(F.col("at") + 1, end - 1)).alias("at"))
-        rows = stage(deeper.select("key", "part", "n", "at", F.xxhash64("bucket", F.get("live", F.col("at"))).alias("bucket"),
+        deeper = members.filter(F.col("at") + 1 < end).withColumn("end", end) \
+            .select("end", "key", "part", "n", "bucket", "smaller", "short", "live", F.explode(F.sequence(F.col("at") + 1, end - 1)).alias("at"))
+        rows = stage(deeper.select("key", "part", "n", "at", (F.col("end") - F.col("at")).alias("left"), F.xxhash64("bucket", F.get("live", F.col("at"))).alias("bucket"),
                                    (F.col("short") & (F.col("at") < F.col("smaller") + depth)).alias("short")))
-        buckets = rows.groupBy("bucket").agg(F.count_if("short").alias("many"), F.min("part").alias("lo"), F.max("part").alias("hi")) \
-            .filter((F.col("lo") != F.col("hi")) & (F.col("many") > 0)).select("bucket", "many")
-        buckets = stage(buckets)
-        here = buckets if depth == DEEPEST else buckets.filter(F.col("many") <= CROWD)
+        buckets = rows.groupBy("bucket").agg(F.count_if("short").alias("many"), F.min("part").alias("lo"), F.max("part").alias("hi"),
+                                             F.count(F.lit(1)).alias("size"), F.sum("left").alias("left")) \
+            .filter((F.col("lo") != F.col("hi")) & (F.col("many") > 0))
+        crowd = (F.col("many") > CROWD) & (F.col("many") * F.col("size") > F.col("left")) & F.lit(depth < DEEPEST)
+        buckets = stage(buckets.select("bucket", crowd.alias("crowd")))
+        here = buckets.filter("not crowd")
         y = rows.join(here.select("bucket"), "bucket")
         x = y.filter("short").select("bucket", F.col("key").alias("a"), F.col("part").alias("pa"), F.col("n").alias("na"))
         y = y.select("bucket", F.col("key").alias("b"), F.col("part").alias("pb"), F.col("n").alias("nb"))
@@ -311,8 +314,8 @@ def sharing_rare(sets: DataFrame) -> DataFrame:
         pairs = stage(x.join(y, (x["bucket"] == y["bucket"]) & (F.col("pa") != F.col("pb")) & ordered & (F.col("na") * 100 >= F.col("nb") * NEED))
                       .select("a", "b").distinct())
         found = pairs if found is None else found.unionByName(pairs)
-        crowds = buckets.filter(F.col("many") > CROWD).select("bucket")
-        if depth == DEEPEST or crowds.isEmpty():
+        crowds = buckets.filter("crowd").select("bucket")
+        if crowds.isEmpty():
             return found.distinct()
         members = rows.join(crowds, "bucket").join(own.select("key", "live", "larger", "smaller"), "key")
 
