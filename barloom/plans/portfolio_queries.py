@@ -114,7 +114,7 @@ def walk_forward_forced(spark, sf):
 
 
 RUN = RunPlan(active=("ret_1h", "rev_1d"), core=("rev_1d",), candidates=("rvol_1d", "vol_ratio"),
-              schedule=replace(WALK, invert=True), rules=RULES, max_turnover=1, ic_threshold=0.02, min_features=2)
+              schedule=replace(WALK, retrain_every=52, invert=True), rules=RULES, max_turnover=1, ic_threshold=0.02, min_features=2)
 
 
 def _resumed(spark, sf):
@@ -544,7 +544,7 @@ _LIVE_MEAN = "(live[1] + live[2] + live[3] + live[4]) / 4"
 _RUN = f"""{_PANEL[:_PANEL.index("preds as (")].replace('with ', 'with recursive ', 1)} {_REG},
  fine as (select * from lastk where ret_1h is not null and rev_1d is not null and rvol_1d is not null and vol_ratio is not null),
  wks as (select week, row_number() over (order by week) - 1 as i from (select distinct week from fine)),
- blk as (select i // 26 as b, min(week) as rw from wks group by 1),
+ blk as (select i // 52 as b, min(week) as rw from wks group by 1),
  jf as (select snap.*, wret.ret from snap join wret using (symbol, week)),
  lf as ({melt_sql('jf', 'week, symbol, ret', FEATS)}),
  {spearman_cte('ffi', 'lf', 'value', 'ret', 'week, feature', 10)},
@@ -585,7 +585,7 @@ _RUN = f"""{_PANEL[:_PANEL.index("preds as (")].replace('with ', 'with recursive
  mb as (select blk.b, max(wl.b) as mb from blk join wl on wl.b <= blk.b group by 1),
  fx as ({melt_sql('fine', 'symbol, week, ts', FEATS)}),
  preds as materialized (select symbol, week, avg(p) as pred from (select symbol, week, ts, sum(a + s * value) as p from fx join wks using (week)
-   join mb on mb.b = wks.i // 26 join wl on wl.b = mb.mb and wl.feature = fx.feature group by 1, 2, 3) group by 1, 2),
+   join mb on mb.b = wks.i // 52 join wl on wl.b = mb.mb and wl.feature = fx.feature group by 1, 2, 3) group by 1, 2),
  jg as (select week, symbol, pred, ret from preds join wret using (symbol, week)),
  {spearman_cte('gic', 'jg', 'pred', 'ret', 'week', 2)},
  fl as (select week, feature, last_value(ic ignore nulls) over (partition by feature order by week rows between unbounded preceding
@@ -679,7 +679,7 @@ ORACLES = {
     "walk_forward_inverted": f"""{_INVERTED} select week, n_trades, regime, {_cols('week_ret', 'ic', 'cum_ret')} from wm""",
     "walk_forward_gated_inverted": f"""{_GATED_INVERTED} select week, n_symbols, n_trades, regime, {_cols('week_ret', 'ic', 'turnover_pct', 'cum_ret')} from wm""",
     "walk_forward_forced": f"""{_FORCED} select week, n_symbols, n_trades, regime, {_cols('week_ret', 'ic', 'turnover_pct', 'cum_ret')} from wm""",
-    "walk_forward_run_weekly": f"""{_RUN} select week, n_symbols, n_trades, wm.regime, cast(wks.i // 26 as integer) as block, {_cols('week_ret', 'ic')},
+    "walk_forward_run_weekly": f"""{_RUN} select week, n_symbols, n_trades, wm.regime, cast(wks.i // 52 as integer) as block, {_cols('week_ret', 'ic')},
       {r('turnover', 'turnover_pct')}, {_cols('cum_ret', 'drawdown')} from wm join wks using (week)""",
     "walk_forward_run_features": f"""{_RUN} select cast(b as integer) as block, feature, status, {r('ic', 'ic')}, kept as selected
       from (select b, said.feature, said.status from (select b, unnest(said) as said from act)) left join sel using (b, feature)""",
