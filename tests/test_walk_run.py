@@ -31,8 +31,9 @@ def test_resumed_after_any_block_equals_whole(spark, data, tmp_path):
     parts = Ledger(spark, f"{tmp_path}/parts")
     for stop in range(1, n + 1):
         assert walk_forward_run(data, PLAN, LineLearner(), parts, "a", stop_after=stop) == stop
-        if stop < n:  # killed between tables: written, not committed
-            parts.attempt("a", stop).write("weekly", parts.read("a", "weekly").drop("block"))
+        seen = parts.read("a", "weekly")
+        if stop < n and seen is not None:  # killed between tables: written, not committed
+            parts.attempt("a", stop).write("weekly", seen.drop("block"))
     assert walk_forward_run(data, PLAN, LineLearner(), parts, "a") == n
     weekly = rows(weekly_of(parts, "a"))
     assert weekly == rows(weekly_of(whole, "a")) and len(weekly) > 50
