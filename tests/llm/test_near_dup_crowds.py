@@ -67,27 +67,3 @@ def test_partner_deep_in_a_large_component(spark):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == components(rows)
-
-
-def sets_frame(spark, texts):
-    rows = []
-    for i, words in enumerate(texts):
-        who, h = near_dup.shingle_sets([" ".join(words).encode()])
-        rows.append((i.to_bytes(16, "big"), i, [int(x) for x in h.astype("int64")]))
-    return spark.createDataFrame(rows, "key binary, part long, hashes array<long>")
-
-
-def test_pairs_of_a_crowd_grow_with_it_not_with_its_square(spark):
-    """Documents of one 60-word passage and 12 words of a small vocabulary, and a few links among them."""
-    passage, counts = [f"p{i}" for i in range(60)], []
-    for documents in (200, 400, 800):
-        rng = random.Random(documents)
-        texts = [passage + [f"w{rng.randrange(20)}" for _ in range(12)] for _ in range(documents)]
-        for i in range(10):
-            texts[2 * i + 1] = texts[2 * i][:-3] + [f"x{i}", f"y{i}", f"z{i}"]
-        found = {(int.from_bytes(r.a, "big"), int.from_bytes(r.b, "big")) for r in near_dup.sharing_rare(sets_frame(spark, texts)).collect()}
-        counts.append(len(found))
-        sets = [set(zip(t, t[1:], t[2:], t[3:])) for t in texts]
-        pairs = {(i, j) for i in range(documents) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
-        assert len(pairs) >= 10 and all((i, j) in found or (j, i) in found for i, j in pairs)
-    assert counts[2] <= 2.5 * counts[1] <= 7 * counts[0], counts
