@@ -14,7 +14,7 @@ BUCKETS_PER_OCTAVE = 1024
 _ZERO_SHIFT = 1100 * BUCKETS_PER_OCTAVE
 
 
-def average_rank(x: str, by: Sequence[str]) -> Column:
+def average_rank(x: str | Column, by: Sequence[str]) -> Column:
     """Average-tie rank inside a group known to be small (a weekly cross-section).
 
     One sort serves both functions: the first position of a tie is rank(), its last

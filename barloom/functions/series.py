@@ -37,17 +37,34 @@ def fractional_difference(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return out
 
 
-def moving_rank(x: np.ndarray, window: int, min_rows: int, rows: int = 2048) -> np.ndarray:
-    """Average rank of each value among the present ones of its window, as a share of their number."""
+def moving_rank(x: np.ndarray, window: int, min_rows: int) -> np.ndarray:
+    """Average rank of each value among the present ones of its window, as a share of their number.
+
+    All windows descend a wavelet matrix over the value codes together: one step for each bit of a
+    code, whatever the window's length.
+    """
     out = np.full(len(x), np.nan)
-    view = np.lib.stride_tricks.sliding_window_view(np.concatenate((np.full(window - 1, np.nan), x)), window)
-    for start in range(0, len(x), rows):
-        seg, now = view[start:start + rows], x[start:start + rows, None]
-        with np.errstate(invalid="ignore"):
-            below, equal = (seg < now).sum(axis=1), (seg == now).sum(axis=1)
-        present = (~np.isnan(seg)).sum(axis=1)
-        ok = (present >= min_rows) & ~np.isnan(now[:, 0])
-        out[start:start + rows][ok] = (below[ok] + (equal[ok] + 1) / 2) / present[ok]
+    if not len(x):
+        return out
+    values, codes = np.unique(x, return_inverse=True)  # NaN comes last, above every value
+    high = np.arange(1, len(x) + 1)
+    low = np.maximum(high - window, 0)
+    left, right, row = low, high, codes
+    below = np.zeros(len(x), np.int64)
+    for bit in range((len(values) - 1).bit_length() - 1, -1, -1):
+        ones = (row >> bit & 1).astype(bool)
+        zeros = np.concatenate(([0], np.cumsum(~ones)))
+        left_zeros, right_zeros = zeros[left], zeros[right]
+        up = (codes >> bit & 1).astype(bool)
+        below += np.where(up, right_zeros - left_zeros, 0)
+        left = np.where(up, zeros[-1] + left - left_zeros, left_zeros)
+        right = np.where(up, zeros[-1] + right - right_zeros, right_zeros)
+        row = np.concatenate((row[~ones], row[ones]))
+    valid = ~np.isnan(x)
+    seen = np.concatenate(([0], np.cumsum(valid)))
+    present = seen[high] - seen[low]
+    ok = valid & (present >= min_rows)
+    out[ok] = (below[ok] + (right[ok] - left[ok] + 1) / 2) / present[ok]
     return out
 
 

@@ -13,18 +13,18 @@ import re
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import series
-from ..functions.ranks import with_rank
+from ..functions.ranks import average_rank, with_rank
 from ..functions.rolling import Roll, ema_block, with_ema, with_rolls
 from ..functions.scalars import clip, finite, log_ratio, ratio
 from ..session import favour_compiled_code
 from ..spec import BarSpec
-from .layout import CHUNK_ROWS, Layout, chunk_offsets, in_blocks, lay_out
+from .layout import CHUNK_ROWS, Layout, chunk_offsets, in_blocks, lay_out, series_shape
 
 # Feature names by family, in table order.
 FAMILIES = {
@@ -276,15 +276,15 @@ def _kernel_stage(
         [df.schema[c] for c in passed] + [T.StructField(n, T.DoubleType()) for n in wanted]
     )
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if not pdf["ts"].is_monotonic_increasing:
-            pdf = pdf.sort_values("ts", kind="stable")
-        close = pdf["close"].to_numpy(dtype=float)
-        out = pdf[passed].copy()
+    def run(rows: pa.Table) -> pa.Table:
+        at = rows["ts"].to_numpy()
+        if (at[1:] < at[:-1]).any():
+            rows = rows.take(pa.array(np.argsort(at, kind="stable")))
+        close = rows["close"].to_numpy().astype(float)
+        out = rows.select(passed)
         for name in wanted:
             if name in RANKED:
-                x = pdf[f"_in_{RANKED[name]}"].to_numpy(dtype=float)
-                value = series.moving_rank(x, 5 * d, d)
+                value = series.moving_rank(rows[f"_in_{RANKED[name]}"].to_numpy().astype(float), 5 * d, d)
             elif name == "hurst_exp":
                 value = series.rescaled_range(close, d)
             elif name == "fft_strength":
@@ -294,10 +294,10 @@ def _kernel_stage(
                 value = series.fractional_difference(logs, weights)
             shifted = np.full(len(close), np.nan)
             shifted[1:] = value[:-1]
-            out[name] = shifted
+            out = out.append_column(name, pa.array(shifted))
         return out
 
-    made = df.groupBy(*layout.keys).applyInPandas(run, schema)
+    made = df.groupBy(*layout.keys).applyInArrow(run, schema)
     made = made.withColumns({n: finite(n) for n in wanted})
     return Layout(made, layout.keys, ("ts",), layout.chunked)
 
@@ -336,10 +336,16 @@ def build_features(
         "symbol", "ts", *[c for c in keep if c not in _PRICES],
         *[finite(F.col(p).cast("double")).alias(p) for p in _PRICES],
     )
-    if "wq_alpha031" in wanted:
-        bars = with_rank(bars, "close", ["symbol"], "_rank")
+    shape = series_shape(bars)
+    ranked = "wq_alpha031" in wanted
+    if ranked and shape.longest > chunk_rows:
+        bars, ranked = with_rank(bars, "close", ["symbol"], "_rank"), False
     layout = lay_out(
-        bars, feature_lookback(spec, wanted, ffd_d, ffd_threshold), chunk_rows=chunk_rows)
+        bars, feature_lookback(spec, wanted, ffd_d, ffd_threshold), chunk_rows=chunk_rows, shape=shape)
+    if ranked:
+        # Whole series share a task here: ranking them takes a sort and no shuffle.
+        layout = layout.with_df(layout.df.withColumn(
+            "_rank", F.when(F.col("close").isNotNull(), average_rank(F.col("close").asc_nulls_last(), ["symbol"]))))
     kernels = [f for f in wanted if f in KERNEL_FEATURES]
     plain = [f for f in wanted if f not in KERNEL_FEATURES]
 

@@ -11,15 +11,28 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from typing import NamedTuple
+from weakref import WeakKeyDictionary
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 CHUNK_ROWS = 100_000
 # A chunk plan has one row per (symbol, time bucket); above this many it is joined by shuffle.
 BROADCAST_ROWS = 500_000
 _UNITS = (("week", 7.0), ("day", 1.0), ("hour", 1.0 / 24), ("minute", 1.0 / 1440))
-_probed: dict[tuple, tuple[int, float]] = {}
+# Rows for one task of a windowed plan: few while cores are idle, more once tasks are plenty.
+SMALL_TASK, FULL_TASK = 5_000, 500_000
+_PROBES = 256
+_probed: WeakKeyDictionary[SparkSession, dict[tuple, Shape]] = WeakKeyDictionary()
+
+
+class Shape(NamedTuple):
+    """Rows of the longest series, densest rows per day, rows of all series."""
+
+    longest: int
+    per_day: float
+    rows: int
 
 
 @dataclass(frozen=True)
@@ -48,22 +61,35 @@ class Layout:
         return Layout(df, self.keys, self.order, self.chunked)
 
 
-def _series_shape(bars: DataFrame, key: str, ts: str) -> tuple[int, float]:
-    """(rows of the longest series, densest rows per day): one aggregate over two columns.
+def series_shape(bars: DataFrame, key: str = "symbol", ts: str = "ts") -> Shape:
+    """Sizes that steer the physical layout: one aggregate over two columns.
 
-    The answer only steers the physical layout, so it is remembered per logical plan.
+    Results never depend on them, so they are remembered for each session and logical plan, the
+    newest ones only.
     """
-    token = (id(bars.sparkSession), bars.semanticHash(), key, ts)
-    if token not in _probed:
+    probed = _probed.setdefault(bars.sparkSession, {})
+    token = (bars.semanticHash(), key, ts)
+    if token not in probed:
         days = F.greatest(F.datediff(F.max(ts), F.min(ts)) + 1, F.lit(1))
         row = (
             bars.groupBy(key)
             .agg(F.count(F.lit(1)).alias("n"), days.alias("d"))
-            .agg(F.max("n"), F.max(F.col("n") / F.col("d")))
+            .agg(F.max("n"), F.max(F.col("n") / F.col("d")), F.sum("n"))
             .first()
         )
-        _probed[token] = (int(row[0] or 0), float(row[1] or 0.0))
-    return _probed[token]
+        if len(probed) >= _PROBES:
+            del probed[next(iter(probed))]
+        probed[token] = Shape(int(row[0] or 0), float(row[1] or 0.0), int(row[2] or 0))
+    return probed[token]
+
+
+def window_tasks(rows: int, cores: int) -> int:
+    """Tasks for windowed work on ``rows`` rows.
+
+    Windows cost far more time than bytes, so tasks sized by bytes would leave most cores idle on a
+    small table: up to four tasks a core are made of small tasks, and beyond that full ones.
+    """
+    return max(1, min(math.ceil(rows / SMALL_TASK), 4 * cores), math.ceil(rows / FULL_TASK))
 
 
 def _chunk_plan(
@@ -94,15 +120,19 @@ def lay_out(
     key: str = "symbol",
     ts: str = "ts",
     chunk_rows: int = CHUNK_ROWS,
+    shape: Shape | None = None,
 ) -> Layout:
     """Choose the window partitioning for windows reaching ``lookback`` rows back.
 
-    Series that fit one chunk need nothing: windows run per ``key``. Longer ones are cut; the cut
-    follows row counts per time bucket, so it is exact whatever the gaps in the series.
+    Series that fit one chunk are dealt by ``key``. Longer ones are cut; the cut follows row counts
+    per time bucket, so it is exact whatever the gaps in the series. Either way rows are shuffled
+    once, into as many tasks as their number asks for, and every window runs on that shuffle.
+    ``shape`` is that of the same rows, where the caller knows it.
     """
-    longest, per_day = _series_shape(bars, key, ts)
+    longest, per_day, rows = shape or series_shape(bars, key, ts)
+    tasks = window_tasks(rows, bars.sparkSession.sparkContext.defaultParallelism)
     if longest <= chunk_rows:
-        return Layout(bars, (key,), (ts,), False)
+        return Layout(bars.repartition(tasks, key), (key,), (ts,), False)
     unit = next((u for u, d in _UNITS if per_day * d <= chunk_rows / 8), "minute")
     bucket = F.date_trunc(unit, F.col(ts))
     plan = _chunk_plan(bars, key, bucket, lookback, lookahead, chunk_rows)
@@ -114,6 +144,7 @@ def lay_out(
         .join(plan, [key, "_bucket"])
         .withColumn("_chunk", F.explode("_targets"))
         .drop("_targets", "_bucket")
+        .repartition(tasks, key, "_chunk")
     )
     return Layout(cut, (key, "_chunk"), (ts,), True)
 
