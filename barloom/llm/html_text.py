@@ -2,19 +2,25 @@
 
 A page is read once into flat blocks, the runs of text between block-level tags. A block is
 described by its word count and link density, those of the blocks before and after it, and where it
-stands (inside an article, inside page furniture, heading, list item). A decision tree, grown by
-Gini gain on a small labelled table, tells main text from the rest. The labelled table comes from
-page layouts written down here, so fitting reads no data.
+stands (the container around it, heading, list item). A decision tree, grown by Gini gain on a small
+labelled table, tells main text from the rest. The labelled table comes from page layouts written
+down here, so fitting reads no data. Half of the layouts have no telling container at all: there,
+words and links decide.
+
+The nearest container wins: an article inside something called a sidebar is an article. Menus,
+asides, adverts and comments keep what stands in them, whatever it is called.
 
 Defined cases: null and empty pages, and pages without main text, give an empty text; unclosed and
 misnested tags, missing ends, stray ``<`` and unknown character references are read as text or
-skipped as browsers do; repeated rows give repeated rows; further columns pass through.
+skipped as browsers do; character references end at the next tag; repeated rows give repeated rows;
+further columns pass through, but for one called like ``into``, which is replaced.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TAG = re.compile(
-    r"<!--(?:.*?--!?>|.*\Z)|<[!?][^>]*+>?"
+    r"<!--(?:-?>|.*?--!?>|.*\Z)|<[!?][^>]*+>?"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -34,64 +40,92 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset("""address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset
 figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup html legend li main menu nav noscript ol optgroup
 option p pre search section select summary svg table tbody td template tfoot th thead tr ul video audio object canvas""".split())
-FURNITURE = frozenset("""nav aside footer form button select menu dialog template noscript svg head fieldset video audio object
+FURNITURE = frozenset("""nav aside footer button select menu dialog template noscript svg head fieldset video audio object
 canvas search""".split())
 ENDS = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"},
         "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-# Words in class names and ids that mark furniture, or main text.
-FURNITURE_WORDS = frozenset("""ad ads adv advert adverts advertisement advertising sponsor sponsored promo promoted promotion banner
-cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup sidebar menu navigation nav navbar breadcrumb
-breadcrumbs footer header masthead topbar comment comments commentlist disqus reply replies respond discussion share sharing
-social related recommended recommendations popup modal overlay login widget copyright legal disclaimer pagination pager toolbar
-search teaser outbrain taboola skip feedback rating reviews""".split())
+# Words in class names and ids: of blocks that are never main text, of page parts, and of main text.
+FIRM_WORDS = frozenset("""ad ads adv advert adverts advertisement advertising sponsor sponsored promo promoted cookie cookies consent
+gdpr newsletter subscribe subscription signup comment comments commentlist disqus reply replies respond remark remarks talkback
+guestbook sharing social related recommended recommendations popup modal overlay login breadcrumb breadcrumbs pagination pager
+teaser outbrain taboola skip""".split())
+LOOSE_WORDS = frozenset("""promotion banner notice notices alert sidebar menu navigation nav navbar footer header masthead topbar
+discussion share widget copyright legal disclaimer toolbar search feedback rating reviews form""".split())
 MAIN_WORDS = frozenset("article content post entry story main text body".split())
-
-
-def _place(tag: str, attributes: str, main: bool, furniture: bool) -> tuple[bool, bool]:
-    """Whether an element, with what it stands in, belongs to an article and to page furniture."""
-    if tag in ("article", "main"):
-        main = True
-    elif tag in FURNITURE or tag == "header" and not main:
-        furniture = True
-    if attributes and "=" in attributes or "hidden" in attributes:
+# Words that only say what a block has or lacks, and words of blocks that hold a whole page.
+MODIFIERS = frozenset("has no with without hide show".split())
+WHOLE = frozenset("layout page site app".split())
+# Where a block stands: in article or main; in a block named like main text; in either inside a loosely named part;
+# in none; in a loosely named part; in a firm one.
+ARTICLE, NAMED, INSIDE, PLAIN, LOOSE, FIRM = range(6)
+
+
+def _names(found: dict[str, str]) -> set[str]:
+    """Telling words of an element's class names and id."""
+    words, whole = set(), False
+    for token in f"{found.get('class', '')} {found.get('id', '')}".split():
+        for word in PARTS.findall(token):
+            if word.lower() in MODIFIERS:
+                break
+            words.add(word.lower())
+        whole = whole or token.lower() in WHOLE
+    return words - LOOSE_WORDS if whole else words
+
+
+def _place(tag: str, attributes: str, place: int) -> int:
+    """Where the text of an element stands, from its name and where the element itself stands."""
+    strong, named = tag in ("article", "main"), False
+    loose = tag == "form"
+    firm = tag in FURNITURE or tag == "header" and place not in (ARTICLE, NAMED, INSIDE)
+    if attributes and ("=" in attributes or "hidden" in attributes) and tag not in ("html", "body"):
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
         role = found.get("role", "").lower()
-        words = {w.lower() for w in PARTS.findall(f"{found.get('class', '')} {found.get('id', '')}")}
-        if role in ROLES and tag not in ("html", "body"):
-            furniture = True
-        if role in ("main", "article") or words & MAIN_WORDS and not words & FURNITURE_WORDS:
-            main = main or tag not in ("html", "body")
-        if words & FURNITURE_WORDS and tag not in ("html", "body", "main"):
-            furniture = True
-        if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")) \
-                or found.get("aria-hidden") == "true" or re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes):
-            furniture = True
-    return main, furniture
-
-
-def blocks(page: str) -> list[tuple[str, int, float, bool, bool, str]]:
-    """Flat blocks of a page: text, words, link density, in an article, in furniture, tag."""
+        words = _names(found)
+        strong = strong or role in ("main", "article")
+        firm = firm or role in ROLES or bool(words & FIRM_WORDS) and tag != "main"
+        loose = loose or bool(words & LOOSE_WORDS) and not strong
+        named = bool(words & MAIN_WORDS) and not loose
+        firm = firm or found.get("aria-hidden") == "true" \
+            or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""))) \
+            or bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes))
+    if place == FIRM or firm:
+        return FIRM
+    if loose:
+        return LOOSE
+    if strong or named:
+        if place in (LOOSE, INSIDE):
+            return INSIDE
+        return ARTICLE if strong or place == ARTICLE else NAMED
+    return place
+
+
+def blocks(page: str) -> list[tuple[str, int, float, int, str]]:
+    """Flat blocks of a page: text, words, link density, where it stands, tag."""
     out: list[tuple] = []
-    stack: list[tuple] = [("", False, False)]
+    stack: list[tuple[str, int]] = [("", PLAIN)]
+    opened: Counter[str] = Counter()
     pieces: list[str] = []
     linked: list[str] = []
     in_link, at, end = 0, 0, len(page)
 
     def flush() -> None:
         if pieces:
-            text = " ".join(html.unescape("".join(pieces)).split())
+            text = " ".join("".join(pieces).split())
             if text:
                 n = text.count(" ") + 1
-                links = len(html.unescape("".join(linked)).split()) if linked else 0
-                tag, main, furniture = stack[-1]
-                out.append((text, n, min(1.0, links / n), main, furniture, tag))
+                links = len("".join(linked).split()) if linked else 0
+                tag, place = stack[-1]
+                out.append((text, n, min(1.0, links / n), place, tag))
             pieces.clear()
             linked.clear()
 
+    def leave() -> None:
+        opened[stack.pop()[0]] -= 1
+
     while at < end:
         m = TAG.search(page, at)
-        text = page[at:m.start() if m else end]
+        text = html.unescape(page[at:m.start() if m else end])
         if text:
             pieces.append(text)
             if in_link:
@@ -111,8 +145,7 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool, str]]:
             pieces.append(" ")
         elif tag == "a":
             in_link = 0 if closing else 1
-            if not closing:
-                pieces.append("")
+            linked.append(" ")
         elif tag in VOID:
             if tag == "hr":
                 flush()
@@ -120,33 +153,50 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool, str]]:
             flush()
             in_link = in_link if tag in ("div", "p", "h1", "h2", "h3", "h4") and not closing else 0
             if closing:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
+                # Only an end with an open start ends anything, so each start is left once.
+                if opened[tag]:
+                    while stack[-1][0] != tag:
+                        leave()
+                    leave()
             else:
                 ends = ENDS.get(tag, ENDS["p"] if tag != "html" else ())
                 while len(stack) > 1 and stack[-1][0] in ends:
-                    stack.pop()
-                if tag == "body":  # whatever the head left open
-                    stack = stack[:1]
-                stack.append((tag, *_place(tag, attributes, *stack[-1][1:])))
+                    leave()
+                while tag == "body" and len(stack) > 1:  # whatever the head left open
+                    leave()
+                stack.append((tag, _place(tag, attributes, stack[-1][1])))
+                opened[tag] += 1
     flush()
     return out
 
 
+def container(found: list[tuple]) -> int:
+    """The kind of place that holds a page's main text: an article if there is one, else the one with most plain words."""
+    plain = [0.0] * 6
+    for _, n, density, place, _ in found:
+        plain[place] += n * (1 - density)
+    if plain[ARTICLE]:
+        return ARTICLE
+    if plain[NAMED] and 4 * plain[NAMED] >= plain[PLAIN]:
+        return NAMED
+    return INSIDE if plain[INSIDE] > plain[PLAIN] else PLAIN
+
+
+COLUMNS = ("words", "link density", "words before", "link density before", "words after", "link density after",
+           "in the container", "container", "place", "heading", "list item")
+
+
 def features(found: list[tuple]) -> np.ndarray:
-    """A row for each block: its numbers, its neighbours' numbers and its place."""
-    n = len(found)
+    """A row of ``COLUMNS`` for each block."""
+    n, best = len(found), container(found)
     own = np.array([[b[1], b[2]] for b in found], np.float64).reshape(n, 2)
     none = np.zeros((1, 2))
-    place = np.array([[b[3], b[4], b[5] in ("h1", "h2", "h3", "h4", "h5", "h6"), b[5] in ("li", "td", "th", "dd", "dt")]
-                      for b in found], np.float64).reshape(n, 4)
-    article = np.full((n, 1), float(any(b[3] and not b[4] for b in found)))
-    return np.column_stack([own, np.vstack([none, own[:-1]]), np.vstack([own[1:], none]), place, article])
+    place = np.array([[b[3] == best, best, b[3], b[4] in ("h1", "h2", "h3", "h4", "h5", "h6"), b[4] in ("li", "td", "th", "dd", "dt")]
+                      for b in found], np.float64).reshape(n, 5)
+    return np.column_stack([own, np.vstack([none, own[:-1]]), np.vstack([own[1:], none]), place])
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2) -> tuple | float:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 9, least: int = 2) -> tuple | float:
     """Decision tree by Gini gain: (feature, threshold, low, high) or the share of main text."""
     share = float(y.mean())
     if depth == 0 or len(y) < 2 * least or share in (0.0, 1.0):
@@ -174,7 +224,7 @@ def classify(tree: tuple | float, row: np.ndarray) -> bool:
     return tree >= 0.5
 
 
-def labelled_pages(pages: int = 60, seed: int = 4) -> list[tuple[str, str]]:
+def labelled_pages(pages: int = 120, seed: int = 4) -> list[tuple[str, str]]:
     """Small pages of common layouts; the words of main text all start with ``m``."""
     rng = np.random.default_rng(seed)
 
@@ -184,32 +234,50 @@ def labelled_pages(pages: int = 60, seed: int = 4) -> list[tuple[str, str]]:
     def links(low: int, high: int) -> str:
         return "".join(f'<li><a href="/{i}">{words("x", 1, 4)}</a></li>' for i in range(rng.integers(low, high)))
 
+    def paragraph(least: int) -> str:
+        link = f' <a href="#">{words("m", 1, 4)}</a>' if rng.random() < 0.2 else ""
+        return f"<p>{words('m', least, 120)}{link}</p>"
+
+    def named(k: int) -> str:
+        """A page whose main text stands in a container that says so."""
+        parts = [
+            f"<h2>{words('m', 1, 6)}</h2>" if kind < 0.15 else
+            f"<ul><li>{words('m', 1, 20)}</li><li><a href='#'>{words('m', 1, 9)}</a></li></ul>" if kind < 0.25 else
+            f"<p><a href='#'>{words('m', 1, 40)}</a></p>" if kind < 0.3 else
+            f"<p>{words('m', 1, 5)}</p>" if kind < 0.45 else paragraph(8)
+            for kind in rng.random(rng.integers(1, 12))]
+        text = f"<h1>{words('m', 2, 12)}</h1>{''.join(parts)}"
+        inner = (f'<div class="ad">{words("x", 2, 60)}</div>' if k % 3 == 0 else
+                 f'<div class="comments"><article><p>{words("x", 2, 60)}</p></article></div>' if k % 3 == 1 else
+                 f"<aside><p>{words('x', 2, 60)}</p></aside>")
+        main = (f"<article>{text}{inner}</article>", f"<main>{text}</main>{inner}", f'<div id="content">{text}{paragraph(30)}{inner}</div>',
+                f'<div class="sidebar-box"><article>{text}{paragraph(30)}</article></div>{inner}')[k % 4]
+        plain = f"<div>{words('x', 1, 90)}</div>" if k % 4 < 3 and k % 5 < 2 else ""  # text beside the article
+        return (f'{plain}<header><p>{words("x", 1, 9)}</p></header>{main}'
+                f'<section id="comments"><h3>{words("x", 1, 3)}</h3><p>{words("x", 3, 60)}</p><p>{words("x", 10, 90)}</p></section>'
+                f'<div class="sidebar"><h3>{words("x", 1, 3)}</h3><ul>{links(2, 6)}</ul><p>{words("x", 10, 50)}</p></div>'
+                f"<form><label>{words('x', 1, 4)}</label><p>{words('x', 4, 30)}</p></form><div>{words('x', 1, 6)}</div>")
+
+    def bare(k: int) -> str:
+        """A page on which nothing tells but words and links."""
+        crowd = "".join(f'<div><a href="/{i}">{words("x", 4, 70)}</a></div>' for i in range(rng.integers(1, 4)))
+        long_link = f'<div><a href="/l">{words("x", 15, 40)}</a> <a href="/k">{words("x", 15, 40)}</a></div>'
+        head = f"<h1>{words('m', 2, 12)}</h1>" if k % 3 else ""
+        body = "".join(paragraph(20) + (f"<h2>{words('m', 1, 6)}</h2>{paragraph(15)}" if kind < 0.3 else
+                                        f"<p>{words('m', 1, 15)}</p>{paragraph(15)}" if kind < 0.7 else "")
+                       for kind in rng.random(rng.integers(1, 9)))
+        menu = "" if k % 5 == 0 else f"<ul>{links(3, 9)}</ul>" if k % 2 else f"<div>{words('x', 1, 5)}</div>"
+        return (f"{menu}{crowd if k % 4 == 2 else ''}{head}{body}{long_link if k % 4 < 2 else ''}"
+                f"<ul>{links(1, 5)}</ul><div>{words('x', 1, 9)}</div>")
+
     out = []
     for k in range(pages):
-        body = "".join(
-            f"<h2>{words('m', 1, 6)}</h2>" if rng.random() < 0.15 else
-            f"<ul><li>{words('m', 1, 20)}</li><li>{words('m', 3, 9)}</li></ul>" if rng.random() < 0.1 else
-            f"<p>{words('m', 1, 5) if rng.random() < 0.25 else words('m', 8, 120)}"
-            + (f' <a href="#">{words("m", 1, 4)}</a>' if rng.random() < 0.2 else "") + "</p>"
-            for _ in range(rng.integers(1, 12)))
-        title = f"<h1>{words('m', 2, 12)}</h1>"
-        long_ = (5, 60) if k % 2 else (2, 12)
-        inner = f'<div class="ad">{words("x", *long_)}</div>' if k % 3 == 0 else f"<aside><p>{words('x', *long_)}</p></aside>"
-        main = (f"<article>{title}{body}{inner}</article>" if k % 4 < 2 else
-                f"<main>{title}{body}</main>{inner}" if k % 4 == 2 else
-                f'<div id="content">{title}{body}</div>{inner}')
-        if k % 5 == 4:  # nothing tells but the numbers; single short blocks are then no main text
-            main = "".join(f"<div>{words('m', 25, 120)}</div>" for _ in range(rng.integers(2, 9)))
+        body = named(k // 2) if k % 2 else bare(k // 2)
         out.append((
-            f"<html><head><title>{words('x', 2, 9)}</title></head><body><header><p>{words('x', 1, 9)}</p></header>"
-            f"<nav><ul>{links(2, 9)}</ul></nav>" + (f"<div><ul>{links(2, 6)}</ul></div>" if k % 5 == 4 else "")
+            f"<html><head><title>{words('x', 2, 9)}</title></head><body>"
+            + (f"<nav><ul>{links(2, 9)}</ul></nav>" if (k // 2) % 5 else "")
             + (f'<div class="cookie-notice"><p>{words("x", 8, 40)}</p><button>{words("x", 1, 3)}</button></div>' if k % 3 == 1 else "")
-            + main
-            + (f'<section id="comments"><h3>{words("x", 1, 3)}</h3><p>{words("x", 3, 60)}</p><p>{words("x", 10, 90)}</p></section>'
-               if k % 3 != 1 else "")
-            + (f'<div class="sidebar"><h3>{words("x", 1, 3)}</h3><ul>{links(2, 6)}</ul><p>{words("x", 10, 50)}</p></div>' if k % 2 else "")
-            + (f"<form><label>{words('x', 1, 4)}</label><p>{words('x', 4, 30)}</p></form>" if k % 4 == 1 else "")
-            + f"<footer><p>{words('x', 2, 30)}</p></footer><div>{words('x', 1, 6)}</div></body></html>", "m"))
+            + f"{body}<footer><p>{words('x', 2, 30)}</p></footer></body></html>", "m"))
     return out
 
 
