@@ -224,7 +224,7 @@ def classify(tree: tuple | float, row: np.ndarray) -> bool:
     return tree >= 0.5
 
 
-def labelled_pages(pages: int = 120, seed: int = 4) -> list[tuple[str, str]]:
+def labelled_pages(pages: int = 300, seed: int = 4) -> list[tuple[str, str]]:
     """Small pages of common layouts; the words of main text all start with ``m``."""
     rng = np.random.default_rng(seed)
 

@@ -53,7 +53,7 @@ def test_tree_splits_on_links_of_block_and_neighbours(tree):
     def used(node):
         return {html_text.COLUMNS[node[0]]} | used(node[2]) | used(node[3]) if isinstance(node, tuple) else set()
 
-    assert {"words", "link density", "link density before", "words after"} <= used(tree)
+    assert {"words", "link density", "words before", "link density before"} <= used(tree)
 
 
 def test_held_out_layouts(tree):
