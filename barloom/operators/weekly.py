@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import log_ratio
+from .layout import positions
 from .resample import following_week, week_of
 
 
@@ -36,27 +37,30 @@ def summed_returns(feats: DataFrame, column: str = "ret_1bar") -> DataFrame:
         F.coalesce(F.sum(column), F.lit(0.0)).alias("ret"))
 
 
-def _fill_weeks(snaps: DataFrame, payload: Sequence[str], last_week: Column) -> DataFrame:
-    """Carry each symbol's newest payload to every later week up to the last one."""
-    spans = snaps.groupBy("symbol").agg(F.min("week").alias("_lo")).withColumn("_hi", last_week)
-    grid = spans.where(F.col("_lo") <= F.col("_hi")).select("symbol", F.explode(
-        F.sequence("_lo", "_hi", F.expr("INTERVAL 7 DAYS"))).alias("week"))
-    packed = snaps.select("symbol", "week", F.struct(*payload).alias("_p"))
-    run = Window.partitionBy("symbol").orderBy("week").rowsBetween(Window.unboundedPreceding, 0)
-    filled = grid.join(packed, ["symbol", "week"], "left").withColumn(
-        "_p", F.last("_p", ignorenulls=True).over(run))
-    return filled.select("symbol", "week", *[F.col(f"_p.{c}").alias(c) for c in payload])
+def _fill_weeks(snaps: DataFrame, payload: Sequence[str]) -> DataFrame:
+    """Carry each symbol's newest payload to every later week, up to the week of the newest row.
 
-
-def _last_week(df: DataFrame) -> Column:
-    return df.agg(week_of(F.max("ts")).alias("_hi")).scalar()
+    Each row is repeated up to the next one of its symbol. The newest week is asked of the very
+    table that is filled, all its columns included, so that Spark computes and shuffles that small
+    table once and reads it twice.
+    """
+    snaps = snaps.where(F.col("week").isNotNull()).repartition("symbol", "week")
+    week = F.expr("INTERVAL 7 DAYS")
+    # Rows of the newest week are filed under the Monday after it.
+    last_week = snaps.agg(
+        (F.max(F.struct("week", "symbol", *payload))["week"] - week).alias("_hi")).scalar()
+    upcoming = F.lead("week").over(Window.partitionBy("symbol").orderBy("week"))
+    held = snaps.withColumn("_hi", last_week).withColumn(
+        "_end", F.least(upcoming - week, F.col("_hi"))).where(F.col("week") <= F.col("_hi"))
+    return held.select(
+        "symbol", F.explode(F.sequence("week", "_end", week)).alias("week"), *payload)
 
 
 def snapshots(feats: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Last row strictly before each week start, per (symbol, week), with its time ``as_of``."""
     newest = feats.groupBy("symbol", following_week("ts").alias("week")).agg(
         *[F.max_by(c, "ts").alias(c) for c in columns], F.max("ts").alias("as_of"))
-    return _fill_weeks(newest, [*columns, "as_of"], _last_week(feats))
+    return _fill_weeks(newest, [*columns, "as_of"])
 
 
 def last_rows(feats: DataFrame, columns: Sequence[str], k: int = 12) -> DataFrame:
@@ -76,7 +80,7 @@ def last_rows(feats: DataFrame, columns: Sequence[str], k: int = 12) -> DataFram
     joined = F.flatten(F.collect_list("_rows").over(recent))
     packed = packed.withColumn("_all", joined).withColumn(
         "_rows", F.slice("_all", F.greatest(F.size("_all") - k + 1, F.lit(1)), F.lit(k)))
-    filled = _fill_weeks(packed, ["_rows"], _last_week(feats))
+    filled = _fill_weeks(packed.select("symbol", "week", "_rows"), ["_rows"])
     return filled.select("symbol", "week", F.explode("_rows").alias("_r")).select(
         "symbol", "week", *[F.col(f"_r.{c}").alias(c) for c in ["ts", *columns]])
 
@@ -108,10 +112,8 @@ def latest_valid(feats: DataFrame, column: str, out: str) -> DataFrame:
 
 def sampled_times(rows: DataFrame, target: int = 500) -> DataFrame:
     """Every n-th distinct timestamp over all symbols, n chosen to leave about ``target``."""
-    times = rows.select("ts").distinct()
-    # Distinct bar times: one per bar interval, however many symbols there are.
-    order = Window.orderBy("ts")
-    numbered = times.select("ts", (F.row_number().over(order) - 1).alias("_i"))
-    n_times = rows.agg(F.countDistinct("ts")).scalar()
+    times = rows.where(F.col("ts").isNotNull()).select("ts").distinct()
+    numbered = positions(times, ["ts"], F.date_trunc("week", "ts"))
+    n_times = times.agg(F.count(F.lit(1))).scalar()
     step = F.greatest(F.lit(1), F.floor(n_times / target))
     return numbered.where(F.col("_i") % step == 0).select("ts")
