@@ -103,3 +103,11 @@ def test_moving_rank_against_brute_force(window, least):
             wanted[i] = ((seen < x[i]).sum() + ((seen == x[i]).sum() + 1) / 2) / len(seen)
     np.testing.assert_allclose(moving_rank(x, window, least), wanted)
     assert len(moving_rank(x[:0], window, least)) == 0 and np.isnan(moving_rank(np.full(4, np.nan), window, least)).all()
+
+
+def test_daily_bars_aggregate_the_line_items_once(spark):
+    from barloom.plans.portfolio_queries import _inputs
+    from conftest import SF
+
+    made = _inputs(spark, SF)
+    assert not [f for df in made for f in df.inputFiles() if "lineitem" in f]
