@@ -19,7 +19,7 @@ HALF = max(2, H // 2)
 def _family(names: list[str]):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = build_features(hourly_bars(spark, sf_dir), HOURLY_SPEC, names,
-                            ffd_threshold=FFD_THRESHOLD)
+                            ffd_threshold=FFD_THRESHOLD, unbounded_ranges=True)
         return df.select("symbol", "ts", *[r6(n).alias(n) for n in names])
     return run
 

@@ -138,3 +138,15 @@ def test_bar_spec():
     assert is_five_minute("5T") and not is_five_minute("1h")
     assert BarSpec().horizons["future_ret_15m"] == 3
     assert target_plan("1d", ["future_ret"])["column"] == "future_ret"
+
+
+def test_bars_with_a_zero_low_are_missing_or_unbounded(spark):
+    rows = [("a", f"2024-01-01 {i:02d}:00:00", 2.0, 3.0, 0.0 if i == 10 else 1.0, 2.0, 5.0) for i in range(24)]
+    bars = spark.createDataFrame(rows, "symbol string, ts string, open double, high double, low double, close double, volume double") \
+        .withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    names = ["parkinson_vol", "garman_klass"]
+    made = [{r.ts.hour: r for r in build_features(bars, BarSpec(1, 4, 1), names, unbounded_ranges=u).collect()} for u in (False, True)]
+    for hour in range(5, 24):
+        for name in names:
+            plain, unbounded = (m[hour][name] for m in made)
+            assert plain < 10 and unbounded == (float("inf") if 11 <= hour <= 14 else plain)
