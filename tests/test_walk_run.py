@@ -84,3 +84,23 @@ def test_decisions_follow_the_rules():
     assert decide(week, Live([-0.5, -0.5]), Schedule(gate_weeks=2)) == (False, False, -0.04)  # gate off by default
     assert decide(week, Live(), Schedule(force_invert=True)) == (False, True, 0.04)
     assert decide(week, Live([0.1]), plan, paused=True) == (False, False, 0.0)
+
+
+@pytest.mark.parametrize(("refused", "every"), [(3, 60), (99, 120)])
+def test_a_resumed_run_without_an_early_model(spark, monkeypatch, refused, every):
+    """Blocks that adopt no model write no metrics: the killed run has none yet, or the whole run."""
+    from barloom.plans import portfolio_queries as plans
+
+    class Refusing(LineLearner):
+        fits = 0
+
+        def fit(self, *args):
+            model, cv = super().fit(*args)
+            Refusing.fits += 1
+            return model, -1.0 if Refusing.fits <= refused else 1.0
+
+    monkeypatch.setattr(plans, "LineLearner", Refusing)
+    monkeypatch.setattr(plans, "RUN", replace(RUN, schedule=replace(RUN.schedule, retrain_every=every, min_rows=50)))
+    weekly = plans.walk_forward_run_weekly(spark, SF)
+    assert (weekly.count() > 0) == (Refusing.fits > refused)
+    assert "cum_ret" in weekly.columns
