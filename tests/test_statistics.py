@@ -133,3 +133,16 @@ def test_return_matrix(spark):
     for kind, want in (("cov", wide.cov()), ("corr", wide.corr())):
         for r in validation.return_matrix(df, ["a", "b", "c"], kind).collect():
             assert r["value"] == pytest.approx(want.loc[r["a"], r["b"]], abs=1e-10)
+
+
+def test_rank_correlations_of_zero_are_exact(spark):
+    """The share of positive ICs does not hang on rounding: 60 weeks whose ranks do not correlate, rows in any order."""
+    rng = np.random.default_rng(3)
+    rows, week = [], 0
+    while week < 60:
+        x, y = np.arange(1, 12), rng.permutation(11) + 1
+        if ((x - 6) * (y - 6)).sum() == 0:
+            rows += [(week, float(x[i]) / 7, float(y[i]) / 9) for i in rng.permutation(11)]
+            week += 1
+    got = spearman_small(spark.createDataFrame(rows, "week int, x double, y double"), "x", "y", ["week"], 10).collect()
+    assert len(got) == 60 and {r.ic for r in got} == {0.0}
