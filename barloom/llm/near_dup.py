@@ -38,6 +38,7 @@ DEPTH = 6           # minima that an order sorts by
 BACK = 3            # neighbours looked at in the first round
 NEED = 80           # percent of the union that the intersection must reach
 LEAST = 0.55        # estimated similarity below which a candidate is dropped
+PARITIES = 16       # words of 64 parity bits of a set in the exact join
 BROADCAST_ROWS = 1_000_000
 
 _RANDOM = np.random.default_rng(20_240_229)
@@ -273,28 +274,44 @@ def crowded(classes: DataFrame) -> DataFrame:
 
 
 def sharing_rare(sets: DataFrame) -> DataFrame:
-    """(a, b): all pairs of different ``part`` that can reach the similarity, by prefix filter.
+    """(a, b): all pairs of different ``part`` that can reach the similarity, by prefix, position and parity.
 
     All shingles have one order: first those that occur in one part only, then by rising number of
     sets. Of n shingles at least k are in the intersection, so one of the first n - k + 1 is; k follows
-    from the least size of the other set, which for the smaller set of a pair is its own size.
+    from the least size of the other set, which for the smaller set of a pair is its own size. At the
+    first common shingle, no set has fewer shingles left than the intersection.
+
+    Members of a crowd meet at what they share, whatever else they hold, so rows are paired only if the
+    rest allows it: shingles of one part only differ, and of the others at least as many differ as bits
+    of the two parities, each bit the parity of the shingles that fall on it.
     """
     rows = sets.select("key", "part", F.size("hashes").alias("n"), F.explode("hashes").alias("hash"))
     live = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("many"), F.min("part").alias("lo"), F.max("part").alias("hi")) \
         .filter(F.col("lo") != F.col("hi")).select("hash", "many")
-    own = rows.join(live, "hash").groupBy("key", "part", "n") \
-        .agg(F.array_sort(F.collect_list(F.struct("many", "hash"))).alias("live"))
+    bit = F.expr("shiftleft(1L, int(hash & 63))")
+    word = F.expr(f"shiftrightunsigned(hash, 6) & {PARITIES - 1}")
+    own = rows.join(live, "hash").groupBy("key", "part", "n").agg(
+        F.array_sort(F.collect_list(F.struct("many", "hash"))).alias("live"),
+        *[F.bit_xor(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"p{i}") for i in range(PARITIES)])
+    parity = [f"p{i}" for i in range(PARITIES)]
     lone = F.col("n") - F.size("live")
     larger = F.col("n") - F.ceil(F.col("n") * NEED / 100) + 1 - lone
     smaller = F.col("n") - F.ceil(F.col("n") * 2 * NEED / (100 + NEED)) + 1 - lone
     first = stage(own.withColumn("smaller", smaller).withColumn("larger", larger).filter("larger > 0")
-                  .select("key", "part", "n", "smaller", F.posexplode(F.slice("live", F.lit(1), F.col("larger").cast("int"))).alias("at", "s"))
-                  .select("key", "part", "n", "s.hash", (F.col("at") < F.col("smaller")).alias("short")))
-    x = first.filter("short").select("hash", F.col("key").alias("a"), F.col("part").alias("pa"), F.col("n").alias("na"))
-    y = first.select("hash", F.col("key").alias("b"), F.col("part").alias("pb"), F.col("n").alias("nb"))
-    ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    near = F.col("na") * 100 >= F.col("nb") * NEED
-    return x.join(y, (x["hash"] == y["hash"]) & (F.col("pa") != F.col("pb")) & ordered & near).select("a", "b").distinct()
+                  .select("key", "part", "n", "smaller", lone.alias("lone"), *parity,
+                          F.posexplode(F.slice("live", F.lit(1), F.col("larger").cast("int"))).alias("at", "s"))
+                  .select("key", "part", "n", "s.hash", "lone", *parity, (F.col("n") - F.col("lone") - F.col("at")).alias("left"),
+                          (F.col("at") < F.col("smaller")).alias("short")))
+    side = lambda rows, key, end: rows.select(
+        "hash", F.col("key").alias(key), *[F.col(c).alias(c + end) for c in ("part", "n", "lone", "left", *parity)])
+    x, y = side(first.filter("short"), "a", "_a"), side(first, "b", "_b")
+    n = F.col("n_a") + F.col("n_b")
+    ordered = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
+    near = F.col("n_a") * 100 >= F.col("n_b") * NEED
+    enough = F.least("left_a", "left_b") * (100 + NEED) >= n * NEED
+    differ = sum((F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in parity), F.col("lone_a") + F.col("lone_b"))
+    return x.join(y, (x["hash"] == y["hash"]) & (F.col("part_a") != F.col("part_b")) & ordered & near & enough
+                  & (differ * (100 + NEED) <= n * (100 - NEED))).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

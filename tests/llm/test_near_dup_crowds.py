@@ -67,3 +67,40 @@ def test_partner_deep_in_a_large_component(spark):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == components(rows)
+
+
+def rare_pairs(spark, sets):
+    """Pairs of the exact join, and the links among all pairs, as number pairs; every set is a part of its own."""
+    frame = spark.createDataFrame([(i.to_bytes(4, "big"), i, s) for i, s in enumerate(sets)], "key binary, part long, hashes array<long>")
+    found = near_dup.sharing_rare(frame).collect()
+    got = [tuple(sorted((int.from_bytes(r.a, "big"), int.from_bytes(r.b, "big")))) for r in found]
+    whole = [set(s) for s in sets]
+    links = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets))
+             if 100 * len(whole[i] & whole[j]) >= near_dup.NEED * len(whole[i] | whole[j])}
+    return got, links
+
+
+def test_crowd_makes_few_pairs(spark):
+    """400 sets around one centre at about 0.75 to each other, 12 of them with a near copy."""
+    rng = random.Random(3)
+    number = lambda: rng.randrange(-2 ** 63, 2 ** 63)
+    centre = [number() for _ in range(150)]
+    sets = [[h for h in centre if rng.random() > 0.09] + [number() for _ in range(12)] for _ in range(400)]
+    sets += [[*s[:-6], *(number() for _ in range(6))] for s in rng.sample(sets, 12)]
+    got, links = rare_pairs(spark, sets)
+    assert len(links) >= 12 and links <= set(got) and len(got) < len(sets)
+
+
+def test_bounds_lose_no_link(spark):
+    """Sets of 1 to 300 shingles, and variants of them about the similarity that is needed."""
+    rng = random.Random(8)
+    number = lambda: rng.randrange(-2 ** 63, 2 ** 63)
+    sets = []
+    for n in [*range(1, 21), 40, 99, 150, 300]:
+        base = [number() for _ in range(n)]
+        for _ in range(14):
+            cut = rng.randrange(0, n // 8 + 2)
+            sets.append(sorted({*rng.sample(base, max(1, n - cut)), *(number() for _ in range(rng.randrange(0, n // 8 + 2)))}))
+    got, links = rare_pairs(spark, sets)
+    equal = {(i, j) for i, j in links if sets[i] == sets[j]}
+    assert len(links - equal) > 200 and links <= set(got)
