@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stage
+from ..session import bound_batches, stage
 from .automaton import build, home_states, inherited, run_states
 from .words import free_name, text_bytes, word_list, word_spans
 
@@ -81,6 +81,7 @@ def hits(words: list[bytes], pack: tuple, window: int) -> tuple[list[tuple[int,
 def item_packs(items: DataFrame, item_id: str, text: str, window: int, pack_words: int) -> list:
     """Broadcast automata; each holds the items of about ``pack_words`` words."""
     spark = items.sparkSession
+    bound_batches(spark)
     rows = items.select(F.col(item_id).cast("string").alias("name"), text_bytes(text).alias("text")) \
         .filter(F.col("name").isNotNull())
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -185,7 +186,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 10, max_co
     found, words, gone = (free_name(docs, c) for c in ("cleaned", "words_before", "words_gone"))
     packs = item_packs(items, item_id, item_text, window, pack_words)
     if len(packs) == 1:
-        docs = docs.withColumn(found, cleaner(packs[0])(text_bytes(text)))
+        # Declared nondeterministic, or Spark searches all texts a second time below the filter.
+        docs = docs.withColumn(found, cleaner(packs[0]).asNondeterministic()(text_bytes(text)))
         fits = F.col(f"{found}.n_hit") <= max_coverage * F.col(f"{found}.n_words")
         return docs.filter(fits).select(*[
             F.coalesce(F.col(f"{found}.text"), F.col(c)).alias(c) if c == text else F.col(c) for c in columns])

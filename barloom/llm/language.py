@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stage
+from ..session import bound_batches, stage
 from .words import free_name, hash_share, text_bytes, text_parts
 
 LANGUAGES = ("de", "en", "es", "fr")
@@ -71,6 +71,7 @@ def _counts(batches):
 def train(docs: DataFrame, *, text: str = "text", declared: str = "lang", languages: tuple[str, ...] = LANGUAGES,
           fit_docs: int = 1500) -> np.ndarray:
     """Log probability of each trigram by language, the last row for ``und``."""
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.lower(F.col(declared).cast("string")).alias("lang"), F.col(text).alias("text")) \
         .filter(F.col("lang").isin(*languages))
     counts = dict(rows.groupBy("lang").count().collect())
@@ -140,6 +141,7 @@ def identify(docs: DataFrame, *, text: str = "text", declared: str | None = "lan
     ``host`` names the column that groups rows; its domain is the last two labels of a dotted
     name, or the name without its number. ``suffix`` is the last label of an address.
     """
+    bound_batches(docs.sparkSession)
     classes = (*languages, UNKNOWN)
     k = len(classes)
     if model is None:

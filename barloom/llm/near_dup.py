@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stage
+from ..session import bound_batches, stage
 from .components import merge_roots
 from .words import text_bytes, text_parts
 
@@ -316,6 +316,7 @@ def sharing_rare(sets: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of ``docs``."""
+    bound_batches(docs.sparkSession)
     texts = docs.select(F.col(doc_id).alias("doc_id"), text_bytes(text).alias("text"))
     rows = stage(texts.withColumn("s", _sign()("text")).select("doc_id", "s.n", "s.key", "s.signature", "s.sketch"))
     classes = rows.filter(F.col("key").isNotNull() & F.col("doc_id").isNotNull()) \

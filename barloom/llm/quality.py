@@ -20,6 +20,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import bound_batches
 from .words import hash_share, text_bytes
 
 BLOCK = 1024
@@ -107,6 +108,7 @@ def train(docs: DataFrame, labels: DataFrame, *, use: Column | None = None, doc_
     The regression is fitted on other rows than the dictionaries: at most half of a label's rows go
     into its dictionary.
     """
+    bound_batches(docs.sparkSession)
     known = labels.filter(use) if use is not None else labels
     known = known.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")) \
         .filter(F.col("id").isNotNull() & F.col("y").isin(0, 1)).distinct()
@@ -145,6 +147,7 @@ def score(docs: DataFrame, model: dict, *, text: str = "text", into: str = "scor
     """``docs`` with the probability that a text carries the good label."""
     if not model:
         return docs.withColumn(into, F.lit(0.5))
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
