@@ -22,6 +22,8 @@ no component and is kept; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,6 +42,7 @@ NEED = 80           # percent of the union that the intersection must reach
 LEAST = 0.55        # estimated similarity below which a candidate is dropped
 PARITIES = 16       # words of 64 parity bits of a set in the exact join
 BROADCAST_ROWS = 1_000_000
+PIECES = 8          # broadcasts of so many keys before wide rows are shuffled
 
 _RANDOM = np.random.default_rng(20_240_229)
 _BYTE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -242,6 +245,26 @@ def _set_of():
     return sets
 
 
+def selected(wide: DataFrame, keys: DataFrame, by: str, how: str = "left_semi") -> DataFrame:
+    """Rows of a table of texts or sets, by keys (or, ``left_anti``, without them), none of them shuffled.
+
+    The keys are broadcast; where they are many, in pieces by hash, for each of which the table is read once.
+    Beyond PIECES of them a shuffle costs less than so many reads.
+    """
+    pieces = max(1, -(-keys.count() // BROADCAST_ROWS))
+    if pieces == 1:
+        return wide.join(F.broadcast(keys), by, how)
+    if pieces > PIECES:
+        return wide.join(keys, by, how)
+    of = F.pmod(F.xxhash64(by), F.lit(pieces))
+    return reduce(DataFrame.unionByName, [wide.filter(of == i).join(F.broadcast(keys.filter(of == i)), by, how) for i in range(pieces)])
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    """(key): each end of the pairs once."""
+    return pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) whose full sets reach the similarity."""
     left = sets.select(F.col("key").alias("a"), F.col("hashes").alias("x"))
@@ -256,9 +279,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _sets_of(texts: DataFrame, classes: DataFrame) -> DataFrame:
     """(key, hashes), staged: the full set of each of these classes, from the text of its ``rep``."""
     reps = classes.select(F.col("rep").alias("doc_id")).distinct()
-    if reps.count() <= BROADCAST_ROWS:
-        reps = F.broadcast(reps)
-    return stage(texts.join(reps, "doc_id", "left_semi").select(_set_of()("text").alias("s")).select("s.*")
+    return stage(selected(texts, reps, "doc_id").select(_set_of()("text").alias("s")).select("s.*")
                  .groupBy("key").agg(F.any_value("hashes").alias("hashes")).join(classes.select("key"), "key", "left_semi"))
 
 
@@ -324,20 +345,19 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     classes = stage(classes)
 
     pairs = stage(candidates(classes, "key", BACK))
-    alive = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    alive = stage(classes.join(alive, "key", "left_semi"))
+    alive = stage(classes.join(_ends(pairs), "key", "left_semi"))
     sets = _sets_of(texts, alive)
 
     # First the best candidate of each class, then all that still lie in different components.
-    first = pairs.groupBy("a").agg(F.max_by("b", F.struct("same", "b")).alias("b")).unionByName(
-        pairs.groupBy("b").agg(F.max_by("a", F.struct("same", "a")).alias("a"))).distinct()
+    first = stage(pairs.groupBy("a").agg(F.max_by("b", F.struct("same", "b")).alias("b")).unionByName(
+        pairs.groupBy("b").agg(F.max_by("a", F.struct("same", "a")).alias("a"))).distinct())
     roots = merge_roots(alive.select(F.col("key").alias("node"), F.col("key").alias("root")), stage(confirmed(first, sets)))
     tried, todo = first, apart(pairs.select("a", "b"), roots)
     while True:
         parted = alive.join(roots.select(F.col("node").alias("key"), F.col("root").alias("part")), "key")
         todo = stage(todo.unionByName(candidates(stage(parted), "part", 1).select("a", "b")).distinct()
                      .join(tried, ["a", "b"], "left_anti"))
-        new = stage(confirmed(todo, sets))
+        new = stage(confirmed(todo, selected(sets, _ends(todo), "key")))
         if new.isEmpty():
             break
         roots = merge_roots(roots, new)
@@ -351,7 +371,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     if not crowd.isEmpty():
         sets = _sets_of(texts, crowd)
         pairs = stage(sharing_rare(sets.join(crowd.select("key", F.xxhash64("part").alias("part")), "key")))
-        roots = merge_roots(roots, stage(confirmed(pairs, sets)))
+        roots = merge_roots(roots, stage(confirmed(pairs, selected(sets, _ends(pairs), "key"))))
     members = classes.select("key", "rep").join(roots.withColumnRenamed("node", "key"), "key")
     smallest = members.groupBy("root").agg(F.min("rep").alias("least"))
     named = members.join(smallest, "root").select("key", F.col("least").alias("component_id"))
@@ -377,9 +397,9 @@ def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     """
     found = stage(near_duplicates(docs, doc_id=doc_id, text=text).filter(F.col("doc_id").isNotNull()))
     gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias(doc_id)).distinct()
-    rest = docs.join(gone, doc_id, "left_anti").select(docs.columns)
+    rest = selected(docs, gone, doc_id, "left_anti").select(docs.columns)
     twice = found.filter("kept").groupBy(F.col("doc_id").alias(doc_id)).count().filter("count > 1").select(doc_id)
     if twice.isEmpty():
         return rest
-    repeated = rest.join(twice, doc_id, "left_semi").dropDuplicates([doc_id])
-    return rest.join(twice, doc_id, "left_anti").select(docs.columns).unionByName(repeated.select(docs.columns))
+    repeated = selected(rest, twice, doc_id).dropDuplicates([doc_id])
+    return selected(rest, twice, doc_id, "left_anti").select(docs.columns).unionByName(repeated.select(docs.columns))

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from barloom.llm import near_dup
 
 from test_text_operators import components, docs_frame
@@ -104,3 +106,39 @@ def test_bounds_lose_no_link(spark):
     got, links = rare_pairs(spark, sets)
     equal = {(i, j) for i, j in links if sets[i] == sets[j]}
     assert len(links - equal) > 200 and links <= set(got)
+
+
+@pytest.mark.parametrize("keys, pieces, shuffled", [(1_000_000, 8, False), (5, 8, False), (5, 1, True)])
+def test_texts_stay_where_they_are(spark, monkeypatch, keys, pieces, shuffled):
+    """Texts of kept documents are not shuffled, not even where their ids are too large for Spark's own broadcasts."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(60))) for i in range(60)]
+    rows += [(100 + i, t + " more") for i, t in rows[:20]] + [(None, rows[0][1]), (None, "one two")]
+    want = {i for i, (_, c) in components([r for r in rows if r[0] is not None]).items() if i == c}
+    assert len(want) == 60
+    monkeypatch.setattr(near_dup, "BROADCAST_ROWS", keys)
+    monkeypatch.setattr(near_dup, "PIECES", pieces)
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        rest = near_dup.drop_near_duplicates(docs_frame(spark, rows))
+        got = [r.doc_id for r in rest.collect()]
+        plan = rest._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(threshold, before)
+    assert sorted(got, key=str) == sorted([*want, None, None], key=str)
+    assert ("SortMergeJoin" in plan) == shuffled
+
+
+def test_selected_in_pieces(spark, monkeypatch):
+    """Keys in several broadcasts select each row once, repeated and null ones too."""
+    ids = [*range(100), 7, 7, None]
+    wide = spark.createDataFrame([(i, f"t{i}") for i in ids], "id long, text string")
+    keys = spark.createDataFrame([(i,) for i in range(0, 100, 7)], "id long")
+    for rows in (1_000_000, 4, 1):
+        monkeypatch.setattr(near_dup, "BROADCAST_ROWS", rows)
+        chosen = [r.id for r in near_dup.selected(wide, keys, "id").collect()]
+        rest = [r.id for r in near_dup.selected(wide, keys, "id", "left_anti").collect()]
+        assert sorted(chosen) == sorted(i for i in ids if i is not None and i % 7 == 0)
+        assert sorted(rest, key=str) == sorted((i for i in ids if i is None or i % 7), key=str)
